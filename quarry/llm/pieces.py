@@ -28,7 +28,7 @@ def plain(text: str) -> bool:
 class ChunkCache(dict):
     """Chunk to value. Keys are chunks without the one space before them, or with the line feed before them."""
 
-    def __init__(self, encode: Callable[[str], bytes], most: int = 400_000):
+    def __init__(self, encode: Callable[[str], bytes], most: int = 250_000):
         super().__init__()
         self.encode, self.most, self.old = encode, most, {}
 
