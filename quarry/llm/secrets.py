@@ -117,8 +117,9 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text
                 lists = pa.array([[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in x] for x in spans], _SPANS)
                 yield pa.RecordBatch.from_arrays([*b.columns[:at], lists, pa.array(redacted, pa.string())], [*keep, "spans", "redacted"])
 
-    fields = [docs.schema[c].dataType.simpleString() for c in keep]
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in zip(keep, fields, strict=True)), f"spans {SPANS}", "redacted string"])
+    from pyspark.sql import types as T
+
+    schema = T.StructType([*(docs.schema[c] for c in keep), *T._parse_datatype_string(f"spans {SPANS}, redacted string").fields])
     return docs.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
 
 
