@@ -1,3 +1,3 @@
 """Modules that register queries: each instantiates operators over the given tables."""
 
-from quarry.plans import graphs, pages, rules, scores, texts, tables  # noqa: F401
+from quarry.plans import code, graphs, pages, rules, scores, tables, texts  # noqa: F401
