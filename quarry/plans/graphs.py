@@ -66,7 +66,7 @@ def unreachable_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "connected_components",
-    f"""WITH RECURSIVE {_EDGES}, {_NODES}, walk AS (SELECT node, node AS other FROM nodes UNION SELECT w.node, CASE WHEN e.src = w.other THEN e.dst ELSE e.src END FROM walk w JOIN edges e ON e.src = w.other OR e.dst = w.other)
+    f"""WITH RECURSIVE {_EDGES}, {_NODES}, both_ AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), walk AS (SELECT node, node AS other FROM nodes UNION SELECT w.node, e.dst FROM walk w JOIN both_ e ON e.src = w.other)
     SELECT node, min(other) AS "group" FROM walk GROUP BY node""",
 )
 def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
