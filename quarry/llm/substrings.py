@@ -4,9 +4,9 @@ A window of k words is an edge, from its first k-1 words to its last k-1. An edg
 with the smallest id is its source. Consecutive repeated edges of a document with the same source, in step with the source's own
 positions, are a nonbranching path and compact to one span with source coordinates.
 
-1. Most edges occur once. Every window has an anchor: the smallest hash among its runs of five words. A repeated window has a repeated
+1. Most edges occur once. Every window has an anchor: the smallest hash among its runs of six words. A repeated window has a repeated
    anchor, so anchors (about a fifth as many as words) are counted first, and only windows with a repeated anchor become edges.
-2. Edges are grouped by 96 bits of hash; each gets its source, and joins back to where it occurs.
+2. Edges meet by 96 bits of hash; each gets its source. Marks and spans join back to their documents' texts.
 3. Paths are compacted by document and diagonal (position less source position), and every word that a span covers is removed.
 
 Hot sequences: before a shuffle each batch combines its own rows. Of an anchor at most two rows a batch go to the anchor's partition,
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import WordHashes, cut, mix64, rolling, words
 
-ANCHOR = 5
+ANCHOR = 6
 
 
 def _anchors(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -73,6 +73,9 @@ def anchor_rows(docs: DataFrame, k: int) -> DataFrame:
                 known = turn >= 2
                 # The second row is of another document unless one document has several texts; those are only counted again later.
                 key = np.where(known, _spread(anchor, ids), anchor)
+                # Back in order of documents, in which ids repeat from row to row and compress.
+                back = np.argsort(row, kind="stable")
+                key, anchor, ids, known, row = key[back], anchor[back], ids[back], known[back], row[back]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(key.view(np.int64)), pa.array(anchor.view(np.int64)), pa.array(ids), b.column(1).take(pa.array(row)), pa.array(known)],
                     ["key", "anchor", "doc_id", "print", "known"],
@@ -82,7 +85,9 @@ def anchor_rows(docs: DataFrame, k: int) -> DataFrame:
 
 
 def edge_rows(marked: DataFrame, k: int) -> DataFrame:
-    """key, check, doc_id, print, at, known, source, source_at: an edge for each window with a repeated anchor; marked has anchors."""
+    """key, check, doc_id, print, at, source, source_at: an edge for each window with a repeated anchor; marked has anchors.
+
+    The source is null unless the batch itself settles it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, again = WordHashes(), np.uint64(0xD6E8FEB86659FD93)
@@ -108,36 +113,49 @@ def edge_rows(marked: DataFrame, k: int) -> DataFrame:
                 lead = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
                 known = ids > ids[lead]
                 held = np.where(known, _spread(key, ids * 1_000_003 + at), key)
+                source, source_at = ids[lead], at[lead]
+                back = np.lexsort((at, row))
+                held, check, at, ids, row, known, source, source_at = (x[back] for x in (held, check, at, ids, row, known, source, source_at))
                 null = ~known
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(held.view(np.int64)), pa.array(check), pa.array(ids), b.column(1).take(pa.array(row)), pa.array(at),
-                        pa.array(known), pa.array(ids[lead], mask=null), pa.array(at[lead], mask=null),
+                        pa.array(source, mask=null), pa.array(source_at, mask=null),
                     ],
-                    ["key", "check", "doc_id", "print", "at", "known", "source", "source_at"],
+                    ["key", "check", "doc_id", "print", "at", "source", "source_at"],
                 )
 
-    return marked.mapInArrow(run, "key long, check int, doc_id long, print long, at int, known boolean, source long, source_at int")
+    return marked.mapInArrow(run, "key long, check int, doc_id long, print long, at int, source long, source_at int")
+
+
+#: Ids that a broadcast may hold (8 bytes each); with more, texts are shuffled without being reduced first.
+MOST_BROADCAST = 2_000_000
+
+
+def with_text(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """rows (doc_id, print, ...) with their documents' texts. Where the ids are few, other texts are left out before the shuffle."""
+    ids = rows.select("doc_id").distinct()
+    if ids.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        docs = docs.join(F.broadcast(ids), "doc_id", "left_semi")
+    texts = docs.select(F.col("doc_id").alias("id2"), F.col("print").alias("print2"), "text")
+    return rows.join(texts, (F.col("doc_id") == F.col("id2")) & (F.col("print") == F.col("print2"))).drop("id2", "print2")
 
 
 def repeated_spans(docs: DataFrame, leaders: DataFrame, k: int = 13) -> DataFrame:
     """doc_id, print, start, end (in words), source, source_start: the compacted paths in the leaders (doc_id, print).
 
     docs has doc_id, print and text, without nulls."""
-    anchors = anchor_rows(docs, k).repartition("key")
-    # Grouping and joining by the key they are dealt by: one shuffle serves both.
-    repeated = anchors.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("known").alias("any"), F.max("anchor").alias("a"), F.max("print").alias("p"))
-    repeated = repeated.where("lo < hi or any").select("key")
-    hits = anchors.join(repeated, "key", "left_semi")
-    marks = hits.groupBy("doc_id", "print").agg(F.collect_list("anchor").alias("marks")).join(leaders, ["doc_id", "print"], "left_semi")
-    texts = docs.select(F.col("doc_id").alias("id2"), F.col("print").alias("print2"), "text")
-    marked = marks.join(texts, (F.col("doc_id") == F.col("id2")) & (F.col("print") == F.col("print2")))
-    edges = edge_rows(marked.select("doc_id", "print", "text", "marks"), k).repartition("key", "check")
-    least = F.min(F.struct("doc_id", "at", "known", "print", "source", "source_at"))
-    sources = edges.groupBy("key", "check").agg(least.alias("s")).select("key", "check", F.col("s.doc_id").alias("s_doc"), F.col("s.at").alias("s_at"))
-    met = edges.join(sources, ["key", "check"]).where("known or doc_id > s_doc")
-    own = F.col("known")
-    edge = met.select("doc_id", "print", "at", F.when(own, F.col("source")).otherwise(F.col("s_doc")).alias("source"), F.when(own, F.col("source_at")).otherwise(F.col("s_at")).alias("s_at"))
+    # A key's rows are few (two a batch at most), so a window over them needs no join, and one shuffle is all.
+    by = W.partitionBy("key")
+    counted = anchor_rows(docs, k).select("doc_id", "print", "anchor", F.min("doc_id").over(by).alias("lo"), F.max("doc_id").over(by).alias("hi"), F.max("known").over(by).alias("any"))
+    hits = counted.where("lo < hi or any").select("doc_id", "print", "anchor")
+    marks = cut(hits.groupBy("doc_id", "print").agg(F.collect_list("anchor").alias("marks")).join(leaders, ["doc_id", "print"], "left_semi"))
+    marked = with_text(marks, docs)
+    edges = edge_rows(marked.select("doc_id", "print", "text", "marks"), k)
+    first = F.min(F.struct("doc_id", "at")).over(W.partitionBy("key", "check"))
+    own = F.col("source").isNotNull()
+    met = edges.withColumn("first", first).where(own | (F.col("doc_id") > F.col("first.doc_id")))
+    edge = met.select("doc_id", "print", "at", F.when(own, F.col("source")).otherwise(F.col("first.doc_id")).alias("source"), F.when(own, F.col("source_at")).otherwise(F.col("first.at")).alias("s_at"))
     # A path ends where the next edge isn't the next position, or has another source or step.
     w = W.partitionBy("doc_id", "print").orderBy("at")
     follows = (F.col("at") == F.lag("at").over(w) + 1) & (F.col("source") == F.lag("source").over(w)) & (F.col("s_at") == F.lag("s_at").over(w) + 1)
@@ -186,8 +204,8 @@ def remove_repeats(docs: DataFrame, k: int = 13, text: str = "text", doc_id: str
     graph = rows.where("doc_id is not null").select("doc_id", "print", "text")
     leaders = state.where(f"not copy and n_words >= {k} and doc_id is not null").select("doc_id", "print").distinct()
     spans = cut(repeated_spans(graph, leaders, k))
-    by_doc = spans.groupBy("doc_id", "print").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    touched = rows.join(by_doc, ["doc_id", "print"])
+    by_doc = cut(spans.groupBy("doc_id", "print").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
+    touched = with_text(by_doc, graph)
     changed = _finish(touched.select("doc_id", "text", "spans"))
     empty = F.sha2(F.lit(""), 256)
     rest = state.join(by_doc.select("doc_id", "print"), ["doc_id", "print"], "left_anti")
