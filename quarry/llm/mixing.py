@@ -25,6 +25,10 @@ from pyspark.sql import functions as F
 from quarry.llm.common import WORD, cut
 
 
+#: Sources that a broadcast may hold, a few dozen bytes each.
+MOST_BROADCAST = 100_000
+
+
 def source_targets(sizes: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5, 2, 1), limit: float = 2.0) -> DataFrame:
     """source, sid, source_size, target from (source, source_size): water-filling over one row a source."""
     everything = W.partitionBy()
@@ -93,7 +97,9 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5, 2,
     by_sid = cut(counts.join(named, counts["source"].eqNullSafe(named["s2"])).select("sid", "size", "n"))
     solved = solve(by_sid, targets, limit)
     plan = cut(targets.join(solved, "sid"))  # one row a source
-    plan = plan.withColumnRenamed("source", "s2")
+    # One row a source: few enough to broadcast unless counted otherwise, so that a large source isn't dealt to one task.
+    near = F.broadcast if targets.count() <= MOST_BROADCAST else (lambda df: df)
+    plan = near(plan.withColumnRenamed("source", "s2"))
     rate = F.when(F.col("size") == 0, F.lit(0.0)).when(F.col("full"), F.lit(float(limit))).otherwise(
         F.when(F.col("target") > 0, F.least(F.lit(float(limit)), F.exp(F.least(F.col("lambda") * F.col("size") / F.col("scale"), F.lit(50.0))))).otherwise(0.0)
     )
@@ -104,7 +110,7 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5, 2,
     short = first.groupBy("sid").agg((F.floor(F.max("target") + 0.5).cast("long") - F.sum(F.col("copies") * F.col("size"))).alias("short"))
     # At most ``buckets`` rows a source.
     room = F.when(F.col("short") > 0, F.least(F.col("size"), int(limit) * F.col("size") - F.col("copies") * F.col("size"))).otherwise(F.least(F.col("size"), F.col("copies") * F.col("size")))
-    open_ = first.join(short, "sid").withColumn("room", room)
+    open_ = first.join(near(short), "sid").withColumn("room", room)
     per = open_.groupBy("sid", "bucket").agg(F.sum("room").alias("n"))
     ahead = W.partitionBy("sid").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = per.select("sid", "bucket", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("start"))
@@ -118,13 +124,14 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5, 2,
 def materialize(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", **options) -> DataFrame:
     """The mixed documents: each row as often as it is taken, the one partly taken copy a source cut after a word. Columns of docs.
 
-    Rows that are equal in id, text and source are joined with the sum of what they are taken."""
-    plan = mix(docs, text=text, source=source, doc_id=doc_id, **options).where("taken > 0")
-    plan = plan.groupBy("doc_id", "print", F.col("source").alias("plan_source")).agg(F.sum("taken").alias("plan_taken"), F.max("size").alias("plan_size"))
-    plan = plan.select(F.col("doc_id").alias("plan_id"), F.col("print").alias("plan_print"), "plan_source", "plan_taken", "plan_size")
+    Rows that are equal in id, text and source are one row here, taken as often as all of them are."""
+    plan = mix(docs, text=text, source=source, doc_id=doc_id, **options)
+    plan = plan.groupBy("doc_id", "print", F.col("source").alias("plan_source")).agg(F.sum("taken").alias("plan_taken"), F.max("size").alias("plan_size"), F.count(F.lit(1)).alias("plan_rows"))
+    plan = cut(plan.select(F.col("doc_id").alias("plan_id"), F.col("print").alias("plan_print"), "plan_source", "plan_taken", "plan_size", "plan_rows").where("plan_taken > 0"))
     body = F.col(text).cast("string")
-    keyed = docs.withColumn("plan_text_print", F.xxhash64(body))
-    single = keyed.dropDuplicates([doc_id, "plan_text_print", source])
+    single = docs.withColumn("plan_text_print", F.xxhash64(body))
+    if not plan.where("plan_rows > 1").isEmpty():
+        single = single.dropDuplicates([doc_id, "plan_text_print", source])
     same = single[doc_id].eqNullSafe(plan["plan_id"]) & single["plan_text_print"].eqNullSafe(plan["plan_print"]) & single[source].eqNullSafe(plan["plan_source"])
     joined = single.join(plan, same)
     whole, rest = F.floor(F.col("plan_taken") / F.col("plan_size")).cast("int"), F.pmod(F.col("plan_taken"), F.col("plan_size")).cast("int")
