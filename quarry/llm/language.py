@@ -98,9 +98,14 @@ def learn(docs: DataFrame, most: int = 1024, landmarks: int = 128, text: str = "
     """Fit on a bounded sample of the labelled rows that aren't held out; None if there are none."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
     known = rows.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    # Ids alone are ranked; the limit inside of the window is applied before the shuffle.
-    chosen = known.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= most).orderBy("rank", "lang").limit(most)
+    # Ids alone are drawn. Of a language's n rows those whose place by hash lies under 4 * most / n are ranked, so that no task sorts
+    # all rows of a frequent language.
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))
+    ids = known.select("doc_id", "lang", place.alias("place"))
+    counts = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    few = ids.join(counts, "lang").where(F.col("place") * F.col("n") < 4.0 * most * (1 << 32))
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("place", "doc_id"))
+    chosen = few.withColumn("rank", rank).where(F.col("rank") <= most).orderBy("rank", "lang").limit(most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.zeros(PLACES, np.uint8)
