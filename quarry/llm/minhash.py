@@ -8,10 +8,11 @@ t independent hashes.
 
 Candidates.  Bands of 4 bins: with 32 bands a pair at similarity 0.8 is missed with probability 5e-8, at 0.85 with 6e-11.
 
-Links.  Texts with the same shingle set are one class; only one member of a class goes on. Within each bucket members are first
-compared with one leader, for some rounds with different leaders, and linked members form components. Whatever buckets still hold
-several components then have all pairs across components compared, so that no link is lost while pairs inside a component (the
-squares of the large groups) never arise. A link is confirmed on the full sets.
+Links.  Texts with the same shingle set are one class; only one member of a class goes on. Members of buckets are first compared with
+one leader each, and linked members form components. Buckets that then still hold several components are searched for the links
+between them without forming their pairs: members are described by how they differ from the group's majority, and a link needs common
+differences (see _cross_links). So no link of a bucket is lost, and groups of thousands of near copies cost no squares. Links are
+confirmed on the full sets.
 
 Cases: a text without words (null, empty, blank) has no shingles and stands alone; texts shorter than a shingle are one shingle, of
 the whole sequence; rows without an id stand alone and are kept; repeated ids are one document, linked by any of its texts; an empty
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import WordHashes, cut, mix64, rolling
@@ -126,18 +127,79 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+#: Ids that a broadcast may hold (8 bytes each); with more, texts and ids are shuffled to meet.
+MOST_BROADCAST = 2_000_000
+
+
+def _sets(need: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """node, shingles for the documents of need (node). Texts are read again for these alone."""
+    need = cut(need.select(F.col("node").alias("doc_id")).distinct())
+    small = need.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    chosen = docs.join(F.broadcast(need) if small else need, "doc_id", "left_semi")
+    return shingle_sets(chosen, k).withColumnRenamed("doc_id", "node")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b, na, nb) whose full sets are similar enough. Texts are read again only for documents in pairs."""
-    need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = shingle_sets(docs.join(need, "doc_id", "left_semi"), k)
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
+    """The pairs (a, b) whose full sets are similar enough."""
+    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("node")), docs, k)
+    left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - common
     return pairs.join(right, "b").join(left, "a").where(100 * common >= percent * union).select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, rounds: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def _xor(a: str, b: str) -> Column:
+    """The symmetric difference of two arrays of distinct values."""
+    return F.concat(F.array_except(a, b), F.array_except(b, a))
+
+
+def _cross_links(groups: DataFrame, comps: DataFrame, docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) that are sure, and candidate pairs (a, b), within groups (lead, node), without forming a group's pairs.
+
+    For any set P, the symmetric difference of x and y is that of D(x) = x ^ P and D(y) = y ^ P. With c = (1 - t) / (1 + t) and
+    f(x) = c |x| - |D(x)|, x and y are linked if and only if f(x) + f(y) + 2 |D(x) & D(y)| >= 0. P is the group's majority set, which
+    makes differences short and their elements rare. Then
+    - x and y with f(x) + f(y) >= 0 are linked, and both to the member m with the largest f: a star around m makes all these links;
+    - other links need o = -(f(x) + f(y)) / 2 > 0 common elements of D. One end at least isn't in the star (an outlier: two members
+      of the star are connected anyway). In order of rarity two sets with o common elements share one of the first |D| - o + 1, and
+      from the first that they share on, both still have o elements."""
+    c = (100 - percent) / (100 + percent)
+    sets = cut(_sets(groups.select(F.explode(F.array("lead", "node")).alias("node")), docs, k))
+    lead = sets.select(F.col("node").alias("lead"), F.col("shingles").alias("base"))
+    diffs = groups.join(sets, "node").join(lead, "lead").select("lead", "node", F.size("shingles").alias("n"), _xor("shingles", "base").alias("d"))
+    diffs = cut(diffs)
+    counts = diffs.groupBy("lead").agg(F.count(F.lit(1)).alias("g"))
+    common = diffs.select("lead", F.explode("d").alias("e")).groupBy("lead", "e").agg(F.count(F.lit(1)).alias("c"))
+    # A majority set is no longer than twice the mean difference.
+    major = common.join(counts, "lead").where("2 * c > g").groupBy("lead").agg(F.collect_list("e").alias("m"))
+    moved = diffs.join(major, "lead", "left").withColumn("m", F.coalesce("m", F.array().cast("array<bigint>")))
+    moved = moved.select("lead", "node", "n", _xor("d", "m").alias("d")).withColumn("f", c * F.col("n") - F.size("d"))
+    moved = cut(moved.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+    top = moved.groupBy("lead").agg(F.max(F.struct("f", "node")).alias("top")).select("lead", F.col("top.f").alias("most"), F.col("top.node").alias("star"))
+    rated = moved.join(top, "lead").withColumn("out", F.col("f") + F.col("most") < -1e-6)
+    stars = rated.where(~F.col("out") & (F.col("node") != F.col("star"))).select(F.col("star").alias("a"), F.col("node").alias("b"))
+    outer = rated.where("out").groupBy("lead").agg(F.max("f").alias("most_out"))
+    open_ = rated.join(outer, "lead")
+    # An outlier's partner may be any member; another member's partner, as far as it matters, is an outlier.
+    least = F.greatest(F.lit(1), F.ceil(-(F.col("f") + F.when(F.col("out"), F.col("most")).otherwise(F.col("most_out"))) / 2 - 1e-6))
+    prefix = open_.withColumn("keep", (F.size("d") - least + 1).cast("int")).where("keep > 0").select("lead", "node", "n", "f", "comp", "out", "keep", F.explode("d").alias("e"))
+    rare = prefix.groupBy("lead", "e").agg(F.count(F.lit(1)).alias("c"), F.max("out").alias("any")).where("c > 1 and any")
+    # Elements of one member only can't be shared; they come first in the order, so only their number matters.
+    shared = prefix.join(rare, ["lead", "e"]).groupBy("lead", "node", "n", "f", "comp", "out", "keep").agg(F.sort_array(F.collect_list(F.struct("c", "e"))).alias("es"))
+    sizes = moved.select("lead", "node", F.size("d").alias("all"))
+    first = F.slice("es", 1, F.greatest(F.lit(0), F.col("keep") - (F.col("all") - F.size("es"))).cast("int"))
+    # rest: how many elements come after one in the order. Two sets whose first common element this is share at most 1 + rest.
+    placed = shared.join(sizes, ["lead", "node"]).select("lead", "node", "n", "f", "comp", "out", F.size("es").alias("all"), F.posexplode(first).alias("i", "x"))
+    tokens = cut(placed.select("lead", "node", "n", "f", "comp", "out", F.col("x.e").alias("e"), (F.col("all") - 1 - F.col("i")).alias("rest")))
+    x = tokens.where("out").select("lead", "e", F.col("node").alias("a"), F.col("n").alias("na"), F.col("f").alias("fa"), F.col("comp").alias("ca"), F.col("rest").alias("ra"))
+    y = tokens.select(F.col("lead").alias("lead2"), F.col("e").alias("e2"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("f").alias("fb"), F.col("comp").alias("cb"), F.col("rest").alias("rb"), F.col("out").alias("yout"))
+    alike = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    enough = 1 + F.least("ra", "rb") >= -(F.col("fa") + F.col("fb")) / 2 - 1e-6
+    met = x.join(y, (F.col("lead") == F.col("lead2")) & (F.col("e") == F.col("e2")) & (F.col("ca") != F.col("cb")) & (~F.col("yout") | (F.col("a") < F.col("b"))) & alike & enough)
+    return stars.distinct(), met.select("a", "b").distinct()
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for each input row."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     base = cut(sketches(docs, k))
@@ -151,34 +213,27 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, rounds: int
     texts = docs.where("doc_id is not null")
     repeated = real.groupBy("doc_id").agg(F.min("set_hash").alias("x"), F.max("set_hash").alias("y")).where("x <> y").select("doc_id")
     edges = cut(real.join(repeated, "doc_id", "left_semi").join(classes, ["set_hash", "n_shingles"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b"))
-    comps, tried = components(edges), None
-    for r in range(rounds + 1):
-        now = members.join(comps, "node", "left").select("band", "node", "n", F.coalesce("comp", "node").alias("comp"))
-        lead = F.min(F.struct(F.xxhash64(F.lit(r), F.col("node")).alias("h"), F.col("node"), F.col("n"), F.col("comp")))
-        open_ = now.groupBy("band").agg(lead.alias("lead"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-        alike = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-        if r < rounds:
-            met = now.join(open_.select("band", "lead"), "band").where("comp <> lead.comp")
-            met = met.select(F.col("lead.node").alias("a"), F.col("node").alias("b"), F.col("lead.n").alias("na"), F.col("n").alias("nb"), F.col("lead.h").alias("h"))
-            pairs = met.where(alike).groupBy("b", "nb").agg(F.min(F.struct("h", "a", "na")).alias("m")).select("m.a", "b")
-        else:
-            rest = now.join(open_.select("band", F.col("lead.comp").alias("main")), "band")
-            few = rest.where("comp <> main").select("band", F.col("node").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), "main")
-            other = now.select("band", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-            pairs = few.join(other, (few.band == other.band) & (few.ca != other.cb) & ((other.cb == few.main) | (few.a < other.b)) & alike)
-            pairs = pairs.select("a", "b").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        if pairs.isEmpty():
-            if r < rounds:
-                continue
-            break
-        tried = pairs if tried is None else tried.union(pairs)
-        found = cut(_verified(pairs, texts, k, percent))
-        if not found.isEmpty():
-            edges = edges.union(found)
-            comps = components(edges)
+    comps = components(edges)
+    now = members.join(comps, "node", "left").select("band", "node", "n", F.coalesce("comp", "node").alias("comp"))
+    lead = F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node"), F.col("n"))).alias("lead")
+    met = now.join(now.groupBy("band").agg(lead), "band").where("node <> lead.node")
+    alike = 100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")
+    # Each member is compared with one leader, the first by hash among those of its buckets.
+    pairs = cut(met.where(alike).groupBy(F.col("node").alias("b")).agg(F.min("lead").alias("lead")).select(F.col("lead.node").alias("a"), "b"))
+    if not pairs.isEmpty():
+        edges = cut(edges.union(_verified(pairs, texts, k, percent)))
+        comps = components(edges)
+    now = members.join(comps, "node", "left").select("band", "node", "n", F.coalesce("comp", "node").alias("comp"))
+    open_ = now.groupBy("band").agg(lead, F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    groups = cut(now.join(open_.select("band", F.col("lead.node").alias("lead")), "band").select("lead", "node").distinct())
+    if not groups.isEmpty():
+        stars, rest = _cross_links(groups, comps, texts, k, percent)
+        rest = cut(rest)
+        edges = edges.union(stars)
+        if not rest.isEmpty():
+            edges = edges.union(_verified(rest, texts, k, percent))
+        edges = cut(edges)
+        comps = components(edges)
     placed = base.join(classes, ["set_hash", "n_shingles"], "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.coalesce("comp", "rep"))
     return placed.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
