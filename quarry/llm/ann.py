@@ -9,8 +9,10 @@ of its parts (packed bits), with two scalars: the residual's length, and the pro
 |r| |q| e sqrt((1 - p^2) / p^2 / (D - 1)) with p = <code, r'>, but for a probability that falls fast with e. Vectors whose upper bound
 reaches the k-th best lower bound of their block are ranked again by their exact product on the original vectors.
 
-Work is dealt in blocks of a list's vectors and a list's queries, so neither a large list nor many queries meet in one task; each
-block returns at most k rows a query.
+A query's k-th best product within the sample is a floor: a block returns only what reaches it, at most k rows a query, so that what
+all blocks return together stays near k times the table's size over the sample's.
+
+Work is dealt in blocks of a list's vectors and a list's queries, so neither a large list nor many queries meet in one task.
 
 Cases: vectors that are null, zero, of another dimension than most or that hold null or non-finite parts take no part, nor do rows
 without an id; ties go to the smaller id; a query is no candidate of its own, nor is any row with its id; rows repeated under other
@@ -99,9 +101,13 @@ def search_block(v: pd.DataFrame, q: pd.DataFrame, index: Index, k: int, slack:
         error = np.linalg.norm(part, axis=1)[:, None] * off[None, :]
         low = guess - error
         bar = np.partition(low, -(k + 1), axis=1)[:, -(k + 1)] if len(v) > k + 1 else np.full(len(part), -np.inf)
+        floor = q["floor"].to_numpy()[at : at + 256]
+        bar = np.maximum(bar, floor)
         for i, name in enumerate(q["query_id"].iloc[at : at + 256].tolist()):
             keep = np.flatnonzero((guess[i] + error[i] >= bar[i]) & (ids != name))
             exact = (vectors[keep] * part[i]).sum(axis=1)
+            reach = exact >= floor[i]
+            keep, exact = keep[reach], exact[reach]
             best = np.lexsort((ids[keep], -exact))[:k]
             out.append((np.full(len(best), name), ids[keep][best], exact[best]))
     if not out:
@@ -111,7 +117,7 @@ def search_block(v: pd.DataFrame, q: pd.DataFrame, index: Index, k: int, slack:
 
 
 def nearest(
-    table: DataFrame, is_query: Column, k: int = 20, probe: float = 0.25, least_probe: int = 16, per_list: int = 256, most_lists: int = 4096, sample: int = 20_000,
+    table: DataFrame, is_query: Column, k: int = 20, probe: float = 0.8, least_probe: int = 16, per_list: int = 256, most_lists: int = 4096, sample: int = 20_000,
     block: int = 8192, slack: float = 2.5, vector: str = "embedding", vec_id: str = "vec_id",
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows with the largest inner product for each row where is_query holds."""
@@ -126,9 +132,10 @@ def nearest(
     rows = rows.where(F.size("v") == d)
     # A sample of bounded size, in the order of a hash: the only vectors that reach the driver.
     drawn = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, n // (2 * sample)))) == 0).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample)
-    fitted = np.array([r.v for r in drawn.select("v").collect()])
+    got = drawn.select("vec_id", "v").collect()
+    fitted, fitted_ids = np.array([r.v for r in got]), np.array([r.vec_id for r in got], np.int64)
     index = fit(fitted, min(most_lists, max(1, n // per_list)))
-    lists = len(index.centroids)
+    lists, longest = len(index.centroids), float(np.linalg.norm(fitted, axis=1).max())
     probes = min(lists, max(least_probe, int(np.ceil(probe * lists))))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,14 +153,21 @@ def nearest(
             m = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, d)
             hope = m @ index.centroids.T + np.linalg.norm(m, axis=1)[:, None] * index.radius[None, :]
             best = np.argsort(-hope, axis=1, kind="stable")[:, :probes]
-            for i in range(0, b.num_rows, 500):
-                part = best[i : i + 500]
-                names = np.repeat(b.column(0).to_numpy()[i : i + 500], probes)
-                images = np.repeat(np.array([x.tobytes() for x in m[i : i + 500]], object), probes)
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(part.ravel().astype(np.int32)), pa.array(images, pa.binary())], ["query_id", "list", "vector"])
+            for i in range(0, b.num_rows, 200):
+                part, ids = best[i : i + 200], b.column(0).to_numpy()[i : i + 200]
+                near = m[i : i + 200] @ fitted.T
+                near[ids[:, None] == fitted_ids[None, :]] = -np.inf
+                # A hair lower than the k-th product, whose last digits depend on the order of additions.
+                floor = np.partition(near, -k, axis=1)[:, -k] if near.shape[1] >= k else np.full(len(ids), -np.inf)
+                floor = floor - 1e-9 * np.linalg.norm(m[i : i + 200], axis=1) * longest
+                images = np.repeat(np.array([x.tobytes() for x in m[i : i + 200]], object), probes)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(ids, probes)), pa.array(part.ravel().astype(np.int32)), pa.array(images, pa.binary()), pa.array(np.repeat(floor, probes))],
+                    ["query_id", "list", "vector", "floor"],
+                )
 
     codes = cut(rows.select("vec_id", "v").mapInArrow(code, "vec_id long, list int, vector binary, code binary, length double, own double"))
-    asked = rows.where("q").select("vec_id", "v").mapInArrow(look, "query_id long, list int, vector binary")
+    asked = rows.where("q").select("vec_id", "v").mapInArrow(look, "query_id long, list int, vector binary, floor double")
     # Blocks of a list: its vectors are dealt to ``parts`` and its queries to ``turns``, by the sizes counted first.
     counts = codes.groupBy("list").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
     asks = asked.groupBy("list").agg(F.count(F.lit(1)).alias("m")).withColumn("turns", F.ceil(F.col("m") / block).cast("int"))
@@ -166,7 +180,7 @@ def nearest(
     def meet(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         return search_block(v, q, index, k, slack) if len(v) and len(q) else search_block(v, q.iloc[:0], index, k, slack) if len(v) else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
 
-    found = left.select(*key, "vec_id", "vector", "code", "length", "own").groupBy(*key).cogroup(right.select(*key, "query_id", "vector").groupBy(*key)).applyInPandas(meet, "query_id long, vec_id long, score double")
+    found = left.select(*key, "vec_id", "vector", "code", "length", "own").groupBy(*key).cogroup(right.select(*key, "query_id", "vector", "floor").groupBy(*key)).applyInPandas(meet, "query_id long, vec_id long, score double")
     best = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
