@@ -9,8 +9,8 @@ of its parts (packed bits), with two scalars: the residual's length, and the pro
 |r| |q| e sqrt((1 - p^2) / p^2 / (D - 1)) with p = <code, r'>, but for a probability that falls fast with e. Vectors whose upper bound
 reaches the k-th best lower bound of their block are ranked again by their exact product on the original vectors.
 
-A query's k-th best product within the sample is a floor: a block returns only what reaches it, at most k rows a query, so that what
-all blocks return together stays near k times the table's size over the sample's.
+A query's 2k-th best product among the sample's rows in its lists is a floor: a block returns only what reaches it, at most k rows a query, so that what
+all blocks return together stays near 2k times the table's size over the sample's.
 
 Work is dealt in blocks of a list's vectors and a list's queries, so neither a large list nor many queries meet in one task.
 
@@ -135,6 +135,7 @@ def nearest(
     got = drawn.select("vec_id", "v").collect()
     fitted, fitted_ids = np.array([r.v for r in got]), np.array([r.vec_id for r in got], np.int64)
     index = fit(fitted, min(most_lists, max(1, n // per_list)))
+    fitted_lists = assign(fitted, index.centroids)
     lists, longest = len(index.centroids), float(np.linalg.norm(fitted, axis=1).max())
     probes = min(lists, max(least_probe, int(np.ceil(probe * lists))))
 
@@ -156,9 +157,12 @@ def nearest(
             for i in range(0, b.num_rows, 200):
                 part, ids = best[i : i + 200], b.column(0).to_numpy()[i : i + 200]
                 near = m[i : i + 200] @ fitted.T
-                near[ids[:, None] == fitted_ids[None, :]] = -np.inf
-                # A hair lower than the k-th product, whose last digits depend on the order of additions.
-                floor = np.partition(near, -k, axis=1)[:, -k] if near.shape[1] >= k else np.full(len(ids), -np.inf)
+                # Only rows that the query will meet count, so that enough reach the floor.
+                asked_lists = np.zeros((len(ids), lists), bool)
+                asked_lists[np.arange(len(ids))[:, None], part] = True
+                near[(ids[:, None] == fitted_ids[None, :]) | ~asked_lists[:, fitted_lists]] = -np.inf
+                # The 2k-th, as an error bound may fail for some; a hair lower, as last digits depend on the order of additions.
+                floor = np.partition(near, -2 * k, axis=1)[:, -2 * k] if near.shape[1] >= 2 * k else np.full(len(ids), -np.inf)
                 floor = floor - 1e-9 * np.linalg.norm(m[i : i + 200], axis=1) * longest
                 images = np.repeat(np.array([x.tobytes() for x in m[i : i + 200]], object), probes)
                 yield pa.RecordBatch.from_arrays(

@@ -38,6 +38,14 @@ def test_recall_and_exact_scores(spark):
     assert hits >= 0.9 * 20 * len(want)
 
 
+def test_every_query_gets_its_rows_where_lists_are_left_out(spark):
+    rng = np.random.default_rng(2)
+    vectors = rng.standard_normal((3000, 16))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    rows = ann.search(frame(spark, vectors.tolist()), probe=0.3, least_probe=1, per_list=50).groupBy("query_id").count().collect()
+    assert len(rows) == 150 and {r["count"] for r in rows} == {20}
+
+
 def test_small_blocks_give_the_same(spark):
     rng = np.random.default_rng(1)
     vectors = rng.standard_normal((400, 8))
