@@ -167,15 +167,12 @@ class Codec:
         typecode = "H" if self.dtype.itemsize == 2 else "I"
 
         def chunk(text: str) -> bytes:
-            # One optional space and Latin letters are one match of the pattern; that saves most calls of it.
-            if text[1:].isalpha() and (text[0] == " " or text[0].isalpha()) and max(text) < "\u0250":
-                return array(typecode, encode(text.encode())).tobytes()
             ids: list[int] = []
             for piece in find(text):
                 ids += encode(piece.encode("utf-8", "replace"))
             return array(typecode, ids).tobytes()
 
-        self.chunks = ChunkCache(chunk)
+        self.chunks = ChunkCache(chunk, lambda word: array(typecode, encode(word.encode())).tobytes())
 
     @classmethod
     def get(cls, path: str | None, pattern: str | None) -> Codec:

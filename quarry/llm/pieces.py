@@ -25,17 +25,30 @@ def plain(text: str) -> bool:
     return _RUN.search(text) is None
 
 
+#: Marks that often end a word. After a letter each is a match of the pattern of its own.
+_MARKS = frozenset(".,;:!?")
+
+
 class ChunkCache(dict):
-    """Chunk to value. Keys are chunks without the one space before them, or with the line feed before them."""
+    """Chunk to value. Keys are chunks without the one space before them, or with the line feed before them.
+
+    encode takes any chunk; encode_word takes a space and Latin letters, which are one match of the pattern. A word with a mark at
+    its end is put together from the two, so that it costs no encoding of its own."""
 
-    def __init__(self, encode: Callable[[str], bytes], most: int = 250_000):
+    def __init__(self, encode: Callable[[str], bytes], encode_word: Callable[[str], bytes], most: int = 250_000):
         super().__init__()
-        self.encode, self.most, self.old = encode, most, {}
+        self.encode, self.encode_word, self.most, self.old = encode, encode_word, most, {}
+        self.marks = {m: encode(m) for m in _MARKS}
 
     def __missing__(self, key: str) -> bytes:
         value = self.old.get(key)
         if value is None:
-            value = self.encode(key if key[:1] == "\n" else " " + key)
+            if key.isalpha() and max(key) < "\u0250":
+                value = self.encode_word(" " + key)
+            elif key[-1:] in _MARKS and key[:-1].isalpha() and max(key) < "\u0250":
+                value = self[key[:-1]] + self.marks[key[-1]]
+            else:
+                value = self.encode(key if key[:1] == "\n" else " " + key)
         self[key] = value
         return value
 

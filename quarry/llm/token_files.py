@@ -115,6 +115,13 @@ class Codes:
         return out
 
 
+def byte_characters() -> dict[int, int]:
+    """The character that a byte-level vocabulary shows a byte as: itself if it can be seen, else the next from 256 on."""
+    seen = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = iter(range(256, 512))
+    return {b: b if b in seen else next(hidden) for b in range(256)}
+
+
 class Encoder:
     """The public tokenizers library, asked once for each chunk of text that was not met lately."""
 
@@ -130,7 +137,12 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         split, tokenize = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model.tokenize
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.chunks = ChunkCache(lambda text: array("I", [t.id for piece, _ in split(text) for t in tokenize(piece)]).tobytes())
+        table = byte_characters()
+
+        def word(text: str) -> bytes:
+            return array("I", [t.id for t in tokenize(text.encode().decode("latin-1").translate(table))]).tobytes()
+
+        self.chunks = ChunkCache(lambda text: array("I", [t.id for piece, _ in split(text) for t in tokenize(piece)]).tobytes(), word)
 
     @classmethod
     def get(cls, path: str | None) -> Encoder:
