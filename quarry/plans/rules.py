@@ -77,8 +77,8 @@ _BY_USER = f"""SELECT user_id, count_if(severity = 'critical') AS critical, coun
     f"""SELECT *, {_RISK} AS risk, greatest(0, least(100, floor(100 - 25 * critical - 10 * high - 5 * medium - low - 5 * greatest(0, total / 4.0 - 2) + 0.5)))::DOUBLE AS score FROM ({_BY_USER})""",
 )
 def security_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts by severity, risk and score; a user stands for a project of four files, with some of the events as findings."""
-    counts = R.severity_counts(_events(spark, sf_dir).where("event_id % 7 < 2"), "user_id")
+    """Counts by severity, risk and score; a user stands for a project of four files, with its events as findings."""
+    counts = R.severity_counts(_events(spark, sf_dir), "user_id")
     c = [F.col(s) for s in R.SEVERITIES]
     return counts.withColumns({"risk": R.risk(*c), "score": R.security_score(*c, F.lit(4)).cast("double")})
 

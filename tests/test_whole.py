@@ -33,3 +33,7 @@ def same(spark, db, name, *filters):
 
 def test_jaccard_pairs_sees_every_line(spark, db):
     same(spark, db, "jaccard_pairs", " WHERE l_partkey % 50 < 3")
+
+
+def test_security_metrics_counts_every_event(spark, db):
+    same(spark, db, "security_metrics", " WHERE event_id % 7 < 2")
