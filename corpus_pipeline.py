@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 from quarry.llm import bpe, language, minhash, mixing, secrets
 from quarry.llm.common import shared_path
 
-#: A document whose best language scores less is rejected; 0 is the score of a text that is like no language.
-LEAST_SCORE = 0.1
+#: How far a document's best language must score on the way from what it scores for a text that is like no language (the model's bias
+#: alone, about 1 / languages) to 1. Set on the labelled rows of sf0.1 that are not held out.
+LEAST_LIKENESS = 0.2
+#: Texts of fewer characters score low in any language, so that those with a letter stay.
+LEAST_CHARS = 30
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -25,9 +28,15 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Reject documents without a recognised language; fill in the languages that are missing."""
-    found = language.predict(_packed(docs), language.learn(docs), keep=("doc",))
-    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    """Reject documents without a letter and those like no learned language; fill in the languages that are missing."""
+    model = language.learn(docs)
+    found = language.predict(_packed(docs), model, keep=("doc",))
+    alike = F.lit(False)
+    for name, bias in zip(*(model.languages, model.bias.tolist()) if model else ((), ()), strict=True):
+        none = (bias + 1) / 2
+        alike = F.when(F.col("lang_pred") == name, F.col("score") >= min(1.0, none + LEAST_LIKENESS * (1 - none))).otherwise(alike)
+    short = F.length(F.col("doc.text").cast("string")) < LEAST_CHARS
+    kept = found.where((F.col("lang_pred") != "und") & (alike | short))
     lang = F.coalesce("doc.lang", "lang_pred").alias("lang")
     return kept.select(*(lang if c == "lang" else F.col("doc")[c].alias(c) for c in docs.columns))
 

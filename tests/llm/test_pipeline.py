@@ -58,3 +58,16 @@ def test_pipeline_is_brute_force(spark, make):
 def test_run_over_nothing(spark, empty, tmp_path):
     empty.write.parquet(f"{tmp_path}/documents.parquet")
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_texts_of_no_learned_language_go(spark, make):
+    rng = random.Random(9)
+    texts, langs = corpus(rng)
+    cyrillic, kana, noise = "абвгдежзийклмнопрстуфхцчшщ", "あいうえおかきくけこさしすせそ", "qxzjkvwbpfgh"
+    strange = ["".join(rng.choice(letters + " ") for _ in range(n)) for letters in (cyrillic, kana, noise) for n in (40, 400)] + ["0123 " * 30 + "x"]
+    clean = [prose(rng, 60), prose(rng, 60, GERMAN), "der die und"]
+    docs = make(texts + strange + clean, langs=langs + [None] * (len(strange) + len(clean)))
+    kept = {r.doc_id: r.lang for r in pipeline.identify_language(spark, docs, "").collect()}
+    first = len(texts)
+    assert not [i for i in range(first, first + len(strange)) if i in kept]
+    assert [kept.get(first + len(strange) + i) for i in range(3)] == ["en", "de", "de"]
