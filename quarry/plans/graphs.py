@@ -19,8 +19,7 @@ _ENTRY = "entry AS (SELECT DISTINCT src AS node FROM edges WHERE src NOT IN (SEL
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pending = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
-    lines = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").join(pending, "l_orderkey", "left_semi")
+    lines = table(spark, sf_dir, "lineitem")
     follow = F.lead("l_partkey").over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
     return G.dependency_graph(lines.select(F.col("l_partkey").alias("src"), follow.alias("dst")))
 

@@ -37,3 +37,11 @@ def test_jaccard_pairs_sees_every_line(spark, db):
 
 def test_security_metrics_counts_every_event(spark, db):
     same(spark, db, "security_metrics", " WHERE event_id % 7 < 2")
+
+
+GRAPHS = "dependency_edges fan_in_out entry_points isolated_nodes reachable unreachable_nodes connected_components cycle_groups transitive_dependencies component_statistics".split()
+
+
+@pytest.mark.parametrize("name", GRAPHS)
+def test_graphs_have_every_line(spark, db, name):
+    same(spark, db, name, " WHERE l_returnflag = 'R' AND l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')")
