@@ -9,8 +9,8 @@ positions, are a nonbranching path and compact to one span with source coordinat
 2. Edges meet by 96 bits of hash; each gets its source. Marks and spans join back to their documents' texts.
 3. Paths are compacted by document and diagonal (position less source position), and every word that a span covers is removed.
 
-Hot sequences: before a shuffle each batch combines its own rows. Of an anchor at most two rows a batch go to the anchor's partition,
-of an edge one row a batch (the smallest document); the others are settled in the batch and are dealt out at random.
+Hot sequences: before a shuffle each batch combines its own rows. Of an anchor the rows of at most two ids a batch go to the anchor's
+partition, of an edge one row a batch (the smallest document); the others are settled in the batch and are dealt out at random.
 
 Cases: a null or blank text has no words (n_words 0, hash of the empty text); texts shorter than a window lose nothing; a row without an
 id loses nothing and is no source; rows of one id are told apart by their text, and neither is a source of the other; of equal texts
@@ -69,9 +69,9 @@ def anchor_rows(docs: DataFrame, k: int) -> DataFrame:
                 order = np.lexsort((ids, anchor))
                 anchor, ids, row = anchor[order], ids[order], row[order]
                 start = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-                turn = np.arange(len(anchor)) - np.repeat(start, np.diff(np.concatenate([start, [len(anchor)]])))
-                known = turn >= 2
-                # The second row is of another document unless one document has several texts; those are only counted again later.
+                # Which of the anchor's distinct ids a row has, from 0; rows of one id stay together, as they may be all that it has.
+                step = np.concatenate([[False], (ids[1:] != ids[:-1]) & (anchor[1:] == anchor[:-1])]).cumsum()
+                known = step - np.repeat(step[start], np.diff(np.concatenate([start, [len(anchor)]]))) >= 2
                 key = np.where(known, _spread(anchor, ids), anchor)
                 # Back in order of documents, in which ids repeat from row to row and compress.
                 back = np.argsort(row, kind="stable")
@@ -145,7 +145,7 @@ def repeated_spans(docs: DataFrame, leaders: DataFrame, k: int = 13) -> DataFram
     """doc_id, print, start, end (in words), source, source_start: the compacted paths in the leaders (doc_id, print).
 
     docs has doc_id, print and text, without nulls."""
-    # A key's rows are few (two a batch at most), so a window over them needs no join, and one shuffle is all.
+    # A key's rows are few (of two ids a batch at most), so a window over them needs no join, and one shuffle is all.
     by = W.partitionBy("key")
     counted = anchor_rows(docs, k).select("doc_id", "print", "anchor", F.min("doc_id").over(by).alias("lo"), F.max("doc_id").over(by).alias("hi"), F.max("known").over(by).alias("any"))
     hits = counted.where("lo < hi or any").select("doc_id", "print", "anchor")

@@ -41,3 +41,15 @@ def test_spans_name_their_source(make):
     docs = make([prose(rng, 20) + " " + passage, prose(rng, 7) + " " + passage + " " + prose(rng, 9)]).selectExpr("doc_id", "xxhash64(text) print", "text")
     (r,) = substrings.repeated_spans(docs, docs.select("doc_id", "print")).collect()
     assert (r.doc_id, r.start, r.end, r.source, r.source_start) == (1, 7, 47, 0, 20)
+
+
+def test_rows_of_one_id_do_not_hide_a_third_document(make):
+    rng = random.Random(7)
+    passage = prose(rng, 40)
+    same = prose(rng, 20) + " " + passage
+    for texts in ([same, same, prose(rng, 9) + " " + passage], [same, passage + " " + prose(rng, 15), prose(rng, 9) + " " + passage]):
+        ids = [5, 5, 9]
+        rows = substrings.remove_repeats(make(texts, ids=ids).coalesce(1)).collect()
+        got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in rows), key=str)
+        assert got == brute(ids, texts, 13)
+        assert [n for d, _, n, _ in got if d == 9] == [40]
