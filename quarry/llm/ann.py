@@ -16,7 +16,7 @@ Work is dealt in blocks of a list's vectors and a list's queries, so neither a l
 
 Cases: vectors that are null, zero, of another dimension than most or that hold null or non-finite parts take no part, nor do rows
 without an id; ties go to the smaller id; a query is no candidate of its own, nor is any row with its id; rows repeated under other
-ids are found each; an empty table gives an empty table; other columns aren't read.
+ids are found each; rows of one id are one query and one neighbour, at the best score of their vectors; an empty table gives an empty table; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -93,6 +93,7 @@ def search_block(v: pd.DataFrame, q: pd.DataFrame, index: Index, k: int, slack:
     signs = (np.unpackbits(bits, axis=1, bitorder="little")[:, :d].astype(np.float32) * 2 - 1) / np.sqrt(d)
     length, own = v["length"].to_numpy(), v["own"].to_numpy()
     off = length * slack * np.sqrt((1 - np.minimum(own, 1) ** 2) / own**2 / max(d - 1, 1))
+    names = q["query_id"].to_numpy()
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for at in range(0, len(queries), 256):
         part = queries[at : at + 256]
@@ -100,6 +101,7 @@ def search_block(v: pd.DataFrame, q: pd.DataFrame, index: Index, k: int, slack:
         guess = (part @ index.centroids[near])[:, None] + (turned @ signs.T) * (length / own)[None, :]
         error = np.linalg.norm(part, axis=1)[:, None] * off[None, :]
         low = guess - error
+        low[ids[None, :] == names[at : at + 256, None]] = -np.inf
         bar = np.partition(low, -(k + 1), axis=1)[:, -(k + 1)] if len(v) > k + 1 else np.full(len(part), -np.inf)
         floor = q["floor"].to_numpy()[at : at + 256]
         bar = np.maximum(bar, floor)
@@ -130,6 +132,13 @@ def nearest(
         return empty
     d, n = common
     rows = rows.where(F.size("v") == d)
+    # An id with m vectors may take m places, so that m times as many rows are looked for.
+    per_id = lambda: rows.groupBy("vec_id").agg(F.count(F.lit(1)).alias("m")).agg(F.max("m").alias("m")).first()
+    most = per_id()[0]
+    if most > 1:
+        rows = cut(rows.dropDuplicates(["vec_id", "v"]))
+        n, most = rows.count(), per_id()[0]
+    wide = k * most
     # A sample of bounded size, in the order of a hash: the only vectors that reach the driver.
     drawn = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, n // (2 * sample)))) == 0).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample)
     got = drawn.select("vec_id", "v").collect()
@@ -162,7 +171,7 @@ def nearest(
                 asked_lists[np.arange(len(ids))[:, None], part] = True
                 near[(ids[:, None] == fitted_ids[None, :]) | ~asked_lists[:, fitted_lists]] = -np.inf
                 # The 2k-th, as an error bound may fail for some; a hair lower, as last digits depend on the order of additions.
-                floor = np.partition(near, -2 * k, axis=1)[:, -2 * k] if near.shape[1] >= 2 * k else np.full(len(ids), -np.inf)
+                floor = np.partition(near, -2 * wide, axis=1)[:, -2 * wide] if near.shape[1] >= 2 * wide else np.full(len(ids), -np.inf)
                 floor = floor - 1e-9 * np.linalg.norm(m[i : i + 200], axis=1) * longest
                 images = np.repeat(np.array([x.tobytes() for x in m[i : i + 200]], object), probes)
                 yield pa.RecordBatch.from_arrays(
@@ -171,22 +180,28 @@ def nearest(
                 )
 
     codes = cut(rows.select("vec_id", "v").mapInArrow(code, "vec_id long, list int, vector binary, code binary, length double, own double"))
-    asked = rows.where("q").select("vec_id", "v").mapInArrow(look, "query_id long, list int, vector binary, floor double")
-    # Blocks of a list: its vectors are dealt to ``parts`` and its queries to ``turns``, by the sizes counted first.
     counts = codes.groupBy("list").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
-    asks = asked.groupBy("list").agg(F.count(F.lit(1)).alias("m")).withColumn("turns", F.ceil(F.col("m") / block).cast("int"))
-    plan = F.broadcast(counts.join(asks, "list").select("list", "parts", "turns"))  # at most most_lists rows
     each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    left = codes.join(plan, "list").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).withColumn("turn", each("turns"))
-    right = asked.join(plan, "list").withColumn("turn", F.pmod(F.xxhash64("query_id"), F.col("turns")).cast("int")).withColumn("part", each("parts"))
     key = ["list", "part", "turn"]
 
-    def meet(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        return search_block(v, q, index, k, slack) if len(v) and len(q) else search_block(v, q.iloc[:0], index, k, slack) if len(v) else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+    def found(asked: DataFrame, slack: float) -> DataFrame:
+        # Blocks of a list: its vectors are dealt to ``parts`` and its queries to ``turns``, by the sizes counted first.
+        asks = asked.groupBy("list").agg(F.count(F.lit(1)).alias("m")).withColumn("turns", F.ceil(F.col("m") / block).cast("int"))
+        plan = F.broadcast(counts.join(asks, "list").select("list", "parts", "turns"))  # at most most_lists rows
+        left = codes.join(plan, "list").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).withColumn("turn", each("turns"))
+        right = asked.join(plan, "list").withColumn("turn", F.pmod(F.xxhash64("query_id"), F.col("turns")).cast("int")).withColumn("part", each("parts"))
 
-    found = left.select(*key, "vec_id", "vector", "code", "length", "own").groupBy(*key).cogroup(right.select(*key, "query_id", "vector", "floor").groupBy(*key)).applyInPandas(meet, "query_id long, vec_id long, score double")
-    best = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        def meet(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+            return search_block(v, q, index, wide, slack) if len(v) and len(q) else search_block(v, q.iloc[:0], index, wide, slack) if len(v) else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+
+        met = left.select(*key, "vec_id", "vector", "code", "length", "own").groupBy(*key).cogroup(right.select(*key, "query_id", "vector", "floor").groupBy(*key)).applyInPandas(meet, "query_id long, vec_id long, score double")
+        if most > 1:
+            met = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        best = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return cut(met.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
+
+    queries = rows.where("q").select("vec_id", "v")
+    return found(queries.mapInArrow(look, "query_id long, list int, vector binary, floor double"), slack)
 
 
 def search(table: DataFrame, every: int = 20, k: int = 20, vec_id: str = "vec_id", **options) -> DataFrame:

@@ -65,3 +65,26 @@ def test_odd_vectors(spark):
     assert found == {0: [20, 1, 8], 20: [0, 1, 8]}
     assert ann.search(frame(spark, [])).count() == 0
     assert ann.search(frame(spark, [[1.0, 2.0]])).count() == 0
+
+
+def test_repeated_ids_are_one_query_and_one_neighbour(spark):
+    rng = np.random.default_rng(3)
+    vectors = rng.standard_normal((200, 8))
+    ids = list(range(200))
+    want = sorted(map(tuple, ann.search(frame(spark, vectors.tolist(), ids), least_probe=100).collect()))
+    again = np.concatenate([vectors, vectors[:60]])
+    got = sorted(map(tuple, ann.search(frame(spark, again.tolist(), ids + ids[:60]), least_probe=100).collect()))
+    assert [x[:3] for x in got] == [x[:3] for x in want]
+    # Two vectors of one id: the better score counts, once.
+    other = np.concatenate([vectors, vectors[:60] * -1])
+    m = other.astype(np.float32).astype(np.float64)
+    names = np.array(ids + ids[:60])
+    got = {}
+    for r in ann.search(frame(spark, other.tolist(), names.tolist()), least_probe=100).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    for q in range(0, 200, 20):
+        best = {}
+        for a in np.flatnonzero(names == q):
+            for b in np.flatnonzero(names != q):
+                best[int(names[b])] = max(best.get(int(names[b]), -np.inf), float((m[a] * m[b]).sum()))
+        assert [j for _, j in sorted(got[q])] == sorted(best, key=lambda j: (-best[j], j))[:20]
