@@ -10,7 +10,8 @@ of its parts (packed bits), with two scalars: the residual's length, and the pro
 reaches the k-th best lower bound of their block are ranked again by their exact product on the original vectors.
 
 A query's 2k-th best product among the sample's rows in its lists is a floor: a block returns only what reaches it, at most k rows a query, so that what
-all blocks return together stays near 2k times the table's size over the sample's.
+all blocks return together stays near 2k times the table's size over the sample's. Where an error bound fails, a query may get fewer rows
+than there are; it looks into all lists then, without floor and bound.
 
 Work is dealt in blocks of a list's vectors and a list's queries, so neither a large list nor many queries meet in one task.
 
@@ -92,7 +93,7 @@ def search_block(v: pd.DataFrame, q: pd.DataFrame, index: Index, k: int, slack:
     bits = np.frombuffer(b"".join(v["code"]), np.uint8).reshape(len(v), -1)
     signs = (np.unpackbits(bits, axis=1, bitorder="little")[:, :d].astype(np.float32) * 2 - 1) / np.sqrt(d)
     length, own = v["length"].to_numpy(), v["own"].to_numpy()
-    off = length * slack * np.sqrt((1 - np.minimum(own, 1) ** 2) / own**2 / max(d - 1, 1))
+    off = length * (slack if slack < np.inf else 0) * np.sqrt((1 - np.minimum(own, 1) ** 2) / own**2 / max(d - 1, 1))
     names = q["query_id"].to_numpy()
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for at in range(0, len(queries), 256):
@@ -106,7 +107,7 @@ def search_block(v: pd.DataFrame, q: pd.DataFrame, index: Index, k: int, slack:
         floor = q["floor"].to_numpy()[at : at + 256]
         bar = np.maximum(bar, floor)
         for i, name in enumerate(q["query_id"].iloc[at : at + 256].tolist()):
-            keep = np.flatnonzero((guess[i] + error[i] >= bar[i]) & (ids != name))
+            keep = np.flatnonzero(((guess[i] + error[i] >= bar[i]) | (slack == np.inf)) & (ids != name))
             exact = (vectors[keep] * part[i]).sum(axis=1)
             reach = exact >= floor[i]
             keep, exact = keep[reach], exact[reach]
@@ -133,8 +134,8 @@ def nearest(
     d, n = common
     rows = rows.where(F.size("v") == d)
     # An id with m vectors may take m places, so that m times as many rows are looked for.
-    per_id = lambda: rows.groupBy("vec_id").agg(F.count(F.lit(1)).alias("m")).agg(F.max("m").alias("m")).first()
-    most = per_id()[0]
+    per_id = lambda: rows.groupBy("vec_id").agg(F.count(F.lit(1)).alias("m")).agg(F.max("m").alias("m"), F.count(F.lit(1)).alias("ids")).first()
+    most, n_ids = per_id()
     if most > 1:
         rows = cut(rows.dropDuplicates(["vec_id", "v"]))
         n, most = rows.count(), per_id()[0]
@@ -201,7 +202,26 @@ def nearest(
         return cut(met.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
 
     queries = rows.where("q").select("vec_id", "v")
-    return found(queries.mapInArrow(look, "query_id long, list int, vector binary, floor double"), slack)
+    first = found(queries.mapInArrow(look, "query_id long, list int, vector binary, floor double"), slack)
+    # Queries with too few rows look once more, into all lists, without floor and bound.
+    got_rows = first.groupBy(F.col("query_id").alias("vec_id")).agg(F.count(F.lit(1)).alias("got"))
+    short = queries.join(got_rows, "vec_id", "left").where(F.coalesce("got", F.lit(0)) < min(k, n_ids - 1)).select("vec_id", "v")
+    if short.isEmpty():
+        return first
+
+    def look_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 200):
+                b = whole.slice(at, 200)
+                m = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, d)
+                images = np.repeat(np.array([x.tobytes() for x in m], object), lists)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(b.column(0).to_numpy(), lists)), pa.array(np.tile(np.arange(lists, dtype=np.int32), b.num_rows)), pa.array(images, pa.binary()), pa.array(np.full(b.num_rows * lists, -np.inf))],
+                    ["query_id", "list", "vector", "floor"],
+                )
+
+    again = found(short.mapInArrow(look_again, "query_id long, list int, vector binary, floor double"), np.inf)
+    return first.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(again)
 
 
 def search(table: DataFrame, every: int = 20, k: int = 20, vec_id: str = "vec_id", **options) -> DataFrame:

@@ -88,3 +88,15 @@ def test_repeated_ids_are_one_query_and_one_neighbour(spark):
             for b in np.flatnonzero(names != q):
                 best[int(names[b])] = max(best.get(int(names[b]), -np.inf), float((m[a] * m[b]).sum()))
         assert [j for _, j in sorted(got[q])] == sorted(best, key=lambda j: (-best[j], j))[:20]
+
+
+def test_queries_with_too_few_rows_look_again(spark):
+    rng = np.random.default_rng(4)
+    vectors = rng.standard_normal((600, 8))
+    # A bound that fails for nearly all rows, and one list of many: few rows would be left.
+    rows = ann.search(frame(spark, vectors.tolist()), slack=-5.0, probe=0.01, least_probe=1, per_list=10).collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    want = brute(vectors, 20, 20)
+    assert {q: [j for _, j in sorted(x)] for q, x in got.items()} == {q: [j for j, _ in x] for q, x in want.items()}
