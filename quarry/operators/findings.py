@@ -57,12 +57,12 @@ def _position(severity: Column, names: tuple[str, ...]) -> Column:
     return F.array_position(F.array(*map(F.lit, names)), severity)
 
 
-def match_rules(files: DataFrame, rules: tuple[Rule, ...] = RULES, most: int = 1000) -> DataFrame:
+def match_rules(files: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """A finding for each match of each rule in files(path, content): rules are literals inside of one projection, so the files are
     read once and nothing is joined. The n-th match is found after the text up to the (n-1)-th."""
 
     def hits(r: Rule) -> Column:
-        found = F.slice(F.regexp_extract_all("content", F.lit(r.pattern), F.lit(0)), 1, most)
+        found = F.regexp_extract_all("content", F.lit(r.pattern), F.lit(0))
         # Walk the matches from left to right: each is searched for behind the one before.
         walk = F.aggregate(
             found,

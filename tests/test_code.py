@@ -89,3 +89,11 @@ def test_files_are_read_from_a_tree(spark, tmp_path):
     got = J.files(spark, str(tmp_path))
     assert rows(got, "path", "content") == sorted(P.PROJECT)
     assert len(J.sources(got).collect()) == 5
+
+
+def test_every_match_is_a_finding(spark):
+    from quarry.operators import findings
+
+    files = spark.createDataFrame([("a.js", "x = Math.random();\n" * 1200)], "path string, content string")
+    lines = sorted(r.line for r in findings.match_rules(files).where("rule = 'math-random'").collect())
+    assert lines == list(range(1, 1201))
