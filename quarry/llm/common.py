@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import itertools
 import os
 import tempfile
 from collections.abc import Callable, Iterator
@@ -34,18 +36,40 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        if not sc.master.startswith("local["):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quarry-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+_turns = itertools.count(1)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more: it does so when the driver collects its garbage,
+    which a driver that does little may not do during a whole job of many rounds."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write a frame to the shared checkpoint folder and read it from there, so that lost executors cost no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
+    if next(_turns) % 4 == 0:
+        release(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def drop(*frames: DataFrame) -> None:
+    """Delete the files of frames that ``cut`` made, once nothing that is still to run reads them."""
+    for df in frames:
+        plan = df._jdf.queryExecution().logical()
+        file = plan.rdd().getCheckpointFile() if plan.getClass().getSimpleName() == "LogicalRDD" else None
+        if file is not None and file.isDefined():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path inside the shared folder."""
     return os.path.join(ensure_checkpoint_dir(spark), f"{name}-{spark._jvm.java.util.UUID.randomUUID()}")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WordHashes, cut, mix64, rolling
+from quarry.llm.common import WordHashes, cut, drop, mix64, rolling
 
 BINS, BAND = 128, 4
 _ROUND = np.arange(2 * BINS, dtype=np.uint64)
@@ -116,14 +116,17 @@ def components(edges: DataFrame) -> DataFrame:
     """node, comp (the smallest node that it reaches), for the nodes of edges (a, b): smallest neighbour's label, then a jump to
     the label's own label, until nothing changes. The number of rounds is logarithmic for the stars that leaders make."""
     both = cut(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")))
+    held = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")))
+    labels = held
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         lower = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("new"))
         own = labels.select(F.col("node").alias("new"), F.col("comp").alias("jump"))
         stepped = cut(lower.join(own, "new", "left").select("node", "old", F.least("new", F.coalesce("jump", "new")).alias("comp")))
-        labels = stepped.select("node", "comp")
+        drop(held)
+        held, labels = stepped, stepped.select("node", "comp")
         if stepped.where("comp <> old").isEmpty():
+            drop(both)
             return labels
 
 
@@ -141,11 +144,13 @@ def _sets(need: DataFrame, docs: DataFrame, k: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("node")), docs, k)
+    sets = cut(_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")), docs, k))
     left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - common
-    return pairs.join(right, "b").join(left, "a").where(100 * common >= percent * union).select("a", "b").distinct()
+    found = cut(pairs.join(right, "b").join(left, "a").where(100 * common >= percent * union).select("a", "b").distinct())
+    drop(sets)
+    return found
 
 
 def _xor(a: str, b: str) -> Column:
@@ -153,6 +158,10 @@ def _xor(a: str, b: str) -> Column:
     return F.concat(F.array_except(a, b), F.array_except(b, a))
 
 
+#: Members of a group that one task compares with the group's sets.
+PART = 2_000
+
+
 def _cross_links(groups: DataFrame, comps: DataFrame, docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) that are sure, and candidate pairs (a, b), within groups (lead, node), without forming a group's pairs.
 
@@ -162,48 +171,64 @@ def _cross_links(groups: DataFrame, comps: DataFrame, docs: DataFrame, k: int, p
     - x and y with f(x) + f(y) >= 0 are linked, and both to the member m with the largest f: a star around m makes all these links;
     - other links need o = -(f(x) + f(y)) / 2 > 0 common elements of D. One end at least isn't in the star (an outlier: two members
       of the star are connected anyway). In order of rarity two sets with o common elements share one of the first |D| - o + 1, and
-      from the first that they share on, both still have o elements."""
+      from the first that they share on, both still have o elements. Elements whose members are all of one component can't make a
+      new link.
+
+    A large group's members are dealt to parts, each of which gets the group's two sets; what is left of a group is one row a member
+    with short differences."""
     c = (100 - percent) / (100 + percent)
+    turns = F.ceil(F.col("g") / PART).cast("int")
+    sizes = cut(groups.groupBy("lead").agg(F.count(F.lit(1)).alias("g")))
+    split = sizes.select("lead", "g", turns.alias("turns"))
+    each = lambda df: df.join(split, "lead").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
+    dealt = groups.join(split, "lead").withColumn("part", F.pmod(F.xxhash64("node"), F.col("turns")).cast("int"))
     sets = cut(_sets(groups.select(F.explode(F.array("lead", "node")).alias("node")), docs, k))
-    lead = sets.select(F.col("node").alias("lead"), F.col("shingles").alias("base"))
-    diffs = groups.join(sets, "node").join(lead, "lead").select("lead", "node", F.size("shingles").alias("n"), _xor("shingles", "base").alias("d"))
-    diffs = cut(diffs)
-    counts = diffs.groupBy("lead").agg(F.count(F.lit(1)).alias("g"))
+    base = each(sets.select(F.col("node").alias("lead"), F.col("shingles").alias("base"))).select("lead", "part", "base")
+    # Partly aggregated before the shuffle by (lead, e), so that an element of all members is a row a task.
+    diffs = cut(dealt.select("lead", "part", "node").join(sets, "node").join(base, ["lead", "part"]).select("lead", "part", "node", F.size("shingles").alias("n"), _xor("shingles", "base").alias("d")))
+    drop(sets)
     common = diffs.select("lead", F.explode("d").alias("e")).groupBy("lead", "e").agg(F.count(F.lit(1)).alias("c"))
     # A majority set is no longer than twice the mean difference.
-    major = common.join(counts, "lead").where("2 * c > g").groupBy("lead").agg(F.collect_list("e").alias("m"))
-    moved = diffs.join(major, "lead", "left").withColumn("m", F.coalesce("m", F.array().cast("array<bigint>")))
-    moved = moved.select("lead", "node", "n", _xor("d", "m").alias("d")).withColumn("f", c * F.col("n") - F.size("d"))
+    major = each(common.join(split.select("lead", "g"), "lead").where("2 * c > g").groupBy("lead").agg(F.collect_list("e").alias("m"))).select("lead", "part", "m")
+    moved = diffs.join(major, ["lead", "part"], "left").withColumn("m", F.coalesce("m", F.array().cast("array<bigint>")))
+    moved = moved.select("lead", "part", "node", "n", _xor("d", "m").alias("d")).withColumn("f", c * F.col("n") - F.size("d"))
     moved = cut(moved.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+    drop(diffs)
     top = moved.groupBy("lead").agg(F.max(F.struct("f", "node")).alias("top")).select("lead", F.col("top.f").alias("most"), F.col("top.node").alias("star"))
-    rated = moved.join(top, "lead").withColumn("out", F.col("f") + F.col("most") < -1e-6)
-    stars = rated.where(~F.col("out") & (F.col("node") != F.col("star"))).select(F.col("star").alias("a"), F.col("node").alias("b"))
+    rated = moved.join(each(top).select("lead", "part", "most", "star"), ["lead", "part"]).withColumn("out", F.col("f") + F.col("most") < -1e-6)
+    stars = cut(rated.where(~F.col("out") & (F.col("node") != F.col("star"))).select(F.col("star").alias("a"), F.col("node").alias("b")).distinct())
     outer = rated.where("out").groupBy("lead").agg(F.max("f").alias("most_out"))
-    open_ = rated.join(outer, "lead")
+    open_ = rated.join(each(outer).select("lead", "part", "most_out"), ["lead", "part"])
     # An outlier's partner may be any member; another member's partner, as far as it matters, is an outlier.
     least = F.greatest(F.lit(1), F.ceil(-(F.col("f") + F.when(F.col("out"), F.col("most")).otherwise(F.col("most_out"))) / 2 - 1e-6))
-    prefix = open_.withColumn("keep", (F.size("d") - least + 1).cast("int")).where("keep > 0").select("lead", "node", "n", "f", "comp", "out", "keep", F.explode("d").alias("e"))
-    rare = prefix.groupBy("lead", "e").agg(F.count(F.lit(1)).alias("c"), F.max("out").alias("any")).where("c > 1 and any")
-    # Elements of one member only can't be shared; they come first in the order, so only their number matters.
-    shared = prefix.join(rare, ["lead", "e"]).groupBy("lead", "node", "n", "f", "comp", "out", "keep").agg(F.sort_array(F.collect_list(F.struct("c", "e"))).alias("es"))
-    sizes = moved.select("lead", "node", F.size("d").alias("all"))
+    member = ["lead", "node", "n", "f", "comp", "out", "keep", "all"]
+    prefix = open_.withColumns({"keep": (F.size("d") - least + 1).cast("int"), "all": F.size("d")}).where("keep > 0").select(*member, F.explode("d").alias("e"))
+    rare = prefix.groupBy("lead", "e").agg(F.count(F.lit(1)).alias("c"), F.max("out").alias("any"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    # Elements of one member only can't be shared; they come first in the order, so only their number matters. Those of one component
+    # alone are shared, but make no new link: they keep their place, and are left out after the prefix is taken.
+    rare = rare.where("c > 1").select("lead", "e", "c", (F.col("any") & (F.col("lo") != F.col("hi"))).alias("use"))
+    shared = prefix.join(rare, ["lead", "e"]).groupBy(*member).agg(F.sort_array(F.collect_list(F.struct("c", "e", "use"))).alias("es"))
     first = F.slice("es", 1, F.greatest(F.lit(0), F.col("keep") - (F.col("all") - F.size("es"))).cast("int"))
     # rest: how many elements come after one in the order. Two sets whose first common element this is share at most 1 + rest.
-    placed = shared.join(sizes, ["lead", "node"]).select("lead", "node", "n", "f", "comp", "out", F.size("es").alias("all"), F.posexplode(first).alias("i", "x"))
-    tokens = cut(placed.select("lead", "node", "n", "f", "comp", "out", F.col("x.e").alias("e"), (F.col("all") - 1 - F.col("i")).alias("rest")))
+    placed = shared.select("lead", "node", "n", "f", "comp", "out", F.size("es").alias("left"), F.posexplode(first).alias("i", "x")).where("x.use")
+    tokens = cut(placed.select("lead", "node", "n", "f", "comp", "out", F.col("x.e").alias("e"), (F.col("left") - 1 - F.col("i")).alias("rest")))
+    drop(moved, sizes)
     x = tokens.where("out").select("lead", "e", F.col("node").alias("a"), F.col("n").alias("na"), F.col("f").alias("fa"), F.col("comp").alias("ca"), F.col("rest").alias("ra"))
     y = tokens.select(F.col("lead").alias("lead2"), F.col("e").alias("e2"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("f").alias("fb"), F.col("comp").alias("cb"), F.col("rest").alias("rb"), F.col("out").alias("yout"))
     alike = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
     enough = 1 + F.least("ra", "rb") >= -(F.col("fa") + F.col("fb")) / 2 - 1e-6
     met = x.join(y, (F.col("lead") == F.col("lead2")) & (F.col("e") == F.col("e2")) & (F.col("ca") != F.col("cb")) & (~F.col("yout") | (F.col("a") < F.col("b"))) & alike & enough)
-    return stars.distinct(), met.select("a", "b").distinct()
+    pairs = cut(met.select("a", "b").distinct())
+    drop(tokens)
+    return stars, pairs
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for each input row."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    base = cut(sketches(docs, k))
-    real = base.where("n_shingles > 0 and doc_id is not null")
+    sketched = cut(sketches(docs, k))
+    base = cut(sketched.drop("bands"))
+    real = sketched.where("n_shingles > 0 and doc_id is not null")
     # Rows of one id with several texts count as linked; a class of equal sets is its smallest id.
     classes = cut(real.groupBy("set_hash", "n_shingles").agg(F.min("doc_id").alias("rep")))
     own = real.join(classes.select("rep", F.col("set_hash").alias("h")), (F.col("doc_id") == F.col("rep")) & (F.col("set_hash") == F.col("h")))
@@ -213,27 +238,36 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, text: str =
     texts = docs.where("doc_id is not null")
     repeated = real.groupBy("doc_id").agg(F.min("set_hash").alias("x"), F.max("set_hash").alias("y")).where("x <> y").select("doc_id")
     edges = cut(real.join(repeated, "doc_id", "left_semi").join(classes, ["set_hash", "n_shingles"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b"))
+    drop(sketched)
     comps = components(edges)
-    now = members.join(comps, "node", "left").select("band", "node", "n", F.coalesce("comp", "node").alias("comp"))
     lead = F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node"), F.col("n"))).alias("lead")
-    met = now.join(now.groupBy("band").agg(lead), "band").where("node <> lead.node")
     alike = 100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")
+    met = members.join(members.groupBy("band").agg(lead), "band").where("node <> lead.node")
     # Each member is compared with one leader, the first by hash among those of its buckets.
     pairs = cut(met.where(alike).groupBy(F.col("node").alias("b")).agg(F.min("lead").alias("lead")).select(F.col("lead.node").alias("a"), "b"))
     if not pairs.isEmpty():
-        edges = cut(edges.union(_verified(pairs, texts, k, percent)))
-        comps = components(edges)
+        more = _verified(pairs, texts, k, percent)
+        edges, comps = _with(edges, more, comps)
+    drop(pairs)
     now = members.join(comps, "node", "left").select("band", "node", "n", F.coalesce("comp", "node").alias("comp"))
     open_ = now.groupBy("band").agg(lead, F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     groups = cut(now.join(open_.select("band", F.col("lead.node").alias("lead")), "band").select("lead", "node").distinct())
+    drop(members)
     if not groups.isEmpty():
         stars, rest = _cross_links(groups, comps, texts, k, percent)
-        rest = cut(rest)
-        edges = edges.union(stars)
+        drop(groups)
+        edges, comps = _with(edges, stars, comps)
         if not rest.isEmpty():
-            edges = edges.union(_verified(rest, texts, k, percent))
-        edges = cut(edges)
-        comps = components(edges)
+            edges, comps = _with(edges, _verified(rest, texts, k, percent), comps)
+        drop(rest)
+    drop(edges)
     placed = base.join(classes, ["set_hash", "n_shingles"], "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.coalesce("comp", "rep"))
     return placed.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _with(edges: DataFrame, more: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The edges with more, and their components, in place of those before."""
+    every = cut(edges.union(more))
+    drop(edges, more)
+    return every, components(every)
