@@ -19,7 +19,7 @@ stay one to one with the input, repeated or not; an empty table gives an empty t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -28,6 +28,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry.llm.common import cut
+
+#: Languages whose counts may be broadcast, a few dozen bytes each.
+MOST_BROADCAST = 100_000
 BITS = 17
 PLACES = 1 << BITS
 GRAMS = 4
@@ -90,6 +94,14 @@ def fit(rows: np.ndarray, labels: list[str], landmarks: int = 128, ridge: float
     return Model(languages, weights, (mean_y - mean_f @ solved).astype(np.float64))
 
 
+def scores(model: Model, found: list[np.ndarray]) -> np.ndarray:
+    """A batch's values for each language: its presence rows, as lists of places, times the weights (a sparse matrix product)."""
+    ends = np.cumsum([len(x) for x in found])
+    starts = np.concatenate([[0], ends[:-1]])
+    raw = np.add.reduceat(model.weights[np.concatenate(found)], starts, axis=0, dtype=np.float64)
+    return raw / np.sqrt(ends - starts)[:, None] + model.bias
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
@@ -102,10 +114,12 @@ def learn(docs: DataFrame, most: int = 1024, landmarks: int = 128, text: str = "
     # all rows of a frequent language.
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))
     ids = known.select("doc_id", "lang", place.alias("place"))
-    counts = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    few = ids.join(counts, "lang").where(F.col("place") * F.col("n") < 4.0 * most * (1 << 32))
+    # One row a language; a language code is no free text, and more of them than this are no languages.
+    counts = cut(ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    near = F.broadcast(counts) if counts.count() <= MOST_BROADCAST else counts
+    few = ids.join(near, "lang").where(F.col("place") * F.col("n") < 4.0 * most * (1 << 32))
     rank = F.row_number().over(W.partitionBy("lang").orderBy("place", "doc_id"))
-    chosen = few.withColumn("rank", rank).where(F.col("rank") <= most).orderBy("rank", "lang").limit(most)
+    chosen = few.dropDuplicates(["lang", "place", "doc_id"]).withColumn("rank", rank).where(F.col("rank") <= most).orderBy("rank", "lang").limit(most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.zeros(PLACES, np.uint8)
@@ -117,51 +131,54 @@ def learn(docs: DataFrame, most: int = 1024, landmarks: int = 128, text: str = "
                 images.append(np.packbits(row, bitorder="little").tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(images, pa.binary())], ["rank", "lang", "image"])
 
-    sample = known.where("text is not null").join(chosen.select("doc_id", "lang", "rank"), ["doc_id", "lang"]).select("rank", "lang", "text")
-    found = sample.mapInArrow(run, "rank int, lang string, image binary").limit(2 * most).toArrow()
+    # Of rows that repeat an id and language the text with the smallest hash speaks for all, so that a draw is one row.
+    drawn = known.where("text is not null").join(F.broadcast(chosen.select("doc_id", "lang", "rank")), ["doc_id", "lang"])
+    sample = drawn.groupBy("rank", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    found = sample.mapInArrow(run, "rank int, lang string, image binary").toArrow()
     if not found.num_rows:
         return None
-    found = found.sort_by([("rank", "ascending"), ("lang", "ascending"), ("image", "ascending")])
+    found = found.sort_by([("rank", "ascending"), ("lang", "ascending")])
     images = np.frombuffer(b"".join(found.column("image").to_pylist()), np.uint8).reshape(-1, PLACES // 8)
     return fit(images, found.column("lang").to_pylist(), landmarks)
 
 
-def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """The columns ``keep``, lang_pred and score (0 to 1) for each row; only the text is looked at."""
-    from pyspark.sql import types as T
-
-    fields = [docs.schema[c] for c in keep]
-    at = len(keep)
+def classifier(model: Model | None) -> Callable[[Column], Column]:
+    """A function from a text column to struct(lang_pred, score). Texts alone go to Python, and nothing but results comes back."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import regex
 
         letter = regex.compile(r"\p{L}").search
         flags = np.zeros(PLACES, np.uint8)
         for whole in batches:
-            for first in range(0, whole.num_rows, 256):
+            parts = []
+            for first in range(0, len(whole), 256):
                 b = whole.slice(first, 256)
-                n = b.num_rows
+                n = len(b)
                 found, rows = [], []
-                for i, x in enumerate(b.column(at)):
+                for i, x in enumerate(b):
                     x = x.as_py()
                     if model is not None and x and letter(x):
                         found.append(places(x, flags))
                         rows.append(i)
                 best, score = ["und"] * n, np.zeros(n)
                 if rows:
-                    ends = np.cumsum([len(x) for x in found])
-                    starts = np.concatenate([[0], ends[:-1]])
-                    raw = np.add.reduceat(model.weights[np.concatenate(found)], starts, axis=0, dtype=np.float64)
-                    values = raw / np.sqrt(ends - starts)[:, None] + model.bias
+                    values = scores(model, found)
                     top = values.argmax(axis=1)
                     for i, k in zip(rows, top.tolist(), strict=True):
                         best[i] = model.languages[k]
                     score[rows] = np.clip((values[np.arange(len(rows)), top] + 1) / 2, 0, 1)
-                yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(best, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
+                parts.append(pa.StructArray.from_arrays([pa.array(best, pa.string()), pa.array(score)], ["lang_pred", "score"]))
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("lang_pred", pa.string()), ("score", pa.float64())]))
+
+    # Not deterministic to the optimizer, so that a filter on the result doesn't classify twice.
+    return F.arrow_udf(run, "struct<lang_pred:string,score:double>").asNondeterministic()
+
 
-    schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
+def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """The columns ``keep``, lang_pred and score (0 to 1) for each row; only the text is looked at."""
+    found = docs.select(F.struct(*keep).alias("row"), classifier(model)(F.col(text).cast("string")).alias("found"))
+    return found.select(*(F.col("row")[c].alias(c) for c in keep), "found.lang_pred", "found.score")
 
 
 def identify(docs: DataFrame) -> DataFrame:
