@@ -19,13 +19,14 @@ from __future__ import annotations
 
 import base64
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import held, small_batches
 from quarry.llm.pieces import ChunkCache
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -46,71 +47,207 @@ def vocabulary_path(path: str | None) -> str:
 
 
 class Transducer:
-    """Encodes one piece (a match of the splitting pattern) at a time."""
+    """A lazily determinised transducer from the bytes of a piece (a match of the splitting pattern) to its ids.
 
-    def __init__(self, ranks: dict[bytes, int], most_arcs: int = 1_000_000):
-        self.ranks, self.most_arcs = ranks, most_arcs
+    A path of the nondeterministic machine is (last, held, node): the token it ended with, its tokens that aren't emitted yet, and the
+    node of the vocabulary's trie that the bytes after them have reached. A byte moves each path down the trie; where that completes
+    a token that may follow ``last``, a path that took it starts at the root again. A deterministic state is the set of paths that
+    are alive, less the tokens that all of them hold first: those are emitted. States and transitions are made when first met, one a piece."""
+
+    def __init__(self, ranks: dict[bytes, int], most: int = 120_000):
+        self.ranks, self.most = ranks, most
         self.bytes_of = {i: t for t, i in ranks.items()}
-        self.arcs: dict[tuple[int, int], bool] = {}
-        #: The longest token that starts with given two bytes: no longer one is looked up.
-        self.reach: dict[bytes, int] = {}
-        for t in ranks:
-            if len(t) > self.reach.get(t[:2], 0):
-                self.reach[t[:2]] = len(t)
-
-    def merge(self, data: bytes) -> list[int]:
+        self.parts: dict[int, tuple[int, int] | None] = {}
+        self.follows: dict[int, bool] = {}  # by a * 2**32 + b
+        # The trie: a node's child by node * 256 + byte, whether it has any, and the token that ends at it (-1: none).
+        self.child: dict[int, int] = {}
+        self.token = array("i", [-1])
+        for t, i in ranks.items():
+            node = 0
+            for byte in t:
+                nxt = self.child.get(node << 8 | byte)
+                if nxt is None:
+                    nxt = self.child[node << 8 | byte] = len(self.token)
+                    self.token.append(-1)
+                node = nxt
+            self.token[node] = i
+        self.inner = bytearray(len(self.token))
+        for key in self.child:
+            self.inner[key >> 8] = 1
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[tuple, int] = {}
+        self.paths: list[tuple] = []
+        #: state * 256 + byte -> next state, or its complement if ids are emitted; and those ids.
+        self.step: dict[int, int] = {}
+        self.emitted: dict[int, tuple[int, ...]] = {}
+        self.missed = 0
+        self._state(((-1, (), 0),))
+
+    def _state(self, paths: tuple) -> int:
+        n = self.number.get(paths)
+        if n is None:
+            n = self.number[paths] = len(self.paths)
+            self.paths.append(paths)
+        return n
+
+    def merge(self, data: bytes, below: int | None = None) -> list[int]:
         """Merging by rank, lowest first and leftmost of equals: the definition that the transducer must agree with."""
         ranks, parts = self.ranks, [data[i : i + 1] for i in range(len(data))]
         while len(parts) > 1:
-            best, at = None, -1
+            best, at = below, -1
             for i in range(len(parts) - 1):
                 r = ranks.get(parts[i] + parts[i + 1])
                 if r is not None and (best is None or r < best):
                     best, at = r, i
-            if best is None:
+            if at < 0:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [ranks[p] for p in parts]
 
-    def arc(self, a: int, b: int) -> bool:
-        """Whether the transducer has an arc from token a (-1: the start) to token b; determined when first asked for."""
-        if len(self.arcs) > self.most_arcs:
-            self.arcs.clear()
-        joined = self.bytes_of[b] if a < 0 else self.bytes_of[a] + self.bytes_of[b]
-        known = self.arcs[a, b] = self.merge(joined) == ([b] if a < 0 else [a, b])
+    def halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens that merge into this one; None for a single byte."""
+        if token not in self.parts:
+            data = self.bytes_of[token]
+            got = self.merge(data, token) if len(data) > 1 else [token]
+            if len(got) > 2:
+                raise ValueError("the vocabulary isn't made of merges")
+            self.parts[token] = (got[0], got[1]) if len(got) == 2 else None
+        return self.parts[token]
+
+    def may_follow(self, a: int, b: int) -> bool:
+        """Whether the merges leave a and b side by side as they are (a is -1 at the start).
+
+        Undone from the latest merge backwards, the two tokens show what stood at their border at each time. A merge across the border
+        would have been made if it ranks before the next merge that changes a side: on the left with the same rank it goes first."""
+        if a < 0:
+            return True
+        known = self.follows.get(a << 32 | b)
+        if known is None:
+            if len(self.follows) > self.most:
+                self.follows.clear()
+            x, y, before, ranks, data = a, b, None, self.ranks, self.bytes_of
+            while True:
+                r = ranks.get(data[x] + data[y])
+                if r is not None and (before is None or r < before):
+                    known = False
+                    break
+                left, right = self.halves(x), self.halves(y)
+                if left is None and right is None:
+                    known = True
+                    break
+                # Of the two last merges the later one is undone; of equal ones the right, as the leftmost went first.
+                if right is None or (left is not None and x > y):
+                    before, x = x, left[1]
+                else:
+                    before, y = y + 1, right[0]
+            self.follows[a << 32 | b] = known
         return known
 
+    def advance(self, paths: tuple, byte: int) -> tuple[tuple, tuple[int, ...]]:
+        """The paths alive after a byte, less the ids that all of them hold first, and those ids."""
+        child, inner, token, follows, alive, whole = self.child, self.inner, self.token, self.follows, [], None
+        for last, held, node in paths:  # those that hold the longest part of a token come first
+            key = node << 8 | byte
+            if key not in child:
+                continue
+            nxt = child[key]
+            if inner[nxt]:
+                alive.append((last, held, nxt))
+            if whole is None:
+                t = token[nxt]
+                # What was read so far has one encoding, so that no second path can end here.
+                if t >= 0:
+                    fits = True if last < 0 else follows.get(last << 32 | t)
+                    if fits or (fits is None and self.may_follow(last, t)):
+                        whole = t, (*held, t), 0
+        if whole is None:
+            raise ValueError("the vocabulary lacks a single byte or isn't made of merges")
+        alive.append(whole)
+        first = alive[0][1]
+        if first:
+            n = len(first)
+            for _, h, _ in alive:
+                while h[:n] != first[:n]:
+                    n -= 1
+            if n:
+                return tuple([(last, h[n:], node) for last, h, node in alive]), first[:n]
+        return tuple(alive), ()
+
+    def grow(self, state: int, byte: int) -> tuple[tuple, tuple[int, ...]]:
+        """The transition of a state on a byte, made when first asked for; the paths of the state that it leads to, and the ids.
+
+        A full table grows no more: what came first is what texts repeat most. After many misses it starts anew, as texts change."""
+        paths, ids = self.advance(self.paths[state], byte)
+        if len(self.step) < self.most:
+            key, out = state << 8 | byte, self._state(paths)
+            self.step[key] = ~out if ids else out
+            if ids:
+                self.emitted[key] = ids
+        else:
+            self.missed += 1
+            if self.missed > 64 * self.most:
+                self._forget()
+        return paths, ids
+
+    def start(self) -> Run:
+        return Run(self)
+
     def encode(self, piece: bytes) -> list[int]:
         """The ids of a piece. As in the public library, a piece that is itself a token is that token."""
-        ranks, arcs, reach = self.ranks, self.arcs, self.reach
-        known = ranks.get(piece)
+        known = self.ranks.get(piece)
         if known is not None:
             return [known]
-        n, i, out, dead = len(piece), 0, [], set()
-        prev, size = -1, reach.get(piece[:2], 1)
-        while i < n:
-            size = min(size, n - i)
-            while size:
-                t = ranks.get(piece[i : i + size])
-                if t is not None and i + size not in dead:
-                    ok = arcs.get((prev, t))
-                    if ok is None:
-                        ok = self.arc(prev, t)
-                    if ok:
-                        break
-                size -= 1
-            if size:
-                out.append(t)
-                prev, i = t, i + size
-                size = reach.get(piece[i : i + 2], 1)
-            elif out:  # no arc leads on from here: the token that led here can't stand
-                dead.add(i)
-                size = len(self.bytes_of[out.pop()])
-                i -= size
-                size -= 1
-                prev = out[-1] if out else -1
+        run = Run(self)
+        return run.feed(piece) + run.end()
+
+
+class Run:
+    """A transducer at work on one piece, fed in parts: ids leave as soon as no path that is alive disagrees.
+
+    Transitions that are known are followed. The first that isn't is made, and from there on the paths are followed as a set up to the
+    piece's end, so that a piece adds one state at most and the table holds what texts repeat."""
+
+    def __init__(self, fst: Transducer):
+        self.fst, self.state, self.paths = fst, 0, None
+
+    def feed(self, data: bytes) -> list[int]:
+        fst, state, out, at = self.fst, self.state, [], 0
+        if self.paths is None:
+            step, emitted = fst.step, fst.emitted
+            for byte in data:
+                key = state << 8 | byte
+                known = step.get(key)
+                if known is None:
+                    break
+                at += 1
+                if known < 0:
+                    out += emitted[key]
+                    state = ~known
+                else:
+                    state = known
             else:
-                raise ValueError("the vocabulary lacks a single byte or isn't made of merges")
+                self.state = state
+                return out
+            self.paths, ids = fst.grow(state, data[at])
+            out += ids
+            at += 1
+        paths, advance = self.paths, fst.advance
+        for byte in data[at:]:
+            paths, ids = advance(paths, byte)
+            if ids:
+                out += ids
+        self.paths = paths
+        return out
+
+    def held(self) -> list[int]:
+        """The ids that the whole input so far would end with beyond those emitted."""
+        return list((self.fst.paths[self.state] if self.paths is None else self.paths)[-1][1])
+
+    def end(self) -> list[int]:
+        out = self.held()
+        self.state, self.paths = 0, None
         return out
 
 
@@ -151,19 +288,28 @@ class StreamDecoder:
         return out
 
 
-class Codec:
-    """What a Python worker keeps: the transducer, the chunk cache and the token table of a vocabulary."""
+class Tokens:
+    """The bytes of each id, for decoding alone."""
 
-    kept: dict[tuple, Codec] = {}
+    @staticmethod
+    def read(path: str | None) -> list[bytes | None]:
+        bytes_of = {i: t for t, i in read_ranks(vocabulary_path(path)).items()}
+        return [bytes_of.get(i) for i in range(max(bytes_of, default=-1) + 1)]
+
+    @classmethod
+    def get(cls, path: str | None) -> list[bytes | None]:
+        return held("bpe", ("tokens", path), lambda: cls.read(path))
+
+
+class Codec:
+    """What a Python worker keeps to encode: the transducer and the chunk cache of a vocabulary."""
 
     def __init__(self, path: str, pattern: str):
         import regex
 
         self.fst = Transducer(read_ranks(path))
         find, encode = regex.compile(pattern).findall, self.fst.encode
-        self.tokens: list[bytes | None] = [self.fst.bytes_of.get(i) for i in range(max(self.fst.bytes_of, default=-1) + 1)]
-        self.dtype = np.dtype("<u4") if len(self.tokens) > 65_536 else np.dtype("<u2")
-
+        self.dtype = np.dtype("<u4") if max(self.fst.bytes_of, default=0) >= 65_536 else np.dtype("<u2")
         typecode = "H" if self.dtype.itemsize == 2 else "I"
 
         def chunk(text: str) -> bytes:
@@ -172,73 +318,97 @@ class Codec:
                 ids += encode(piece.encode("utf-8", "replace"))
             return array(typecode, ids).tobytes()
 
-        self.chunks = ChunkCache(chunk, lambda word: array(typecode, encode(word.encode())).tobytes())
+        self.chunks = ChunkCache(chunk, lambda word: array(typecode, encode(word.encode())).tobytes(), most=250_000)
 
     @classmethod
     def get(cls, path: str | None, pattern: str | None) -> Codec:
-        key = (path, pattern)
-        if key not in cls.kept:
+        def make() -> Codec:
             import public_tokenizers
 
-            cls.kept[key] = cls(vocabulary_path(path), pattern or public_tokenizers.PATTERN)
-        return cls.kept[key]
+            return cls(vocabulary_path(path), pattern or public_tokenizers.PATTERN)
+
+        return held("bpe", (path, pattern), make)
 
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(self.chunks.of(text), self.dtype)
 
 
-def _slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
-    for i in range(0, batch.num_rows, rows):
-        yield batch.slice(i, rows)
+def _encoded(texts: pa.Array, codec: Codec) -> pa.ListArray:
+    found = [codec.encode(x.as_py() or "") for x in texts]
+    offsets = np.cumsum([0, *map(len, found)], dtype=np.int32)
+    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found).astype(np.int32) if found else np.empty(0, np.int32)))
 
 
-def encode(docs: DataFrame, text: str = "text", path: str | None = None, pattern: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` and ``ids`` array<int>, for each row."""
-    fields = [docs.schema[c] for c in keep]
+def _decoded(ids: pa.ListArray, tokens: list[bytes | None], as_text: bool, window: int = 65_536) -> pa.Array:
+    """Ids go through the streaming decoder a window at a time."""
+    flat, offsets = ids.flatten().to_numpy(zero_copy_only=False), np.asarray(ids.offsets)
+    out, first = [], offsets[0]
+    for start, end in zip((offsets[:-1] - first).tolist(), (offsets[1:] - first).tolist(), strict=True):
+        stream = StreamDecoder(tokens)
+        text = "".join([stream.feed(flat[k : min(k + window, end)].tolist()) for k in range(start, end, window)])
+        if as_text:
+            out.append(text + stream.end())
+        else:  # a mark may stand for bytes that are no UTF-8
+            out.append(text.encode() + stream.tail if "\ufffd" not in text else stream.raw(flat[start:end].tolist()))
+    return pa.array(out, pa.string() if as_text else pa.binary())
+
+
+def encoder(path: str | None = None, pattern: str | None = None) -> Callable[[Column], Column]:
+    """A function from a text column to ids array<int>."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = Codec.get(path, pattern)
-        for whole in batches:
-            for b in _slices(whole):
-                found = [codec.encode(x or "") for x in b.column(len(keep)).to_pylist()]
-                offsets = np.cumsum([0, *map(len, found)], dtype=np.int32)
-                ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found).astype(np.int32) if found else np.empty(0, np.int32)))
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], ids], [*keep, "ids"])
+        for b in batches:
+            yield _encoded(b, codec)
 
-    from pyspark.sql import types as T
+    small_batches()
+    return F.arrow_udf(run, "array<int>").asNondeterministic()
 
-    schema = T.StructType([*fields, T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
-    return docs.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
 
+def decoder(path: str | None = None, as_text: bool = False) -> Callable[[Column], Column]:
+    """A function from ids to their bytes, or to text."""
 
-def decode(encoded: DataFrame, path: str | None = None, pattern: str | None = None, window: int = 65_536) -> DataFrame:
-    """All columns, and ``decoded`` (bytes) and ``decoded_text``: ids go through the streaming decoder a window at a time."""
-    names = encoded.columns
-    at = names.index("ids")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        tokens = Tokens.get(path)
+        for b in batches:
+            yield _decoded(b, tokens, as_text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec.get(path, pattern)
+    small_batches()
+    return F.arrow_udf(run, "string" if as_text else "binary").asNondeterministic()
+
+
+def coder(path: str | None = None, pattern: str | None = None) -> Callable[[Column], Column]:
+    """A function from a text column to struct(ids, decoded): encoded and decoded by one Python worker, so that one vocabulary a core is
+    in memory. Decoding sees the ids alone."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        codec, tokens = Codec.get(path, pattern), Tokens.get(path)
         for whole in batches:
-            for b in _slices(whole):
-                raw, texts = [], []
-                flat, offsets = b.column(at).flatten(), b.column(at).offsets.to_numpy()
-                flat = flat.to_numpy(zero_copy_only=False)
-                offsets = offsets - offsets[0]
-                for i in range(b.num_rows):
-                    stream, out = StreamDecoder(codec.tokens), []
-                    for k in range(offsets[i], offsets[i + 1], window):
-                        out.append(stream.feed(flat[k : min(k + window, offsets[i + 1])].tolist()))
-                    tail = stream.tail
-                    text = "".join(out)
-                    data = text.encode() + tail if "�" not in text else stream.raw(flat[offsets[i] : offsets[i + 1]].tolist())
-                    raw.append(data)
-                    texts.append(text + stream.end())
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(raw, pa.binary()), pa.array(texts, pa.string())], [*names, "decoded", "decoded_text"])
-
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType()), T.StructField("decoded_text", T.StringType())])
-    return encoded.mapInArrow(run, schema)
+            parts = []
+            for i in range(0, len(whole), 1000):
+                ids = _encoded(whole.slice(i, 1000), codec)
+                parts.append(pa.StructArray.from_arrays([ids, _decoded(ids, tokens, False)], ["ids", "decoded"]))
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("ids", pa.list_(pa.int32())), ("decoded", pa.binary())]))
+
+    small_batches()
+    return F.arrow_udf(run, "struct<ids:array<int>,decoded:binary>").asNondeterministic()
+
+
+def encode(docs: DataFrame, text: str = "text", path: str | None = None, pattern: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` and ``ids`` array<int>, for each row."""
+    found = docs.select(F.struct(*keep).alias("row"), encoder(path, pattern)(F.col(text).cast("string")).alias("ids"))
+    return found.select(*(F.col("row")[c].alias(c) for c in keep), "ids")
+
+
+def decode(encoded: DataFrame, path: str | None = None, as_text: bool = False) -> DataFrame:
+    """All columns, and ``decoded`` (bytes), or ``decoded_text`` if ``as_text``."""
+    return encoded.withColumn("decoded_text" if as_text else "decoded", decoder(path, as_text)(F.col("ids")))
+
+
+def round_trip(docs: DataFrame, text: str = "text", path: str | None = None, pattern: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep``, ``ids`` and ``decoded`` (the bytes that the ids decode to)."""
+    found = docs.select(F.struct(*keep).alias("row"), coder(path, pattern)(F.col(text).cast("string")).alias("found"))
+    return found.select(*(F.col("row")[c].alias(c) for c in keep), "found.ids", "found.decoded")
 
 
 def digests(decoded: DataFrame) -> DataFrame:

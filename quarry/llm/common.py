@@ -75,6 +75,31 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), f"{name}-{spark._jvm.java.util.UUID.randomUUID()}")
 
 
+_ARROW_ROWS, _DEFAULT_ROWS, _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
+
+
+def small_batches(spark: SparkSession | None = None) -> None:
+    """Texts go to Python a thousand rows at a time, unless the session has a size of its own: ten thousand rows of long texts, there and
+    back, take hundreds of megabytes outside of the heap."""
+    spark = spark or SparkSession.getActiveSession()
+    if spark is not None and spark.conf.get(_ARROW_ROWS, _DEFAULT_ROWS) == _DEFAULT_ROWS:
+        spark.conf.set(_ARROW_ROWS, _ROWS)
+
+
+_kept: dict[object, object] = {}
+
+
+def held(family: str, key: object = None, make: Callable[[], object] = lambda: None) -> object:
+    """What a Python worker keeps for an operator from task to task. Workers serve many operators in turn, so what another family kept
+    goes: an idle vocabulary would take the memory that the next stage needs."""
+    if _kept.get("family") != family:
+        _kept.clear()
+        _kept["family"] = family
+    if (family, key) not in _kept:
+        _kept[family, key] = make()
+    return _kept[family, key]
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser over unsigned 64-bit integers (the well-known murmur constants)."""
     x = x ^ (x >> np.uint64(33))

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut
+from quarry.llm.common import cut, held, small_batches
 
 #: Languages whose counts may be broadcast, a few dozen bytes each.
 MOST_BROADCAST = 100_000
@@ -148,6 +148,7 @@ def classifier(model: Model | None) -> Callable[[Column], Column]:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import regex
 
+        held("language")
         letter = regex.compile(r"\p{L}").search
         flags = np.zeros(PLACES, np.uint8)
         for whole in batches:
@@ -171,6 +172,7 @@ def classifier(model: Model | None) -> Callable[[Column], Column]:
                 parts.append(pa.StructArray.from_arrays([pa.array(best, pa.string()), pa.array(score)], ["lang_pred", "score"]))
             yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("lang_pred", pa.string()), ("score", pa.float64())]))
 
+    small_batches()
     # Not deterministic to the optimizer, so that a filter on the result doesn't classify twice.
     return F.arrow_udf(run, "struct<lang_pred:string,score:double>").asNondeterministic()
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WordHashes, cut, drop, mix64, rolling
+from quarry.llm.common import WordHashes, cut, drop, held, mix64, rolling, small_batches
 
 BINS, BAND = 128, 4
 _ROUND = np.arange(2 * BINS, dtype=np.uint64)
@@ -80,6 +80,7 @@ def sketches(docs: DataFrame, k: int = 5) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        held("minhash")
         cache = WordHashes()
         for whole in batches:
             for i in range(0, whole.num_rows, 1000):
@@ -101,6 +102,7 @@ def shingle_sets(docs: DataFrame, k: int = 5) -> DataFrame:
     """doc_id, shingles array<long> (distinct)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("minhash")
         cache = WordHashes()
         for whole in batches:
             for i in range(0, whole.num_rows, 500):
@@ -226,6 +228,7 @@ def _cross_links(groups: DataFrame, comps: DataFrame, docs: DataFrame, k: int, p
 def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for each input row."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    small_batches(docs.sparkSession)
     sketched = cut(sketches(docs, k))
     base = cut(sketched.drop("bands"))
     real = sketched.where("n_shingles > 0 and doc_id is not null")

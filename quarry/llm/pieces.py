@@ -27,17 +27,19 @@ def plain(text: str) -> bool:
 
 #: Marks that often end a word. After a letter each is a match of the pattern of its own.
 _MARKS = frozenset(".,;:!?")
+_SLOTS = 1 << 22
 
 
 class ChunkCache(dict):
     """Chunk to value. Keys are chunks without the one space before them, or with the line feed before them.
 
     encode takes any chunk; encode_word takes a space and Latin letters, which are one match of the pattern. A word with a mark at
-    its end is put together from the two, so that it costs no encoding of its own."""
+    its end is put together from the two, so that it costs no encoding of its own. A chunk is kept from the second time on that it is
+    met, as most chunks are met once: a byte for each of _SLOTS hashes tells which were. Two generations bound the memory."""
 
     def __init__(self, encode: Callable[[str], bytes], encode_word: Callable[[str], bytes], most: int = 250_000):
         super().__init__()
-        self.encode, self.encode_word, self.most, self.old = encode, encode_word, most, {}
+        self.encode, self.encode_word, self.most, self.old, self.met = encode, encode_word, most, {}, bytearray(_SLOTS)
         self.marks = {m: encode(m) for m in _MARKS}
 
     def __missing__(self, key: str) -> bytes:
@@ -49,6 +51,10 @@ class ChunkCache(dict):
                 value = self[key[:-1]] + self.marks[key[-1]]
             else:
                 value = self.encode(key if key[:1] == "\n" else " " + key)
+            slot = hash(key) & (_SLOTS - 1)
+            if not self.met[slot]:
+                self.met[slot] = 1
+                return value
         self[key] = value
         return value
 
@@ -62,6 +68,6 @@ class ChunkCache(dict):
         else:
             out = b"".join([self[x[1:]] if x[0] == " " and x[1:2] not in ("", "\n") else self.encode(x) for x in _ANY.findall(text)])
         if len(self) > self.most:
-            self.old = dict(self)
+            self.old, self.met = dict(self), bytearray(_SLOTS)
             self.clear()
         return out

@@ -49,8 +49,7 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return bpe.digests(bpe.decode(bpe.encode(docs)))
+    return bpe.digests(bpe.round_trip(_table(spark, sf_dir, "documents")))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import held, small_batches
+
 #: Strong kinds first; spans are ordered by start, then by place in this list.
 KINDS = ("assign", "access", "hex", "weak_secret", "weak_id", "endpoint")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -176,9 +178,11 @@ def finder(scope: int = 200) -> Callable[[Column], Column]:
         return {"spans": [{"kind": KINDS[k], "start": s, "end": e} for s, k, e in spans], "credentials": linked, "redacted": redact(text, spans) if spans else None}
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        held("secrets")
         for whole in batches:
             yield pa.array([one(x.as_py()) for x in whole], kind)
 
+    small_batches()
     return F.arrow_udf(run, f"struct<spans:{SPANS},credentials:{CREDENTIALS},redacted:string>").asNondeterministic()
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quarry.llm.common import shared_path
+from quarry.llm.common import held, shared_path
 from quarry.llm.pieces import ChunkCache
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -125,8 +125,6 @@ def byte_characters() -> dict[int, int]:
 class Encoder:
     """The public tokenizers library, asked once for each chunk of text that was not met lately."""
 
-    kept: dict[str | None, Encoder] = {}
-
     def __init__(self, path: str | None):
         from tokenizers import Tokenizer
 
@@ -146,9 +144,7 @@ class Encoder:
 
     @classmethod
     def get(cls, path: str | None) -> Encoder:
-        if path not in cls.kept:
-            cls.kept[path] = cls(path)
-        return cls.kept[path]
+        return held("token_files", path, lambda: cls(path))
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
