@@ -4,20 +4,28 @@ Lists.  A k-means over a bounded sample (``sample`` rows) gives centroids; every
 the lists whose inner product with it can be largest: centroid's product plus the query's length times the list's usual radius.
 
 Codes.  A vector v of list c has the residual r = v - c. Rotated by one random rotation and scaled to length 1, it is kept as the signs
-of its parts (packed bits), with two scalars: the residual's length, and the product of the residual with its own code. From them
-<v, q> is estimated as <c, q> + |r| <code, q'> / <code, r'>, q' being the rotated query; the error is at most
-|r| |q| e sqrt((1 - p^2) / p^2 / (D - 1)) with p = <code, r'>, but for a probability that falls fast with e. Vectors whose upper bound
-reaches the k-th best lower bound of their block are ranked again by their exact product on the original vectors.
+of its parts, packed to words of 64 bits, with two scalars: the residual's length, and the product of the residual with its own code.
+A query's rotated parts are rounded to ``PLANES`` bits and kept as bit planes, so that <code, q'> is a sum of population counts of
+code and plane; nothing is unpacked. <v, q> is estimated as <c, q> + |r| <code, q'> / <code, r'>. The error is at most
+e |r| |q| sqrt((1 - p^2) / p^2 / (D - 1)) with p = <code, r'>, and e times the rounding's, but for a probability that falls fast with e
+(``slack``). Vectors whose upper bound reaches the k-th best lower bound of their block are ranked again by their exact product on the
+original vectors.
 
-A query's 2k-th best product among the sample's rows in its lists is a floor: a block returns only what reaches it, at most k rows a query, so that what
-all blocks return together stays near 2k times the table's size over the sample's. Where an error bound fails, a query may get fewer rows
-than there are; it looks into all lists then, without floor and bound.
+A query's 2k-th best product among the sample's rows in its lists is a floor: a block returns only what reaches it, at most k rows a
+query. Where an error bound fails, a query may get fewer rows than there are; it looks into all lists then, without floor and bound.
 
-Work is dealt in blocks of a list's vectors and a list's queries, so neither a large list nor many queries meet in one task.
+Work is dealt in units of a shard of vectors and a block of queries. Vectors lie in order of their lists (sorted along the main
+axis of the centroids), shards of ``block`` rows cut that order, queries lie in the order of their nearest list, and a unit exists
+only if a query of the block looks into a list of the shard. A query is sent once to a shard, not once to each of its lists, and a
+vector once to a block of queries. Vectors travel beside their codes: at 64 parts a bound leaves several hundredths of a shard, so
+that fetching vectors by id afterwards would move more than the shard does. The slowest step grows with vectors times queries.
+
+``probe=1, slack=float("inf")`` is exact: all lists, and every vector ranked by its product.
 
 Cases: vectors that are null, zero, of another dimension than most or that hold null or non-finite parts take no part, nor do rows
 without an id; ties go to the smaller id; a query is no candidate of its own, nor is any row with its id; rows repeated under other
-ids are found each; rows of one id are one query and one neighbour, at the best score of their vectors; an empty table gives an empty table; other columns aren't read.
+ids are found each; rows of one id are one query and one neighbour, at the best score of their vectors; ids that aren't numbers are
+null by the cast to long (an error under ANSI rules); an empty table gives an empty table; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -60,6 +68,9 @@ def fit(sample: np.ndarray, lists: int, steps: int = 10, seed: int = 7) -> Index
         np.add.at(sums, near, sample)
         count = np.bincount(near, minlength=lists)
         centroids = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], centroids)
+    off = centroids - centroids.mean(axis=0)
+    axis = np.linalg.svd(off, full_matrices=False)[2][0] if lists > 1 else np.ones(d)
+    centroids = centroids[np.argsort(off @ axis, kind="stable")]
     near = assign(sample, centroids)
     away = np.linalg.norm(sample - centroids[near], axis=1)
     radius = np.bincount(near, away, minlength=lists) / np.maximum(np.bincount(near, minlength=lists), 1)
@@ -72,13 +83,52 @@ def assign(vectors: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.concatenate([(vectors[i : i + 4096] @ centroids.T - half).argmax(axis=1) for i in range(0, len(vectors), 4096)] or [np.empty(0, np.int64)])
 
 
+def packed(bits: np.ndarray) -> np.ndarray:
+    """Rows of booleans as words of 64 bits."""
+    n, d = bits.shape
+    out = np.zeros((n, -(-d // 64) * 8), np.uint8)
+    out[:, : -(-d // 8)] = np.packbits(bits, axis=1, bitorder="little")
+    return out.view("<u8")
+
+
 def encode(vectors: np.ndarray, near: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Packed sign bits, residual lengths, and products of code and residual."""
     rest = (vectors - index.centroids[near]) @ index.rotation
     length = np.linalg.norm(rest, axis=1)
     unit = rest / np.maximum(length, 1e-300)[:, None]
     own = np.abs(unit).sum(axis=1) / np.sqrt(rest.shape[1])
-    return np.packbits(rest > 0, axis=1, bitorder="little"), length, np.maximum(own, 1e-12)
+    return packed(rest > 0), length, np.maximum(own, 1e-12)
+
+
+#: Bits that a part of a rotated query is rounded to.
+PLANES = 6
+
+
+class Planes(NamedTuple):
+    """Rotated queries as bit planes: part = least + step * (sum of 2**j * bit j)."""
+
+    words: np.ndarray  # queries x PLANES x words
+    least: np.ndarray
+    step: np.ndarray
+    total: np.ndarray
+
+
+def planes(turned: np.ndarray) -> Planes:
+    least = turned.min(axis=1)
+    step = np.maximum(turned.max(axis=1) - least, 1e-300) / (2**PLANES - 1)
+    levels = np.rint((turned - least[:, None]) / step[:, None]).astype(np.uint8)
+    words = np.stack([packed((levels >> j & 1).astype(bool)) for j in range(PLANES)], axis=1)
+    return Planes(words, least, step, turned.sum(axis=1))
+
+
+def code_products(codes: np.ndarray, ones: np.ndarray, p: Planes, d: int) -> np.ndarray:
+    """<code, q'> for all queries and codes, from population counts alone; ones: the codes' own counts."""
+    counts = np.zeros((len(p.least), len(codes)), np.uint32)
+    for j in range(PLANES):
+        for w in range(codes.shape[1]):
+            counts += np.left_shift(np.bitwise_count(p.words[:, j, w, None] & codes[None, :, w]), j, dtype=np.uint32)
+    inside = p.least[:, None] * ones[None, :] + p.step[:, None] * counts
+    return (2 * inside - p.total[:, None]) / np.sqrt(d)
 
 
 def _matrix(column) -> np.ndarray:
@@ -86,42 +136,50 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(data, np.float64).reshape(len(column), -1)
 
 
+_FOUND = {"query_id": "int64", "vec_id": "int64", "score": "float64"}
+
+
 def search_block(v: pd.DataFrame, q: pd.DataFrame, index: Index, k: int, slack: float) -> pd.DataFrame:
-    """The k best of a block's vectors for each of its queries (query_id, vec_id, score)."""
-    vectors, queries, ids = _matrix(v["vector"]), _matrix(q["vector"]), v["vec_id"].to_numpy()
-    d, near = vectors.shape[1], int(v["list"].iloc[0])
-    bits = np.frombuffer(b"".join(v["code"]), np.uint8).reshape(len(v), -1)
-    signs = (np.unpackbits(bits, axis=1, bitorder="little")[:, :d].astype(np.float32) * 2 - 1) / np.sqrt(d)
+    """The k best of a shard's vectors for each of a block's queries (query_id, vec_id, score), in lists that the query looks into."""
+    if not len(v) or not len(q):
+        return pd.DataFrame({c: pd.Series(dtype=t) for c, t in _FOUND.items()})
+    vectors, queries, ids, near = _matrix(v["vector"]), _matrix(q["vector"]), v["vec_id"].to_numpy(), v["list"].to_numpy()
+    d, exact_only = vectors.shape[1], slack == np.inf
+    codes = np.frombuffer(b"".join(v["code"]), "<u8").reshape(len(v), -1)
+    ones = np.bitwise_count(codes).sum(axis=1, dtype=np.int64)
+    held, at_list = np.unique(near, return_inverse=True)
     length, own = v["length"].to_numpy(), v["own"].to_numpy()
-    off = length * (slack if slack < np.inf else 0) * np.sqrt((1 - np.minimum(own, 1) ** 2) / own**2 / max(d - 1, 1))
-    names = q["query_id"].to_numpy()
+    scale = length / own
+    spread = (1 - np.minimum(own, 1) ** 2) / max(d - 1, 1)
+    probes = np.unpackbits(np.stack(q["probes"]).astype("<i8").view(np.uint8), axis=1, bitorder="little")[:, held].astype(bool)
+    names, floors = q["query_id"].to_numpy(), q["floor"].to_numpy()
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for at in range(0, len(queries), 256):
-        part = queries[at : at + 256]
-        turned = (part @ index.rotation).astype(np.float32)
-        guess = (part @ index.centroids[near])[:, None] + (turned @ signs.T) * (length / own)[None, :]
-        error = np.linalg.norm(part, axis=1)[:, None] * off[None, :]
-        low = guess - error
-        low[ids[None, :] == names[at : at + 256, None]] = -np.inf
-        bar = np.partition(low, -(k + 1), axis=1)[:, -(k + 1)] if len(v) > k + 1 else np.full(len(part), -np.inf)
-        floor = q["floor"].to_numpy()[at : at + 256]
-        bar = np.maximum(bar, floor)
-        for i, name in enumerate(q["query_id"].iloc[at : at + 256].tolist()):
-            keep = np.flatnonzero(((guess[i] + error[i] >= bar[i]) | (slack == np.inf)) & (ids != name))
+    for at in range(0, len(queries), 64):
+        part, open_ = queries[at : at + 64], probes[at : at + 64][:, at_list]
+        open_ &= ids[None, :] != names[at : at + 64, None]
+        if not exact_only:
+            turned = part @ index.rotation
+            p = planes(turned)
+            guess = (part @ index.centroids[held].T)[:, at_list] + code_products(codes, ones, p, d) * scale[None, :]
+            # Rounding moves each part by at most half a step, evenly: its variance is a twelfth of the step's square.
+            error = slack * scale[None, :] * np.sqrt(np.square(part).sum(axis=1)[:, None] * spread[None, :] + np.square(p.step)[:, None] / 12)
+            low = np.where(open_, guess - error, -np.inf)
+            bar = np.partition(low, -k, axis=1)[:, -k] if len(v) > k else np.full(len(part), -np.inf)
+            open_ &= guess + error >= np.maximum(bar, floors[at : at + 64])[:, None]
+        for i, name in enumerate(names[at : at + 64].tolist()):
+            keep = np.flatnonzero(open_[i])
             exact = (vectors[keep] * part[i]).sum(axis=1)
-            reach = exact >= floor[i]
+            reach = exact >= floors[at + i]
             keep, exact = keep[reach], exact[reach]
             best = np.lexsort((ids[keep], -exact))[:k]
             out.append((np.full(len(best), name), ids[keep][best], exact[best]))
-    if not out:
-        return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
     a, b, c = (np.concatenate(x) for x in zip(*out, strict=True))
-    return pd.DataFrame({"query_id": a.astype(np.int64), "vec_id": b.astype(np.int64), "score": c.astype(np.float64)})
+    return pd.DataFrame({"query_id": a, "vec_id": b, "score": c}).astype(_FOUND)
 
 
 def nearest(
     table: DataFrame, is_query: Column, k: int = 20, probe: float = 0.8, least_probe: int = 16, per_list: int = 256, most_lists: int = 4096, sample: int = 20_000,
-    block: int = 8192, slack: float = 2.5, vector: str = "embedding", vec_id: str = "vec_id",
+    block: int = 16_384, query_block: int = 4096, slack: float = 2.5, vector: str = "embedding", vec_id: str = "vec_id",
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows with the largest inner product for each row where is_query holds."""
     spark = table.sparkSession
@@ -160,68 +218,76 @@ def nearest(
             )
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            m = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, d)
-            hope = m @ index.centroids.T + np.linalg.norm(m, axis=1)[:, None] * index.radius[None, :]
-            best = np.argsort(-hope, axis=1, kind="stable")[:, :probes]
-            for i in range(0, b.num_rows, 200):
-                part, ids = best[i : i + 200], b.column(0).to_numpy()[i : i + 200]
-                near = m[i : i + 200] @ fitted.T
+        for whole in batches:
+            for at in range(0, whole.num_rows, 200):
+                b = whole.slice(at, 200)
+                m = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, d)
+                ids, norm = b.column(0).to_numpy(), np.linalg.norm(m, axis=1)
+                hope = m @ index.centroids.T + norm[:, None] * index.radius[None, :]
+                best = np.argsort(-hope, axis=1, kind="stable")[:, :probes]
+                asked = np.zeros((len(ids), lists), bool)
+                asked[np.arange(len(ids))[:, None], best] = True
+                near = m @ fitted.T
                 # Only rows that the query will meet count, so that enough reach the floor.
-                asked_lists = np.zeros((len(ids), lists), bool)
-                asked_lists[np.arange(len(ids))[:, None], part] = True
-                near[(ids[:, None] == fitted_ids[None, :]) | ~asked_lists[:, fitted_lists]] = -np.inf
+                near[(ids[:, None] == fitted_ids[None, :]) | ~asked[:, fitted_lists]] = -np.inf
                 # The 2k-th, as an error bound may fail for some; a hair lower, as last digits depend on the order of additions.
                 floor = np.partition(near, -2 * wide, axis=1)[:, -2 * wide] if near.shape[1] >= 2 * wide else np.full(len(ids), -np.inf)
-                floor = floor - 1e-9 * np.linalg.norm(m[i : i + 200], axis=1) * longest
-                images = np.repeat(np.array([x.tobytes() for x in m[i : i + 200]], object), probes)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(ids, probes)), pa.array(part.ravel().astype(np.int32)), pa.array(images, pa.binary()), pa.array(np.repeat(floor, probes))],
-                    ["query_id", "list", "vector", "floor"],
-                )
+                yield _asked(ids, assign(m, index.centroids), m, floor - 1e-9 * norm * longest, asked)
+
+    def look_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            m = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, d)
+            yield _asked(b.column(0).to_numpy(), assign(m, index.centroids), m, np.full(b.num_rows, -np.inf), np.ones((b.num_rows, lists), bool))
 
     codes = cut(rows.select("vec_id", "v").mapInArrow(code, "vec_id long, list int, vector binary, code binary, length double, own double"))
-    counts = codes.groupBy("list").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / block).cast("int"))
-    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    key = ["list", "part", "turn"]
+    before = W.orderBy("list").rowsBetween(W.unboundedPreceding, -1)
 
-    def found(asked: DataFrame, slack: float) -> DataFrame:
-        # Blocks of a list: its vectors are dealt to ``parts`` and its queries to ``turns``, by the sizes counted first.
-        asks = asked.groupBy("list").agg(F.count(F.lit(1)).alias("m")).withColumn("turns", F.ceil(F.col("m") / block).cast("int"))
-        plan = F.broadcast(counts.join(asks, "list").select("list", "parts", "turns"))  # at most most_lists rows
-        left = codes.join(plan, "list").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).withColumn("turn", each("turns"))
-        right = asked.join(plan, "list").withColumn("turn", F.pmod(F.xxhash64("query_id"), F.col("turns")).cast("int")).withColumn("part", each("parts"))
+    def placed(df: DataFrame, key: str, size: int) -> tuple[DataFrame, DataFrame]:
+        """df with its block in order of lists, and for each list its first and last block: a row a list, at most ``most_lists``."""
+        counts = df.groupBy("list").agg(F.count(F.lit(1)).alias("m")).withColumn("start", F.coalesce(F.sum("m").over(before), F.lit(0)))
+        place = F.col("start") + F.pmod(F.xxhash64(key), F.col("m"))
+        ends = counts.select("list", F.floor(F.col("start") / size).alias("first"), F.floor((F.col("start") + F.col("m") - 1) / size).alias("last"))
+        return df.join(F.broadcast(counts), "list").withColumn("at", F.floor(place / size).cast("long")).drop("m", "start"), ends
 
-        def meet(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-            return search_block(v, q, index, wide, slack) if len(v) and len(q) else search_block(v, q.iloc[:0], index, wide, slack) if len(v) else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+    shards, ends = placed(codes, "vec_id", block)
+    shards = shards.withColumnRenamed("at", "shard")
 
-        met = left.select(*key, "vec_id", "vector", "code", "length", "own").groupBy(*key).cogroup(right.select(*key, "query_id", "vector", "floor").groupBy(*key)).applyInPandas(meet, "query_id long, vec_id long, score double")
+    def found(asked: DataFrame, slack: float) -> DataFrame:
+        asked = cut(placed(cut(asked), "query_id", query_block)[0].withColumnRenamed("at", "turn"))
+        # Which lists a block of queries looks into: its queries' bitmaps put together, word by word.
+        word = asked.select("turn", F.posexplode("probes").alias("i", "word")).groupBy("turn", "i").agg(F.bit_or("word").alias("word"))
+        bit = word.select("turn", "i", "word", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("b")).where("getbit(word, b) = 1")
+        open_ = bit.select("turn", (F.col("i") * 64 + F.col("b")).alias("list"))
+        units = open_.join(F.broadcast(ends), "list").select("turn", F.explode(F.sequence("first", "last")).alias("shard")).distinct()
+        units = cut(units)
+        left = shards.join(units, "shard").select("shard", "turn", "vec_id", "list", "vector", "code", "length", "own")
+        other = units.select(F.col("turn").alias("turn2"), F.col("shard").alias("shard2"))
+        right = asked.withColumnRenamed("turn", "turn2").join(other, "turn2").select("shard2", "turn2", "query_id", "vector", "floor", "probes")
+        met = left.groupBy("shard", "turn").cogroup(right.groupBy("shard2", "turn2")).applyInPandas(lambda v, q: search_block(v, q, index, wide, slack), "query_id long, vec_id long, score double")
         if most > 1:
             met = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         best = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
         return cut(met.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
 
     queries = rows.where("q").select("vec_id", "v")
-    first = found(queries.mapInArrow(look, "query_id long, list int, vector binary, floor double"), slack)
+    kind = "query_id long, list int, vector binary, floor double, probes array<long>"
+    first = found(queries.mapInArrow(look, kind), slack)
     # Queries with too few rows look once more, into all lists, without floor and bound.
     got_rows = first.groupBy(F.col("query_id").alias("vec_id")).agg(F.count(F.lit(1)).alias("got"))
     short = queries.join(got_rows, "vec_id", "left").where(F.coalesce("got", F.lit(0)) < min(k, n_ids - 1)).select("vec_id", "v")
     if short.isEmpty():
         return first
+    again = found(short.mapInArrow(look_again, kind), float("inf"))
+    return first.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(again)
 
-    def look_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 200):
-                b = whole.slice(at, 200)
-                m = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, d)
-                images = np.repeat(np.array([x.tobytes() for x in m], object), lists)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(b.column(0).to_numpy(), lists)), pa.array(np.tile(np.arange(lists, dtype=np.int32), b.num_rows)), pa.array(images, pa.binary()), pa.array(np.full(b.num_rows * lists, -np.inf))],
-                    ["query_id", "list", "vector", "floor"],
-                )
 
-    again = found(short.mapInArrow(look_again, "query_id long, list int, vector binary, floor double"), np.inf)
-    return first.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(again)
+def _asked(ids: np.ndarray, near: np.ndarray, vectors: np.ndarray, floor: np.ndarray, lists: np.ndarray) -> pa.RecordBatch:
+    words = packed(lists).view("<i8")
+    offsets = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * words.shape[1])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(ids), pa.array(near.astype(np.int32)), pa.array([x.tobytes() for x in vectors], pa.binary()), pa.array(floor), pa.ListArray.from_arrays(offsets, pa.array(words.ravel()))],
+        ["query_id", "list", "vector", "floor", "probes"],
+    )
 
 
 def search(table: DataFrame, every: int = 20, k: int = 20, vec_id: str = "vec_id", **options) -> DataFrame:

@@ -51,7 +51,7 @@ def test_small_blocks_give_the_same(spark):
     vectors = rng.standard_normal((400, 8))
     table = frame(spark, vectors.tolist())
     one = sorted(map(tuple, ann.search(table, least_probe=100).collect()))
-    many = sorted(map(tuple, ann.search(table, least_probe=100, block=7).collect()))
+    many = sorted(map(tuple, ann.search(table, least_probe=100, block=7, query_block=3).collect()))
     assert one == many
     want = brute(vectors, 20, 20)
     assert [(q, j) for q, _, j, _ in one] == [(q, j) for q in sorted(want) for j, _ in want[q]]
@@ -100,3 +100,57 @@ def test_queries_with_too_few_rows_look_again(spark):
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
     want = brute(vectors, 20, 20)
     assert {q: [j for _, j in sorted(x)] for q, x in got.items()} == {q: [j for j, _ in x] for q, x in want.items()}
+
+
+def test_code_products_are_those_of_unpacked_codes():
+    rng = np.random.default_rng(6)
+    for d in (3, 64, 100):
+        bits = rng.random((50, d)) > 0.5
+        turned = rng.standard_normal((20, d))
+        codes, p = ann.packed(bits), ann.planes(turned)
+        got = ann.code_products(codes, np.bitwise_count(codes).sum(axis=1, dtype=np.int64), p, d)
+        rounded = p.least[:, None] + p.step[:, None] * np.rint((turned - p.least[:, None]) / p.step[:, None])
+        signs = (bits * 2.0 - 1) / np.sqrt(d)
+        # What is rounded enters twice where the bit is set, and the exact total once.
+        want = (2 * rounded @ bits.T.astype(float) - turned.sum(axis=1)[:, None]) / np.sqrt(d)
+        assert np.allclose(got, want)
+        assert np.abs(got - turned @ signs.T).max() <= p.step.max() / 2 * 2 * d / np.sqrt(d) + 1e-9
+
+
+def test_estimates_keep_their_bounds():
+    rng = np.random.default_rng(7)
+    v, q = rng.standard_normal((2000, 64)), rng.standard_normal((40, 64))
+    index = ann.fit(v[:500], 4)
+    near = ann.assign(v, index.centroids)
+    codes, length, own = ann.encode(v, near, index)
+    p = ann.planes(q @ index.rotation)
+    guess = (q @ index.centroids.T)[:, near] + ann.code_products(codes, np.bitwise_count(codes).sum(axis=1, dtype=np.int64), p, 64) * (length / own)
+    one = (length / own) * np.sqrt(np.square(q).sum(axis=1)[:, None] * ((1 - own**2) / 63)[None, :] + np.square(p.step)[:, None] / 12)
+    off = np.abs(guess - q @ v.T) / one
+    assert abs(np.mean((guess - q @ v.T) / one)) < 0.1 and np.mean(off > 2.5) < 0.03 and np.mean(off > 4) < 1e-3
+
+
+def test_exact_setting_is_brute_force(spark):
+    rng = np.random.default_rng(8)
+    vectors = rng.standard_normal((900, 24))
+    want = brute(vectors, 20, 20)
+    got = {}
+    for r in ann.search(frame(spark, vectors.tolist()), probe=1.0, slack=float("inf"), per_list=20, block=100, query_block=10).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    assert {q: [j for _, j in sorted(x)] for q, x in got.items()} == {q: [j for j, _ in x] for q, x in want.items()}
+
+
+def test_recall_on_the_embeddings(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = table.select("vec_id", "embedding").collect()
+    ids, m = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float32).astype(np.float64)
+    got = {}
+    for r in ann.search(table).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = total = 0
+    for i in np.flatnonzero(ids % 20 == 0):
+        s = m @ m[i]
+        order = [j for j in np.lexsort((ids, -s)) if j != i][:20]
+        hits, total = hits + len(got[ids[i]] & set(ids[order].tolist())), total + 20
+        assert len(got[ids[i]]) == 20
+    assert hits >= 0.95 * total
