@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.text import line_metrics
-from quarry.operators import code, findings, graph, scoring
+from quarry.operators import code, errors, findings, graph, locales, modules, scoring, security
 from quarry.sinks import report as sink
-from quarry.sources import projects, syntax
+from quarry.sources import projects, scans, syntax
 
 
 @dataclass(frozen=True)
@@ -24,7 +24,6 @@ class Options:
     weights: dict[str, float] = field(default_factory=lambda: dict(scoring.WEIGHTS))
     excluded_scores: tuple[str, ...] = ()
     top: int = 20
-    risk_threshold: int = 3
 
     def problems(self) -> list[str]:
         """What is wrong with the options; empty if nothing."""
@@ -46,17 +45,19 @@ def analyze(spark: SparkSession, options: Options | str) -> dict[str, DataFrame]
         own = own.where(~F.col("path").rlike(options.exclude))
     nodes = syntax.nodes(own)
     parts = code.elements(nodes)
-    found = findings.drop_commented(findings.match_rules(own, options.rules), own)
+    found = security.detect(own, nodes, options.rules)
     measured = code.complexity(nodes)
     lines = own.select("path", line_metrics(F.col("content")).alias("m")).select("path", "m.*")
-    edges = code.component_edges(nodes)
+    linked = modules.project_edges(nodes, every)
+    named = linked.where("not external")
+    edges = graph.dependency_graph(named.select(modules.component_id(F.col("src_path"), F.col("src")).alias("src"), modules.component_id(F.col("dst_path"), F.col("dst")).alias("dst")))
     return {
         "lines": lines, "packages": projects.packages(every), "project": projects.project_type(projects.packages(every)), "environment": projects.environment(every),
-        "api_routes": projects.api_routes(every), "flags": projects.flags(own), "functions": code.functions(nodes), "complexity": measured, "halstead": code.halstead(nodes),
-        "imports": code.imports(nodes), "exports": code.exports(nodes), "components": code.components(nodes), "edges": edges, "degrees": graph.degrees(edges), "findings": found,
+        "api_routes": scans.api_routes(every), "middleware": scans.middleware(every), "flags": scans.flags(own), "functions": code.functions(nodes), "complexity": measured, "halstead": code.halstead(nodes),
+        "component_edges": linked, "imports": modules.resolved(code.imports(nodes), every), "exports": code.exports(nodes), "components": code.components(nodes), "edges": edges, "degrees": graph.degrees(edges), "findings": found,
         "security": findings.severity_counts(found, "path"), "accessibility": code.accessibility_violations(parts), "duplicate_ids": code.duplicate_ids(parts), "headings": code.heading_skips(parts),
         "types": code.type_definitions(nodes), "duplicate_types": code.duplicate_types(code.type_definitions(nodes)), "magic_numbers": code.magic_numbers(nodes),
-        "errors": code.error_risk(nodes, options.risk_threshold), "translation_keys": code.translation_keys(nodes), "translations": projects.translations(every),
+        "errors": errors.risks(nodes), "translation_keys": code.translation_keys(nodes), "translations": locales.entries(locales.files_of(every, locales.FOLDERS + locales.NAMESPACED_FOLDERS)),
         "problems": problem_scores(measured, found, options),
     }
 

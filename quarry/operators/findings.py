@@ -14,14 +14,30 @@ SEVERITIES = ("critical", "high", "medium", "low")
 CONFIDENCES = ("high", "medium", "low")
 
 
+#: Extensions of code, and of code with markup.
+CODE, MARKUP = (".ts", ".tsx", ".js", ".jsx"), (".tsx", ".jsx")
+
+
 class Rule(NamedTuple):
+    """A pattern rule. It applies to files with one of its extensions (no extensions: to all, if it is enabled)."""
+
     id: str
     kind: str
     pattern: str
     severity: str
     confidence: str
+    extensions: tuple[str, ...] = CODE
+    enabled: bool = True
+
+    def applies(self, path: Column) -> Column:
+        if not self.extensions:
+            return F.lit(self.enabled)
+        return F.concat(F.lit("."), F.substring_index(path, ".", -1)).isin(*self.extensions)
 
 
+_SQL = r"SELECT|INSERT|UPDATE|DELETE|DROP|CREATE|ALTER|UNION|WHERE|ORDER\s+BY|GROUP\s+BY|HAVING|JOIN|FROM|INTO|VALUES|SET|LIMIT|OFFSET"
+_BUILTIN = "fs|path|os|crypto|buffer|stream|http|https|net|url|util|child_process|cluster|dgram|dns|events|readline|repl|tls|vm|zlib|worker_threads"
+_DATABASE = "mysql|postgres|pg|mongodb|mongoose|prisma|sequelize|typeorm|knex"
 #: Pattern rules (fixed values: what counts as a finding is defined by them).
 RULES = (
     Rule("direct-eval", "dangerous-eval", r"\beval\s*\(", "critical", "high"),
@@ -37,18 +53,39 @@ RULES = (
     Rule("console-log-password", "console-logging-sensitive", r"(?i)console\.(?:log|warn|error|info|debug)\s*\([^)]*password[^)]*\)", "critical", "high"),
     Rule("console-log-token", "console-logging-sensitive", r"(?i)console\.(?:log|warn|error|info|debug)\s*\([^)]*token[^)]*\)", "critical", "high"),
     Rule("console-log-secret", "console-logging-sensitive", r"(?i)console\.(?:log|warn|error|info|debug)\s*\([^)]*secret[^)]*\)", "critical", "high"),
+    Rule("console-log-key", "console-logging-sensitive", r"(?i)console\.(?:log|warn|error|info|debug)\s*\([^)]*\b(?:api_?key|private_?key|encryption_?key)\b[^)]*\)", "critical", "medium"),
     Rule("react-create-element-script", "react-antipattern", r"React\.createElement\s*\(\s*['\"`]script['\"`]", "critical", "high"),
+    Rule("jsx-script-with-variable", "react-antipattern", r"<script[^>]*>\s*\{[^}]*\}", "critical", "high", MARKUP),
+    Rule("sql-template-literal", "sql-injection", rf"(?i)`[^`]*\$\{{[^}}]*\}}[^`]*(?:{_SQL})", "critical", "high"),
+    Rule("sql-string-concatenation", "sql-injection", rf"(?i)['\"][^'\"]*(?:{_SQL})[^'\"]*['\"]\s*\+", "critical", "high"),
+    Rule("raw-sql-with-variables", "sql-injection", r"(?i)(?:query|execute|exec|raw|sql)\s*\(\s*[^)]*\$\{|(?:query|execute|exec|raw|sql)\s*\(\s*[^)]*\+", "high", "medium"),
     Rule("math-random", "insecure-random", r"Math\.random\s*\(\s*\)", "high", "medium"),
     Rule("date-now", "insecure-random", r"Date\.now\s*\(\s*\)\s*%", "high", "medium"),
     Rule("http-url", "mixed-content", r"['\"`]http://[^'\"`\s]+['\"`]", "high", "medium"),
+    Rule("http-api-call", "mixed-content", r"fetch\s*\(\s*['\"`]http://[^'\"`\s]+['\"`]", "high", "high"),
+    Rule("http-axios-call", "mixed-content", r"axios\.[a-z]+\s*\(\s*['\"`]http://[^'\"`\s]+['\"`]", "high", "high"),
+    Rule("http-image-src", "mixed-content", r"(?i)src\s*=\s*['\"`]http://[^'\"`\s]+\.(?:jpg|jpeg|png|gif|svg|webp)['\"`]", "high", "high", MARKUP),
+    Rule("http-script-src", "mixed-content", r"(?i)src\s*=\s*['\"`]http://[^'\"`\s]+\.js['\"`]", "high", "high", MARKUP),
     Rule("process-env", "environment-exposure", r"process\.env\.\w+", "high", "medium"),
-    Rule("debugger", "debug-code", r"\bdebugger\s*;", "high", "high"),
+    Rule("server-env-in-client", "environment-exposure", r"process\.env\.(?:DATABASE_URL|DB_PASSWORD|SECRET_KEY|PRIVATE_KEY|API_SECRET)", "high", "high"),
+    Rule("debugger", "debug-code", r"\bdebugger\s*;?", "high", "high"),
+    Rule("debug-flag", "debug-code", r"(?:debug|DEBUG|isDebug|debugMode|isDev|devMode)\s*[:=]\s*true", "high", "medium"),
+    Rule("console-debug", "debug-code", r"console\.(?:debug|trace|group|groupCollapsed|groupEnd|time|timeEnd|profile|profileEnd)", "high", "medium"),
+    Rule("development-only", "debug-code", r"if\s*\(\s*(?:process\.env\.NODE_ENV\s*===?\s*['\"]development['\"]|isDev|isDebug|debugMode)\s*\)", "high", "low"),
     Rule("nested-quantifier", "redos-vulnerability", r"\([^)]*\+[^)]*\)\+|\([^)]*\*[^)]*\)\*|\([^)]*\+[^)]*\)\{", "high", "high"),
+    Rule("grouped-quantifiers", "redos-vulnerability", r"\([^)]*[\+\*]\)[^)]*[\+\*]|\([^)]*\{[^}]*\}[^)]*\)[^)]*[\+\*]", "medium", "medium"),
+    Rule("nodejs-builtin-import", "server-only-import", rf"import.*['\"](?:{_BUILTIN})['\"]|require\(['\"](?:{_BUILTIN})['\"]\)", "high", "high"),
+    Rule("database-import-client", "server-only-import", rf"import.*['\"](?:{_DATABASE})['\"]|require\(['\"](?:{_DATABASE})['\"]\)", "critical", "high"),
     Rule("document-cookie", "insecure-cookie", r"document\.cookie\s*=", "medium", "medium"),
+    Rule("cookie-without-secure", "insecure-cookie", r"document\.cookie\s*=\s*[^;]*(?!.*[Ss]ecure)", "medium", "medium"),
+    Rule("cookie-without-httponly", "insecure-cookie", r"document\.cookie\s*=\s*[^;]*(?!.*[Hh]ttp[Oo]nly)", "medium", "medium"),
+    Rule("cookie-without-samesite", "insecure-cookie", r"document\.cookie\s*=\s*[^;]*(?!.*[Ss]ame[Ss]ite)", "medium", "medium"),
     Rule("local-storage", "client-storage-sensitive", r"(?i)localStorage\.(?:setItem|getItem)\s*\([^)]*(?:password|token|secret|key|auth|jwt|session)[^)]*", "medium", "high"),
     Rule("session-storage", "client-storage-sensitive", r"(?i)sessionStorage\.(?:setItem|getItem)\s*\([^)]*(?:password|token|secret|key|auth|jwt|session)[^)]*", "medium", "high"),
     Rule("indexed-db", "client-storage-sensitive", r"(?i)indexedDB\.|IDBDatabase", "medium", "low"),
     Rule("router-push", "unvalidated-redirect", r"(?i)router\.push\s*\(\s*[^)]*(?:query|params|searchParams|req\.|request\.)", "medium", "medium"),
+    Rule("window-location", "unvalidated-redirect", r"(?i)window\.location\s*=\s*[^;]*(?:query|params|searchParams|req\.|request\.)", "medium", "medium"),
+    Rule("redirect-function", "unvalidated-redirect", r"(?i)redirect\s*\(\s*[^)]*(?:query|params|searchParams|req\.|request\.)", "medium", "medium"),
     Rule("hardcoded-secret", "hardcoded-secret", r"(?i)(?:api_?key|secret|password|token)\s*[:=]\s*['\"][^'\"]{8,}['\"]", "critical", "high"),
 )
 
@@ -57,12 +94,14 @@ def _position(severity: Column, names: tuple[str, ...]) -> Column:
     return F.array_position(F.array(*map(F.lit, names)), severity)
 
 
-def match_rules(files: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def match_rules(files: DataFrame, rules: tuple[Rule, ...] = RULES, most: int | None = None, keep: tuple[str, ...] = ("path",)) -> DataFrame:
     """A finding for each match of each rule in files(path, content): rules are literals inside of one projection, so the files are
-    read once and nothing is joined. The n-th match is found after the text up to the (n-1)-th."""
+    read once and nothing is joined. The n-th match is found after the text up to the (n-1)-th. ``most`` keeps the first so many of a
+    rule and file, where a report wants no more; by default every match is a finding."""
 
     def hits(r: Rule) -> Column:
-        found = F.regexp_extract_all("content", F.lit(r.pattern), F.lit(0))
+        every = F.when(r.applies(F.col("path")), F.regexp_extract_all("content", F.lit(r.pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
+        found = every if most is None else F.slice(every, 1, most)
         # Walk the matches from left to right: each is searched for behind the one before.
         walk = F.aggregate(
             found,
@@ -76,9 +115,9 @@ def match_rules(files: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         at = F.call_function("locate", m, F.col("content"), s.at)
         return F.struct((at + F.length(m)).alias("at"), F.concat(s.out, F.array(F.struct(m.alias("code"), at.alias("at")))).alias("out"))
 
-    rows = files.select("path", "content", F.explode(F.flatten(F.array(*map(hits, rules)))).alias("f"))
+    rows = files.select(*keep, "content", F.explode(F.flatten(F.array(*map(hits, rules)))).alias("f"))
     where = line_and_column(F.col("content"), F.col("f.index"))
-    return rows.select("path", "f.rule", "f.type", "f.severity", "f.confidence", "f.code", where["line"].alias("line"), where["column"].alias("column"))
+    return rows.select(*keep, "f.rule", "f.type", "f.severity", "f.confidence", "f.code", where["line"].alias("line"), where["column"].alias("column"))
 
 
 def drop_commented(findings: DataFrame, files: DataFrame) -> DataFrame:

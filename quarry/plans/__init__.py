@@ -1,3 +1,3 @@
 """Modules that register queries: each instantiates operators over the given tables."""
 
-from quarry.plans import audits, code, graphs, pages, rules, scores, tables, texts  # noqa: F401
+from quarry.plans import audits, callables, code, detect, dup, failures, flow, graphs, headline, locales, pages, rules, scans, scores, shapes, tables, texts  # noqa: F401

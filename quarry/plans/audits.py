@@ -243,20 +243,6 @@ def unlabelled_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.where("tag in ('input', 'select')").join(labels, ["file", "id"], "left_anti").select("file", "tag", "id")
 
 
-EVIDENCE = [("next-intl", 1, 1, 0, 1), ("react-i18next", 1, 0, 1, 3), ("i18next", 0, 1, 0, 1)]
-
-
-@query(
-    "translation_library",
-    f"""SELECT library, floor(least(1.0, 0.5 * imports + 0.3 * hooks + 0.2 * patterns + CASE WHEN files > 1 THEN 0.1 ELSE 0 END) * 100 + 0.5) / 100 AS confidence FROM {values(EVIDENCE, 'library, imports, hooks, patterns, files')}
-    ORDER BY confidence DESC, library = 'next-intl' DESC, library LIMIT 1""",
-)
-def translation_library(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _frame(spark, EVIDENCE, "library string, imports int, hooks int, patterns int, files int")
-    sure = F.least(F.lit(1.0), 0.5 * F.col("imports") + 0.3 * F.col("hooks") + 0.2 * F.col("patterns") + F.when(F.col("files") > 1, 0.1).otherwise(0))
-    return rows.select("library", round_half_up(sure, 2).alias("confidence")).orderBy(F.desc("confidence"), F.desc(F.col("library") == "next-intl"), "library").limit(1)
-
-
 LINKS = [("/users/5",), ("/users/7/",), ("/about.html",), ("/nowhere",), ("/docs/index",), ("/users/5/posts/9?x=1",)]
 TARGETS = [("/users/:id",), ("/about",), ("/docs",), ("/users/:id/posts/:post",), ("/hidden",)]
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators import code as C
-from quarry.operators import graph as G
+from quarry.operators import errors as E
 from quarry.registry import query
 from quarry.sinks import report as S
 from quarry.sources import projects as J
@@ -65,18 +65,6 @@ def react_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.components(nodes(spark)).drop("node_id")
 
 
-@query("component_usage")
-def component_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.component_edges(nodes(spark))
-
-
-@query("component_flow")
-def component_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each route's page leads to, with the depth at which it is first met."""
-    edges = G.checkpointed(C.component_edges(nodes(spark)))
-    return G.reachable(edges, G.entry_points(edges))
-
-
 @query("accessibility_findings")
 def accessibility_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.accessibility_violations(C.elements(nodes(spark))).drop("node_id")
@@ -92,21 +80,11 @@ def magic_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.magic_numbers(nodes(spark))
 
 
-@query("error_handling")
-def error_handling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.error_risk(nodes(spark))
-
-
 @query("translation_key_usage")
 def translation_key_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.translation_keys(nodes(spark))
 
 
-@query("translation_entries")
-def translation_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.translations(project(spark)).select("path", "language", "key", "value")
-
-
 @query("declared_packages")
 def declared_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.packages(project(spark)).withColumn("category", J.package_category(F.col("name")))
@@ -117,16 +95,6 @@ def project_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.project_type(J.packages(project(spark)))
 
 
-@query("api_routes")
-def api_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.api_routes(project(spark))
-
-
-@query("file_flags")
-def file_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.flags(J.sources(project(spark)))
-
-
 @query("directory_graph")
 def directory_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.directory_graph(project(spark).select("path"))[1]
@@ -135,4 +103,4 @@ def directory_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("project_report")
 def project_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = nodes(spark)
-    return S.report(spark, {"components": C.components(n).drop("node_id"), "exports": C.exports(n), "accessibility": C.accessibility_violations(C.elements(n)).drop("node_id"), "errors": C.error_risk(n)})
+    return S.report(spark, {"components": C.components(n).drop("node_id"), "exports": C.exports(n), "accessibility": C.accessibility_violations(C.elements(n)).drop("node_id"), "errors": E.risks(n).drop("node_id")})

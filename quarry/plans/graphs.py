@@ -1,4 +1,5 @@
-"""Dependency graphs over order lines: parts that follow each other in an order depend on one another."""
+"""Dependency graphs: parts that follow each other in an order, orders that follow each other for a customer, kinds of events that follow
+each other for a user. All rows of the tables are in them."""
 
 from __future__ import annotations
 
@@ -8,14 +9,13 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import round_half_up
 from quarry.operators import graph as G
+from quarry.operators import modules as M
 from quarry.plans.common import table
 from quarry.registry import query
 
-#: The edges as SQL: consecutive returned lines of pending orders.
+#: The edges as SQL: consecutive lines of an order.
 _EDGES = """edges AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst
-    FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')) WHERE src <> dst)"""
-_NODES = "nodes AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges)"
-_ENTRY = "entry AS (SELECT DISTINCT src AS node FROM edges WHERE src NOT IN (SELECT dst FROM edges))"
+    FROM lineitem) WHERE src <> dst)"""
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,60 +34,99 @@ def fan_in_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.degrees(_edges(spark, sf_dir))
 
 
-@query("entry_points", f"WITH {_EDGES}, {_ENTRY} SELECT node FROM entry")
+#: Orders of a customer in order of date: each leads to the next. Ranks say what the graph operators should find.
+_CHAINS = "chain AS (SELECT o_orderkey AS node, o_custkey, row_number() OVER w AS turn, count(*) OVER (PARTITION BY o_custkey) AS n, first_value(o_orderkey) OVER w AS head FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))"
+
+
+def _chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    follow = F.lead("o_orderkey").over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    return G.dependency_graph(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("src"), follow.alias("dst")))
+
+
+@query("entry_points", f"WITH {_CHAINS} SELECT node FROM chain WHERE turn = 1 AND n > 1")
 def entry_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.entry_points(_edges(spark, sf_dir))
+    return G.entry_points(_chains(spark, sf_dir))
 
 
-@query("isolated_nodes", f"WITH {_EDGES} SELECT p_partkey AS node FROM part WHERE p_partkey NOT IN (SELECT src FROM edges) AND p_partkey NOT IN (SELECT dst FROM edges)")
+@query("isolated_nodes", f"WITH {_EDGES} SELECT s_suppkey AS node FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.1::DOUBLE)")
 def isolated_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.isolated(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node")), _edges(spark, sf_dir))
+    """Suppliers without an edge to a part that a full line at the highest discount makes."""
+    lines = table(spark, sf_dir, "lineitem").where("l_quantity >= 50 and l_discount >= 0.1").select((-F.col("l_suppkey")).alias("src"), F.col("l_partkey").alias("dst"))
+    found = G.isolated(table(spark, sf_dir, "supplier").select((-F.col("s_suppkey")).alias("node")), G.dependency_graph(lines))
+    return found.select((-F.col("node")).alias("node"))
 
 
-@query(
-    "reachable",
-    f"""WITH RECURSIVE {_EDGES}, {_ENTRY}, walk AS (SELECT node, 0 AS depth FROM entry UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE w.depth < 200)
-    SELECT node, min(depth)::INT AS depth FROM walk GROUP BY node""",
-)
+@query("reachable", f"WITH {_CHAINS} SELECT node, (turn - 1)::INT AS depth FROM chain WHERE n > 1")
 def reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = G.checkpointed(_edges(spark, sf_dir))
+    edges = G.checkpointed(_chains(spark, sf_dir))
     return G.reachable(edges, G.entry_points(edges))
 
 
-@query(
-    "unreachable_nodes",
-    f"""WITH RECURSIVE {_EDGES}, {_NODES}, {_ENTRY}, walk AS (SELECT node FROM entry UNION SELECT e.dst FROM walk w JOIN edges e ON e.src = w.node)
-    SELECT node FROM nodes WHERE node NOT IN (SELECT node FROM walk)""",
-)
-def unreachable_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.unreachable(G.checkpointed(_edges(spark, sf_dir)))
+@query("connected_components", f"WITH {_CHAINS} SELECT node, min(node) OVER (PARTITION BY o_custkey) AS \"group\" FROM chain WHERE n > 1")
+def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.components(_chains(spark, sf_dir))
 
 
-@query(
-    "connected_components",
-    f"""WITH RECURSIVE {_EDGES}, {_NODES}, both_ AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), walk AS (SELECT node, node AS other FROM nodes UNION SELECT w.node, e.dst FROM walk w JOIN both_ e ON e.src = w.other)
-    SELECT node, min(other) AS "group" FROM walk GROUP BY node""",
-)
-def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.components(_edges(spark, sf_dir))
+@query("transitive_dependencies", f"WITH {_CHAINS} SELECT a.node AS src, b.node AS dst, (b.turn - a.turn)::INT AS depth FROM chain a JOIN chain b ON a.o_custkey = b.o_custkey AND b.turn > a.turn AND b.turn <= a.turn + 3")
+def transitive_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.within(_chains(spark, sf_dir), 3)
+
+
+#: Which kind of event follows which, for each user: five nodes a user, with rings in most.
+_STEPS = """edges AS (SELECT DISTINCT src, dst FROM (SELECT user_id || '/' || event_type AS src, lead(user_id || '/' || event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events) WHERE src <> dst),
+    nodes AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges), entry AS (SELECT DISTINCT src AS node FROM edges WHERE src NOT IN (SELECT dst FROM edges))"""
+
+
+def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("src"))
+    follow = F.lead("src").over(W.partitionBy("user_id").orderBy("ts", "event_id"))
+    return G.dependency_graph(named.select("src", follow.alias("dst")))
+
+
+@query("unreachable_nodes", f"WITH RECURSIVE {_STEPS}, walk AS (SELECT node FROM entry UNION SELECT e.dst FROM walk w JOIN edges e ON e.src = w.node) SELECT node FROM nodes WHERE node NOT IN (SELECT node FROM walk)")
+def unreachable_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.unreachable(G.checkpointed(_steps(spark, sf_dir)))
 
 
 @query(
     "cycle_groups",
-    f"""WITH RECURSIVE {_EDGES}, walk AS (SELECT src, dst FROM edges UNION SELECT w.src, e.dst FROM walk w JOIN edges e ON e.src = w.dst)
+    f"""WITH RECURSIVE {_STEPS}, walk AS (SELECT src, dst FROM edges UNION SELECT w.src, e.dst FROM walk w JOIN edges e ON e.src = w.dst)
     SELECT a.src AS node, min(a.dst) AS "group" FROM walk a JOIN walk b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src""",
 )
 def cycle_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.cycle_groups(_edges(spark, sf_dir))
+    return G.cycle_groups(_steps(spark, sf_dir))
 
 
-@query(
-    "transitive_dependencies",
-    f"""WITH {_EDGES}, two AS (SELECT DISTINCT a.src, b.dst FROM edges a JOIN edges b ON a.dst = b.src), three AS (SELECT DISTINCT a.src, b.dst FROM two a JOIN edges b ON a.dst = b.src)
-    SELECT src, dst, min(depth) AS depth FROM (SELECT src, dst, 1 AS depth FROM edges UNION ALL SELECT src, dst, 2 FROM two UNION ALL SELECT src, dst, 3 FROM three) WHERE src <> dst GROUP BY 1, 2""",
-)
-def transitive_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.within(_edges(spark, sf_dir), 3)
+_RINGS = f"""{_STEPS}, walk AS (SELECT [src, dst] AS p FROM edges WHERE src < dst UNION ALL SELECT list_append(p, e.dst) FROM walk JOIN edges e ON e.src = p[-1] WHERE e.dst > p[1] AND NOT list_contains(p, e.dst)),
+    ring AS (SELECT p FROM walk JOIN edges e ON e.src = p[-1] AND e.dst = p[1])"""
+
+
+@query("cycle_paths", f"WITH RECURSIVE {_RINGS} SELECT array_to_string(p, ' > ') AS cycle, len(p)::INT AS size, len(p) > 3 AS critical FROM ring")
+def cycle_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = M.cycles(_steps(spark, sf_dir))
+    return found.select(F.array_join("cycle", " > ").alias("cycle"), "size", "critical")
+
+
+@query("cycle_statistics", f"WITH RECURSIVE {_RINGS} SELECT count(*) AS cycles, max(len(p))::INT AS longest, count_if(len(p) > 3) AS critical, (SELECT count(DISTINCT x) FROM (SELECT unnest(p) AS x FROM ring)) AS nodes FROM ring")
+def cycle_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.cycle_statistics(M.cycles(_steps(spark, sf_dir)))
+
+
+_ZOMBIES = f"""{_STEPS}, walk AS (SELECT node FROM entry UNION SELECT e.dst FROM walk w JOIN edges e ON e.src = w.node), gone AS (SELECT node FROM nodes WHERE node NOT IN (SELECT node FROM walk)),
+    inner_ AS (SELECT src, dst FROM edges WHERE src IN (SELECT node FROM gone) AND dst IN (SELECT node FROM gone)), both_ AS (SELECT src, dst FROM inner_ UNION SELECT dst, src FROM inner_),
+    spread AS (SELECT node, node AS other FROM gone UNION SELECT s.node, b.dst FROM spread s JOIN both_ b ON b.src = s.other), named AS (SELECT node, min(other) AS cluster FROM spread GROUP BY node),
+    z AS (SELECT node, cluster, (count(*) OVER (PARTITION BY cluster))::INT AS size FROM named)"""
+
+
+@query("zombie_clusters", f"WITH RECURSIVE {_ZOMBIES} SELECT node, cluster, size, CASE WHEN size > 5 THEN 'high' WHEN size > 2 THEN 'medium' ELSE 'low' END AS risk FROM z")
+def zombie_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.zombie_clusters(G.checkpointed(_steps(spark, sf_dir)))
+
+
+@query("zombie_statistics", f"WITH RECURSIVE {_ZOMBIES} SELECT count(DISTINCT cluster) AS clusters, count(*) AS nodes, coalesce(max(size), 0)::INT AS largest, coalesce(count(*) / nullif(count(DISTINCT cluster), 0), 0)::DOUBLE AS mean_size, (SELECT count(*) FROM entry) AS entries FROM z")
+def zombie_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = G.checkpointed(_steps(spark, sf_dir))
+    return M.zombie_statistics(M.zombie_clusters(edges), edges)
 
 
 @query(

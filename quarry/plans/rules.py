@@ -18,6 +18,9 @@ FILES = [
     ("src/b.tsx", "import React, { useState } from 'react';\nimport { q } from '@tanstack/react-query/core';\nimport './b.css';\nel.innerHTML = x;\nel.innerHTML = y;\nconsole.log('password', password);\n"),
     ("src/c.js", "const fs = require('fs');\nsetTimeout(\"go()\", 5);\ndocument.cookie = 'a';\nlocalStorage.setItem('token', t);\nconst k = process.env.API_KEY + process.env.HOME;\n"),
     ("src/clean.ts", "export const add = (a: number, b: number) => a + b;\n"),
+    ("src/every.tsx", "new Function (s); setInterval('x', 1); execScript (s);\nconst h = { dangerouslySetInnerHTML: x };\nel.outerHTML = x; document.write(x); document.writeln(x);\nconsole.warn('t', token); console.error(secret); console.info(api_key);\nReact.createElement('script');\n<script src=\"http://a.b/c.js\">{code}</script>\n<img src=\"http://a.b/c.png\" />\nconst q = `${x} SELECT a`;\ndb.query('SELECT a ' + b);\nDate.now() % 7;\nfetch('http://a.b'); axios.get('http://a.b');\nprocess.env.SECRET_KEY;\ndebugger;\ndebugger\nconst isDev = true;\nconsole.trace(x);\nif (isDebug) {}\nconst r = /(a+)+b/; const s = /(x{2}y)z*/;\nimport fs from 'fs';\nconst pg = require('pg');\n"),
+    ("src/more.js", "document.cookie = 'a=b; Secure; HttpOnly';\ndocument.cookie = 'c=d; SameSite=Lax';\nsessionStorage.getItem('jwt');\nindexedDB.open('x');\nrouter.push(searchParams.get('u'));\nwindow.location = params.u;\nredirect(req.query.u);\nconst apiKey = 'abcdefghijkl';\n<script>{x}</script>\n"),
+    ("notes.md", "eval(x) is listed in no extension of code\n"),
 ]
 _FILES = values(FILES, "path, content")
 
@@ -30,8 +33,16 @@ def _sql_pattern(p: str) -> str:
     return p.replace("'", "''")
 
 
+def _sql_count(r: R.Rule) -> str:
+    """How often a rule matches. The SQL dialect has no look-ahead: what must not follow is looked for in the rest of the line."""
+    if "(?!" in r.pattern:
+        word = r.pattern[r.pattern.index("(?!.*") + 5 : -1]
+        return f"len(list_filter(regexp_extract_all(content, 'document\\.cookie\\s*=[^\\n]*'), lambda x: NOT regexp_matches(x, '{word}')))"
+    return f"len(regexp_extract_all(content, '{_sql_pattern(r.pattern)}'))"
+
+
 _COUNTS = " UNION ALL ".join(
-    f"SELECT path, '{r.id}' AS rule, '{r.kind}' AS type, '{r.severity}' AS severity, len(regexp_extract_all(content, '{_sql_pattern(r.pattern)}')) AS n FROM {_FILES}" for r in R.RULES
+    f"SELECT path, '{r.id}' AS rule, '{r.kind}' AS type, '{r.severity}' AS severity, {_sql_count(r)} AS n FROM {_FILES} WHERE regexp_matches(path, '\\.({'|'.join(e[1:] for e in r.extensions)})$')" for r in R.RULES
 )
 
 
@@ -69,7 +80,7 @@ def findings_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _RISK = """CASE WHEN critical > 0 THEN 'critical' WHEN high > 2 THEN 'high' WHEN high > 0 OR medium > 5 THEN 'medium' WHEN medium > 0 OR low > 10 THEN 'low' ELSE 'none' END"""
 _BY_USER = f"""SELECT user_id, count_if(severity = 'critical') AS critical, count_if(severity = 'high') AS high, count_if(severity = 'medium') AS medium, count_if(severity = 'low') AS low, count(*) AS total
-    FROM (SELECT user_id, {_SEVERITY} AS severity FROM events WHERE event_id % 7 < 2) GROUP BY user_id"""
+    FROM (SELECT user_id, {_SEVERITY} AS severity FROM events) GROUP BY user_id"""
 
 
 @query(

@@ -55,7 +55,7 @@ def top_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "component_complexity",
-    """SELECT p_partkey AS id, floor((coalesce(lines, 0) + coalesce(suppliers, 0) + 0.5 * p_size + 1.5 * coalesce(returned, 0)) * CASE WHEN coalesce(suppliers, 0) > 5 THEN 1 + 0.1 * (coalesce(suppliers, 0) - 5) ELSE 1.0 END * 10 + 0.5) / 10 AS complexity
+    """SELECT p_partkey AS id, floor((coalesce(lines, 0) + coalesce(suppliers, 0) + 0.5::DOUBLE * p_size + 1.5::DOUBLE * coalesce(returned, 0)) * CASE WHEN coalesce(suppliers, 0) > 5 THEN 1 + 0.1::DOUBLE * (coalesce(suppliers, 0) - 5) ELSE 1.0::DOUBLE END * 10 + 0.5::DOUBLE) / 10 AS complexity
     FROM part LEFT JOIN (SELECT l_partkey, count(*) AS lines, count(DISTINCT l_suppkey) AS suppliers, count_if(l_returnflag = 'R') AS returned FROM lineitem GROUP BY 1) ON l_partkey = p_partkey""",
 )
 def component_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:

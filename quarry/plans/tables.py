@@ -24,7 +24,7 @@ def name_similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "jaccard_pairs",
-    """WITH p AS (SELECT l_orderkey AS id, list_sort(list(DISTINCT l_partkey)) AS s FROM lineitem WHERE l_partkey % 50 < 3 GROUP BY 1 HAVING count(DISTINCT l_partkey) >= 2),
+    """WITH p AS (SELECT l_orderkey AS id, list_sort(list(DISTINCT l_partkey)) AS s FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_partkey) >= 2),
     e AS (SELECT id, unnest(s) AS x, len(s) AS n FROM p), i AS (SELECT a.id AS a, b.id AS b, count(*) AS common, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.x = b.x AND a.id < b.id GROUP BY 1, 2)
     SELECT a, b, floor(common * 1000.0 / (na + nb - common) + 0.5) / 1000 AS similarity FROM i WHERE common > 0.5 * (na + nb - common)""",
 )

@@ -12,13 +12,6 @@ from quarry.functions import paths as P
 SOURCE_EXTENSIONS = (".ts", ".tsx", ".js", ".jsx")
 IGNORED = r"(^|/)(node_modules|\.next|\.git|dist|build|coverage|out)/"
 SENSITIVE = r"(?i)(key|secret|token|password|private|auth|credential)"
-#: Words whose presence in a file raises a flag (fixed values).
-FLAGS = {
-    "has_auth": ("auth", "login", "session", "jwt"), "has_crypto": ("crypto", "bcrypt", "encrypt", "hash("), "has_api": ("fetch(", "axios", "/api/"),
-    "has_database": ("prisma", "mongoose", "sequelize", "knex", "sql`"), "has_dangerous": ("dangerouslysetinnerhtml", "eval(", "document.write", "innerhtml"),
-}
-
-
 def files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """path (below root), content, ext of the text files of a tree; folders of dependencies and builds are left out."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
@@ -87,34 +80,3 @@ def environment(all_files: DataFrame) -> DataFrame:
     lines = own.select("path", F.explode(F.split("content", "\n")).alias("line")).where(F.col("line").contains("=") & ~F.btrim("line").startswith("#"))
     name = F.btrim(F.substring_index("line", "=", 1))
     return lines.select("path", name.alias("name"), name.rlike(SENSITIVE).alias("sensitive"))
-
-
-def api_routes(all_files: DataFrame) -> DataFrame:
-    """path, route, methods, has_auth, has_validation of the files that serve an API."""
-    c = F.col("content")
-    own = all_files.where(F.col("path").rlike(r"(^|/)(pages/api/.*|app/.*/route)\.[jt]sx?$|(^|/)api/[^/]*\.[jt]sx?$"))
-    methods = F.array_sort(F.array_distinct(F.concat(F.regexp_extract_all(c, F.lit(r"export\s+(?:async\s+)?function\s+(GET|POST|PUT|PATCH|DELETE)\b"), F.lit(1)), F.regexp_extract_all(c, F.lit(r"method\s*===?\s*['\"](GET|POST|PUT|PATCH|DELETE)['\"]"), F.lit(1)))))
-    return own.select("path", P.route_of_file(F.col("path")).alias("route"), methods.alias("methods"), c.rlike(r"(?i)getServerSession|verifyToken|authenticate|authorization").alias("has_auth"), c.rlike(r"(?i)\b(zod|yup|joi|validate)\b").alias("has_validation"))
-
-
-def flags(all_files: DataFrame) -> DataFrame:
-    """path, a flag for each word list, n_lines, risk_level."""
-    low = F.lower("content")
-    any_of = lambda words: F.greatest(*(low.contains(w) for w in words))
-    rows = all_files.select("path", *(any_of(words).alias(name) for name, words in FLAGS.items()), F.size(F.split("content", "\n", -1)).alias("n_lines"))
-    n = sum((F.col(c).cast("int") for c in ("has_auth", "has_crypto", "has_api", "has_database")), F.lit(0))
-    return rows.withColumn("risk_level", F.when(F.col("has_dangerous"), "high").when(n >= 2, "medium").when(n >= 1, "low").otherwise("none"))
-
-
-def translations(all_files: DataFrame) -> DataFrame:
-    """path, language, key, value: translation files flattened to dotted keys, one level a round of the variant's own depth."""
-    own = all_files.where(F.col("path").rlike(r"(^|/)(locales|messages|translations|i18n|lang)/.*\.json$"))
-    parsed = own.select("path", F.regexp_extract("path", r"/([a-z]{2}(?:-[A-Z]{2})?)(?:/|\.json$)", 1).alias("language"), F.try_parse_json("content").alias("v"))
-    done, level = None, parsed.select("path", "language", F.lit("").alias("key"), "v")
-    for _ in range(8):
-        step = level.select("path", "language", "key", F.from_json(F.to_json("v"), "map<string,string>").alias("m")).select("path", "language", "key", F.explode("m").alias("k", "value"))
-        step = step.select("path", "language", F.concat_ws(".", F.when(F.col("key") != "", F.col("key")), "k").alias("key"), "value")
-        leaves = step.where(~F.col("value").startswith("{"))
-        done = leaves if done is None else done.union(leaves)
-        level = step.where(F.col("value").startswith("{")).select("path", "language", "key", F.try_parse_json("value").alias("v"))
-    return done

@@ -299,9 +299,10 @@ class Parser:
             if self.at("{", "(", "["):
                 if not need and (self.at("{") or t.newline):
                     return
+                group = self.at("(")
                 self.skip_pair()
                 need = False
-                if self.at("=>"):
+                if group and self.at("=>"):
                     self.next()
                     need = True
             elif self.at("<"):
@@ -311,8 +312,7 @@ class Parser:
                 self.next()
                 need = True
             elif self.at("=>"):
-                self.next()
-                need = True
+                return  # an arrow of a type follows a group, see above; this one starts a body
             elif t.kind in ("name", "string", "number"):
                 if not need and t.text not in ("extends", "is", "keyof", "in", "infer", "asserts"):
                     return
@@ -359,13 +359,31 @@ class Parser:
         if self.at("(", "."):
             self.back(mark)
             return self.expression_statement()
-        names = []
+        names, bound, typed, inside, renamed = [], [], False, False, False
         while self.tok is not None and self.tok.kind != "string" and not self.at(";"):
-            if self.tok.kind == "name" and not self.at("from", "type", "as"):
+            if self.at("{", "}"):
+                inside = self.at("{")
+            elif self.at("*"):
+                bound.append(["*", "*"])
+            elif self.at("as"):
+                renamed = True
+            elif self.at("type") and not names and not inside:
+                typed = True
+            elif self.tok.kind == "name" and not self.at("from", "type"):
                 names.append(self.tok.text)
+                if renamed and bound:
+                    bound[-1][1] = self.tok.text
+                else:
+                    bound.append([self.tok.text if inside else "default", self.tok.text])
+                renamed = False
             self.next()
         if self.tok is not None and self.tok.kind == "string":
-            self.leaf("Import", self.tok.text.strip("'\""), ",".join(names), start)
+            n = self.open("Import", self.tok.text.strip("'\""), ",".join(names), start)
+            if typed:
+                self.leaf("TypeOnly", at=start)
+            for imported, local in bound:
+                self.leaf("ImportName", local, imported, start)
+            self.close(n)
             self.next()
         self.eat(";")
         return None

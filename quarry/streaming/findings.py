@@ -16,8 +16,8 @@ def arriving_files(spark: SparkSession, folder: str, most_files: int = 1000) ->
 
 def finding_stream(files: DataFrame, late: str = "1 hour", rules: tuple[findings.Rule, ...] = findings.RULES) -> DataFrame:
     """Each finding once within the watermark: path, modified, rule, type, severity, line, column."""
-    found = findings.match_rules(files.withColumn("path", F.struct("path", "modified")), rules)
-    rows = found.select(F.col("path.path").alias("path"), F.col("path.modified").alias("modified"), "rule", "type", "severity", "line", "column")
+    found = findings.match_rules(files, rules, keep=("path", "modified"))
+    rows = found.select("path", "modified", "rule", "type", "severity", "line", "column")
     return rows.withWatermark("modified", late).dropDuplicatesWithinWatermark(["path", "rule", "line", "column"])
 
 

@@ -1,8 +1,9 @@
 import json
 
+from quarry.operators import errors, locales, modules
 from quarry.plans import code as P
 from quarry.sources import projects as J
-from quarry.sources import syntax
+from quarry.sources import scans, syntax
 
 
 def rows(df, *columns):
@@ -22,6 +23,12 @@ def test_parser_tells_values_from_types_and_markup():
     assert ("Conditional", None) not in kinds("function f(a?: string, b?: number): a is string { return a?.b ?? c }")
 
 
+def test_arrows_with_types_are_functions():
+    for source in ("const f = (a: A, b: any[]): Promise<U> => { g(); }", "const f = <T,>(x: T): T[] => [x]", "const f = (): { a: string } => ({ a: 1 })", "const f = (x: (a: number) => string): x is B => x"):
+        assert [n for k, n in kinds(source) if k == "Function"] == ["f"], source
+    assert ("ReturnType", "Promise<U>") in kinds("const f = (a: A): Promise<U> => a")
+
+
 def test_broken_files_still_give_rows():
     for source in ("", "function (", "<div", "`${", "class {", "a = {", "import", "const {a, b", "<a b={", "}}}}", "((((", None):
         assert syntax.parse("x.tsx", source)[0][7] == "Program"
@@ -50,8 +57,10 @@ def test_imports_exports_components(spark):
     assert rows(P.source_imports(spark, ""), "path", "specifier") == [("app/api/users/route.ts", "zod"), ("app/page.tsx", "../ui/Card"), ("app/page.tsx", "next-intl"), ("ui/Card.tsx", "./Item")]
     assert ("ui/Card.tsx", "Card", True) in rows(P.source_exports(spark, ""), "path", "name", "is_default")
     assert rows(P.react_components(spark, ""), "name") == [("Card",), ("Item",), ("Page",)]
-    assert rows(P.component_usage(spark, ""), "src", "dst") == [("Card", "Item"), ("Page", "Card")]
-    assert rows(P.component_flow(spark, ""), "node", "depth") == [("Card", 1), ("Item", 2), ("Page", 0)]
+    edges = modules.project_edges(P.nodes(spark), P.project(spark))
+    assert rows(edges, "src", "dst_path", "dst") == [("Card", "ui/Item.tsx", "Item"), ("Page", "ui/Card.tsx", "Card")]
+    routes = spark.createDataFrame([("/", "app/page.tsx", "Page")], "route string, path string, name string")
+    assert rows(modules.flow(routes, edges), "name", "depth") == [("Card", 1), ("Item", 2), ("Page", 0)]
 
 
 def test_findings(spark):
@@ -59,18 +68,18 @@ def test_findings(spark):
     assert found == [("app/page.tsx", "img-alt"), ("ui/Card.tsx", "interactive-role"), ("ui/Card.tsx", "link-text-descriptive"), ("ui/Item.tsx", "aria-role-valid")]
     assert rows(P.magic_numbers(spark, ""), "path", "text") == [("lib/data.ts", "42"), ("ui/Card.tsx", "3"), ("ui/Card.tsx", "7")]
     assert rows(P.type_shapes(spark, ""), "n", "names") == [(2, ["CardProps", "Props"])]
-    risk = {r.name: r for r in P.error_handling(spark, "").collect()}
-    assert risk["load"].risk == 5 and risk["load"].indicators == ["network", "parsing"] and risk["load"].should_handle and not risk["load"].handled
+    risk = {r.name: r for r in errors.risks(P.nodes(spark)).collect()}
+    assert risk["load"].risk == 5 and risk["load"].indicators == ["async", "network", "parsing"] and risk["load"].should_handle and not risk["load"].handled
     assert risk["safe"].handled
 
 
 def test_project_files(spark):
     assert rows(P.translation_key_usage(spark, ""), "full_key") == [("home.title",)]
-    assert rows(P.translation_entries(spark, ""), "key", "value") == [("home.deep.a", "b"), ("home.title", "Hi"), ("x", "y")]
+    assert rows(locales.entries(locales.files_of(P.project(spark))), "key", "value") == [("home.deep.a", "b"), ("home.title", "Hi"), ("x", "y")]
     assert rows(P.declared_packages(spark, ""), "name", "dev", "category") == [("jest", True, "testing"), ("lodash", False, "other"), ("next", False, "framework"), ("react", False, "framework")]
     assert rows(P.project_type(spark, ""), "framework", "router") == [("next", "app")]
-    (r,) = P.api_routes(spark, "").collect()
-    assert (r.route, r.methods, r.has_auth, r.has_validation) == ("/api/users", ["GET", "POST"], True, True)
+    (r,) = scans.api_routes(P.project(spark)).collect()
+    assert (r.route, r.methods, r.has_validation) == ("/users/route", ["GET", "POST"], True)
     assert rows(J.environment(P.project(spark)), "name", "sensitive") == [("API_KEY", True), ("PORT", False)]
 
 

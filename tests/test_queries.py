@@ -1,4 +1,4 @@
-"""Every query with SQL gives the rows that the SQL gives, on the smallest tables."""
+"""Every query with SQL gives the rows that the SQL gives, over whole tables."""
 
 import math
 
@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 from quarry import registry
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -28,7 +28,7 @@ def plain(v):
         x = float(v)
     except (TypeError, ValueError):
         return v
-    return int(x) if math.isfinite(x) and x.is_integer() else round(x, 6)
+    return int(x) if math.isfinite(x) and x.is_integer() else round(x, 9)
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
