@@ -81,8 +81,8 @@ def components(nodes: DataFrame) -> DataFrame:
 
 
 def elements(nodes: DataFrame) -> DataFrame:
-    """path, node_id, tag, props map, own_text, line, depth: a row for each JSX element."""
-    tags = nodes.where("kind = 'JsxElement'").select("path", "node_id", "parent_id", F.col("name").alias("tag"), "line", "depth")
+    """path, node_id, exit, tag, props map, own_text, line, depth: a row for each JSX element."""
+    tags = nodes.where("kind = 'JsxElement'").select("path", "node_id", "exit", "parent_id", F.col("name").alias("tag"), "line", "depth")
     attrs = nodes.where("kind = 'JsxAttribute'").groupBy("path", F.col("parent_id").alias("node_id")).agg(
         F.map_from_entries(F.array_distinct(F.collect_list(F.struct("name", F.coalesce("text", F.lit("true")))))).alias("props")
     )
@@ -100,8 +100,23 @@ ROLES = (
 ).split()
 
 
+def _inside(outer: DataFrame, inner: DataFrame, condition: Column, name: str) -> DataFrame:
+    """outer's elements (path, node_id) that an element of inner lies inside of, or which a condition links; inside of a file."""
+    a = outer.select("path", "node_id", "exit", F.col("props")["id"].alias("own_id"))
+    b = inner.select(F.col("path").alias("p"), F.col("node_id").alias("other"), F.col("exit").alias("other_exit"), F.coalesce(F.col("props")["htmlFor"], F.col("props")["for"]).alias("label_for"))
+    return a.join(b, (F.col("path") == F.col("p")) & condition, "left_semi").select("path", "node_id", F.lit(True).alias(name))
+
+
 def accessibility_violations(found: DataFrame) -> DataFrame:
-    """path, node_id, tag, rule, severity over elements: all rules in one projection, then one row a violation."""
+    """path, node_id, tag, rule, severity over elements: all rules in one projection, then one row a violation.
+
+    An input has a label if one names its id or lies around it; a fieldset has a legend if one lies inside."""
+    fields, labels = found.where("lower(tag) in ('input', 'select', 'textarea')"), found.where("lower(tag) = 'label'")
+    around = (F.col("node_id") > F.col("other")) & (F.col("node_id") <= F.col("other_exit"))
+    labelled = _inside(fields, labels, around | (F.col("own_id") == F.col("label_for")), "labelled")
+    inside = (F.col("other") > F.col("node_id")) & (F.col("other") <= F.col("exit"))
+    legends = _inside(found.where("lower(tag) = 'fieldset'"), found.where("lower(tag) = 'legend'"), inside, "legend")
+    found = found.join(labelled, ["path", "node_id"], "left").join(legends, ["path", "node_id"], "left").fillna(False, ["labelled", "legend"])
     tag, text = F.lower("tag"), F.btrim("own_text")
     p = lambda name: F.col("props")[name]
     named = p("aria-label").isNotNull() | p("aria-labelledby").isNotNull()
@@ -113,7 +128,9 @@ def accessibility_violations(found: DataFrame) -> DataFrame:
     rules = F.array(
         v((tag == "img") & p("alt").isNull(), "img-alt", "error"),
         v((tag == "img") & F.lower(p("alt")).isin("image", "picture", "photo", "icon"), "img-alt-meaningful", "warning"),
-        v(tag.isin("input", "select", "textarea") & ~named & p("id").isNull() & ~F.coalesce(p("type"), F.lit("")).isin("hidden", "submit", "button"), "input-label", "error"),
+        v(tag.isin("input", "select", "textarea") & ~named & ~F.col("labelled") & p("title").isNull() & ~F.coalesce(p("type"), F.lit("")).isin("hidden", "submit", "button"), "input-label", "error"),
+        v((tag == "input") & p("placeholder").isNotNull() & ~named & F.col("labelled") & p("title").isNull(), "input-label", "warning"),
+        v((tag == "fieldset") & ~F.col("legend"), "fieldset-legend", "warning"),
         v((tag == "button") & (text == "") & ~named & ~children, "button-text", "error"),
         v((tag == "a") & (text == "") & ~named, "link-text", "error"),
         v((tag == "a") & vague, "link-text-descriptive", "warning"),
@@ -123,12 +140,35 @@ def accessibility_violations(found: DataFrame) -> DataFrame:
         v((tag == "html") & lang.isNotNull() & ~lang.startswith("{") & ~lang.rlike("^[a-z]{2,3}(-[A-Za-z0-9]+)*$"), "html-lang", "warning"),
         v(~F.coalesce(p("aria-hidden"), F.lit("true")).isin("true", "false", "{true}", "{false}"), "aria-hidden-value", "error"),
         v(~F.coalesce(p("aria-expanded"), F.lit("true")).rlike(r"^(true|false|undefined|\{.*\})$"), "aria-expanded-value", "error"),
-        v(p("aria-label") == "", "aria-empty-value", "warning"),
+        v(F.coalesce(F.exists(F.map_entries("props"), lambda e: e.key.startswith("aria-") & (F.btrim(e.value) == "")), F.lit(False)), "aria-empty-value", "warning"),
     )
     rows = found.select("path", "node_id", "tag", "line", F.explode(F.array_compact(rules)).alias("r"))
     return rows.select("path", "node_id", "tag", "line", "r.rule", "r.severity")
 
 
+#: Points that a violation costs, and rules that belong to level AA (fixed values).
+PENALTIES = {"error": 10, "warning": 5, "info": 1}
+LEVEL_AA = ("link-text-descriptive", "heading-hierarchy-start", "heading-hierarchy-skip")
+
+
+def compliance(errors: Column, a_errors: Column, aa_warnings: Column) -> Column:
+    """The level that violations leave: AAA without errors and warnings on AA rules, AA without errors, A without errors on A rules."""
+    return F.when((errors == 0) & (aa_warnings == 0), "AAA").when(errors == 0, "AA").when(a_errors == 0, "A").otherwise("none")
+
+
+def accessibility_scores(found: DataFrame, violations: DataFrame) -> DataFrame:
+    """path, elements, violations, score, level: the share of elements without a violation, less twice the penalties (fifty at most)."""
+    n = found.groupBy("path").agg(F.count(F.lit(1)).alias("elements"))
+    cost = sum((F.when(F.col("severity") == s, w).otherwise(0) for s, w in PENALTIES.items()), F.lit(0))
+    error, aa = F.col("severity") == "error", F.col("rule").isin(*LEVEL_AA)
+    v = violations.groupBy("path").agg(
+        F.count(F.lit(1)).alias("violations"), F.countDistinct("node_id").alias("hit"), F.sum(cost).alias("cost"), F.count_if(error).alias("errors"), F.count_if(error & ~aa).alias("a_errors"), F.count_if((F.col("severity") == "warning") & aa).alias("aa_warnings"),
+    )
+    rows = n.join(v, "path", "left").fillna(0)
+    score = F.greatest(F.lit(0), F.floor((F.col("elements") - F.col("hit")) / F.col("elements") * 100 - F.least(2 * F.col("cost"), F.lit(50)) + 0.5))
+    return rows.select("path", "elements", "violations", score.cast("long").alias("score"), compliance(F.col("errors"), F.col("a_errors"), F.col("aa_warnings")).alias("level"))
+
+
 def duplicate_ids(found: DataFrame) -> DataFrame:
     own = found.select("path", "node_id", F.col("props")["id"].alias("id")).where("id is not null and id not like '{%'")
     return own.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("path", "id"))).where("n > 1").drop("n")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions import paths as P
 from quarry.functions.text import round_half_up
+from quarry.operators import code as C
+from quarry.operators import webpages as WP
 from quarry.plans.common import table, values
 from quarry.registry import query
 from quarry.sources import pages as H
@@ -23,8 +25,21 @@ _NORMAL = r"CASE WHEN x = '' THEN '/' ELSE x END"
 _LINK_NORMAL = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(href, '[?#].*$', ''), '\.(html?|jsx?|tsx?)$', ''), '/index$', ''), '(.)/+$', '\1')"
 
 
-def _headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", *(H.count_tag(F.col("html"), f"h{i}").alias(f"h{i}") for i in LEVELS))
+#: Pages with what the given ones lack: two h1, none, a skipped level, no language, a malformed one, resources by http (fixture).
+ODD_PAGES = [
+    (1, '<html lang="en"><h1>a</h1><h1>b</h1><h2>c</h2><img src="http://x.org/a.png"><script src="https://x.org/a.js"></script></html>'), (2, '<html><h2>a</h2><h4>b</h4><iframe src="http://x.org/f"></iframe></html>'),
+    (3, '<html lang="english!"><h1>a</h1><h2>b</h2><link rel="stylesheet" href="http://x.org/s.css"><a href="http://x.org">x</a></html>'), (4, '<html lang="de-AT"><h1>a</h1></html>'),
+]
+_ODD = f"(SELECT * FROM {values(ODD_PAGES, 'page_id, html')} UNION ALL SELECT page_id, html FROM pages)"
+
+
+def _odd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given pages and the odd ones."""
+    return spark.createDataFrame(ODD_PAGES, "page_id long, html string").union(table(spark, sf_dir, "pages").select("page_id", "html"))
+
+
+def _headings(spark: SparkSession, sf_dir: str, pages: DataFrame | None = None) -> DataFrame:
+    return (table(spark, sf_dir, "pages") if pages is None else pages).select("page_id", *(H.count_tag(F.col("html"), f"h{i}").alias(f"h{i}") for i in LEVELS))
 
 
 def _skipped() -> F.Column:
@@ -57,12 +72,12 @@ def page_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "heading_issues",
-    f"""WITH h AS ({_HEADINGS}) SELECT page_id, 'missing-h1' AS issue FROM h WHERE h1 = 0 UNION ALL SELECT page_id, 'multiple-h1' FROM h WHERE h1 > 1
+    f"""WITH h AS ({_HEADINGS.replace('FROM pages', 'FROM ' + _ODD)}) SELECT page_id, 'missing-h1' AS issue FROM h WHERE h1 = 0 UNION ALL SELECT page_id, 'multiple-h1' FROM h WHERE h1 > 1
     UNION ALL SELECT page_id, 'skipped-level' FROM h WHERE {_SKIPPED_SQL}""",
 )
 def heading_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     issues = F.array_compact(F.array(F.when(F.col("h1") == 0, "missing-h1").when(F.col("h1") > 1, "multiple-h1"), F.when(_skipped(), "skipped-level")))
-    return _headings(spark, sf_dir).select("page_id", F.explode(issues).alias("issue"))
+    return _headings(spark, sf_dir, _odd(spark, sf_dir)).select("page_id", F.explode(issues).alias("issue"))
 
 
 @query(
@@ -169,14 +184,14 @@ def meta_tag_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "html_lang_rule",
-    r"""SELECT page_id, CASE WHEN NOT regexp_matches(html, '<html[^>]*\slang="') THEN 'missing' WHEN NOT regexp_matches(regexp_extract(html, '<html[^>]*\slang="([^"]*)"', 1), '^[a-z]{2,3}(-[A-Za-z0-9]+)*$') THEN 'malformed' END AS problem,
-    CASE WHEN NOT regexp_matches(html, '<html[^>]*\slang="') THEN 'error' ELSE 'warning' END AS severity FROM pages
-    WHERE NOT regexp_matches(html, '<html[^>]*\slang="') OR NOT regexp_matches(regexp_extract(html, '<html[^>]*\slang="([^"]*)"', 1), '^[a-z]{2,3}(-[A-Za-z0-9]+)*$')""",
+    rf"""SELECT page_id, CASE WHEN NOT regexp_matches(html, '<html[^>]*\slang="') THEN 'missing' WHEN NOT regexp_matches(regexp_extract(html, '<html[^>]*\slang="([^"]*)"', 1), '^[a-z]{{2,3}}(-[A-Za-z0-9]+)*$') THEN 'malformed' END AS problem,
+    CASE WHEN NOT regexp_matches(html, '<html[^>]*\slang="') THEN 'error' ELSE 'warning' END AS severity FROM {_ODD}
+    WHERE NOT regexp_matches(html, '<html[^>]*\slang="') OR NOT regexp_matches(regexp_extract(html, '<html[^>]*\slang="([^"]*)"', 1), '^[a-z]{{2,3}}(-[A-Za-z0-9]+)*$')""",
 )
 def html_lang_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     lang = H.language(F.col("html"))
     problem = F.when(lang.isNull(), "missing").when(~lang.rlike(r"^[a-z]{2,3}(-[A-Za-z0-9]+)*$"), "malformed")
-    return table(spark, sf_dir, "pages").select("page_id", problem.alias("problem"), F.when(lang.isNull(), "error").otherwise("warning").alias("severity")).where("problem is not null")
+    return _odd(spark, sf_dir).select("page_id", problem.alias("problem"), F.when(lang.isNull(), "error").otherwise("warning").alias("severity")).where("problem is not null")
 
 
 #: Link texts that say nothing (fixed values).
@@ -196,10 +211,12 @@ def link_text_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "mixed_content_findings",
-    "SELECT page_id, 'mixed-content' AS type, 'high' AS severity, url FROM pages WHERE url LIKE 'http://%'",
+    rf"""SELECT page_id, lower(regexp_extract(m, '^<(\w+)', 1)) AS tag, regexp_extract(m, '=["''](http://[^"'']+)["'']$', 1) AS address
+    FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<(?:img|script|iframe|audio|video|source|embed|link|object)\b[^>]*?(?:src|href|data)=["'']http://[^"'']+["'']')) AS m FROM {_ODD})""",
 )
 def mixed_content_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").where(F.col("url").startswith("http://")).select("page_id", F.lit("mixed-content").alias("type"), F.lit("high").alias("severity"), "url")
+    """Resources that a page loads by http, over all pages."""
+    return WP.mixed_content(_odd(spark, sf_dir))
 
 
 @query(
@@ -296,12 +313,14 @@ def img_alt_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     "accessibility_score",
     f"""WITH v AS (SELECT file, elem_id, CASE WHEN tag = 'img' AND alt IS NULL THEN 10 WHEN tag = 'img' AND lower(trim(alt)) IN ('image', 'picture', 'photo', 'icon', 'img') THEN 5 ELSE 0 END AS penalty FROM {_ELEMENTS})
     SELECT file, count(*) AS elements, count_if(penalty > 0) AS violations, greatest(0, floor(100.0 * count_if(penalty = 0) / count(*) - least(2 * sum(penalty), 50) + 0.5))::BIGINT AS score,
-      CASE WHEN max(penalty) >= 10 THEN 'none' WHEN max(penalty) >= 5 THEN 'A' ELSE 'AA' END AS level FROM v GROUP BY file""",
+      CASE WHEN max(penalty) >= 10 THEN 'none' ELSE 'AAA' END AS level FROM v GROUP BY file""",
 )
 def accessibility_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     vague = F.lower(F.btrim("alt")).isin("image", "picture", "photo", "icon", "img")
     penalty = F.when(F.col("tag") == "img", F.when(F.col("alt").isNull(), 10).when(vague, 5).otherwise(0)).otherwise(0)
     p = _elements(spark).withColumn("penalty", penalty)
     score = F.greatest(F.lit(0), F.floor(100.0 * F.count_if(F.col("penalty") == 0) / F.count(F.lit(1)) - F.least(2 * F.sum("penalty"), F.lit(50)) + 0.5))
-    level = F.when(F.max("penalty") >= 10, "none").when(F.max("penalty") >= 5, "A").otherwise("AA")
+    # Both rules are of level A: a missing text is an error, a vague one a warning that no level counts.
+    errors = F.count_if(F.col("penalty") >= 10)
+    level = C.compliance(errors, errors, F.lit(0))
     return p.groupBy("file").agg(F.count(F.lit(1)).alias("elements"), F.count_if(F.col("penalty") > 0).alias("violations"), score.cast("long").alias("score"), level.alias("level"))
