@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import held, small_batches
+from quarry.llm.common import held, small_batches, tidy
 from quarry.llm.pieces import ChunkCache
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -383,7 +383,9 @@ def coder(path: str | None = None, pattern: str | None = None) -> Callable[[Colu
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec, tokens = Codec.get(path, pattern), Tokens.get(path)
-        for whole in batches:
+        for n, whole in enumerate(batches):
+            if n % 16 == 0:
+                tidy()
             parts = []
             for i in range(0, len(whole), 1000):
                 ids = _encoded(whole.slice(i, 1000), codec)

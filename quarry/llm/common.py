@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import itertools
 import os
@@ -52,14 +54,39 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write a frame to the shared checkpoint folder and read it from there, so that lost executors cost no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    if next(_turns) % 4 == 0:
-        release(df.sparkSession)
+def cut(df: DataFrame, let_go: bool = False, light: bool = False, small: bool = False) -> DataFrame:
+    """Write a frame to the shared checkpoint folder and read it from there, so that lost executors cost no recomputation. ``let_go``
+    releases what the step before left; otherwise each fourth cut does.
+
+    Each partition makes a file, and files cost more than their bytes where partitions are small: after a shuffle a ``small`` frame (less
+    than the texts) is written by a quarter of the partitions, though by as many as there are cores, a ``light`` one (a few bytes a
+    document or less) by a sixteenth."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    if next(_turns) % 4 == 0 or let_go:
+        release(spark)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if light:
+        df = df.coalesce(max(1, partitions // 16))
+    elif small:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, partitions // 4))
     return df.checkpoint(eager=True)
 
 
+class Table:
+    """A frame written as Parquet to the shared folder: smaller than a checkpoint where columns repeat or are null."""
+
+    def __init__(self, df: DataFrame, name: str):
+        self.path = shared_path(df.sparkSession, name)
+        df.write.parquet(self.path)
+        self.df = df.sparkSession.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        spark = self.df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop(*frames: DataFrame) -> None:
     """Delete the files of frames that ``cut`` made, once nothing that is still to run reads them."""
     for df in frames:
@@ -100,6 +127,13 @@ def held(family: str, key: object = None, make: Callable[[], object] = lambda: N
     return _kept[family, key]
 
 
+def tidy() -> None:
+    """Hand memory that a batch used back to the system. Workers live on, and both allocators would keep the most that any batch took."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every system's C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser over unsigned 64-bit integers (the well-known murmur constants)."""
     x = x ^ (x >> np.uint64(33))

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cut, held, small_batches
+from quarry.llm.common import cut, held, small_batches, tidy
 
 #: Languages whose counts may be broadcast, a few dozen bytes each.
 MOST_BROADCAST = 100_000
@@ -115,7 +115,7 @@ def learn(docs: DataFrame, most: int = 1024, landmarks: int = 128, text: str = "
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))
     ids = known.select("doc_id", "lang", place.alias("place"))
     # One row a language; a language code is no free text, and more of them than this are no languages.
-    counts = cut(ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    counts = cut(ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), light=True)
     near = F.broadcast(counts) if counts.count() <= MOST_BROADCAST else counts
     few = ids.join(near, "lang").where(F.col("place") * F.col("n") < 4.0 * most * (1 << 32))
     rank = F.row_number().over(W.partitionBy("lang").orderBy("place", "doc_id"))
@@ -151,7 +151,9 @@ def classifier(model: Model | None) -> Callable[[Column], Column]:
         held("language")
         letter = regex.compile(r"\p{L}").search
         flags = np.zeros(PLACES, np.uint8)
-        for whole in batches:
+        for turn, whole in enumerate(batches):
+            if turn % 16 == 0:
+                tidy()
             parts = []
             for first in range(0, len(whole), 256):
                 b = whole.slice(first, 256)

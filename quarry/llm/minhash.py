@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WordHashes, cut, drop, held, mix64, rolling, small_batches
+from quarry.llm.common import WordHashes, cut, drop, held, mix64, rolling, small_batches, tidy
 
 BINS, BAND = 128, 4
 _ROUND = np.arange(2 * BINS, dtype=np.uint64)
@@ -81,6 +81,7 @@ def sketches(docs: DataFrame, k: int = 5) -> DataFrame:
         import xxhash
 
         held("minhash")
+        tidy()
         cache = WordHashes()
         for whole in batches:
             for i in range(0, whole.num_rows, 1000):
@@ -103,6 +104,7 @@ def shingle_sets(docs: DataFrame, k: int = 5) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held("minhash")
+        tidy()
         cache = WordHashes()
         for whole in batches:
             for i in range(0, whole.num_rows, 500):
@@ -117,14 +119,14 @@ def shingle_sets(docs: DataFrame, k: int = 5) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, comp (the smallest node that it reaches), for the nodes of edges (a, b): smallest neighbour's label, then a jump to
     the label's own label, until nothing changes. The number of rounds is logarithmic for the stars that leaders make."""
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
-    held = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")))
+    both = cut(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), light=True)
+    held = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")), light=True)
     labels = held
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         lower = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("new"))
         own = labels.select(F.col("node").alias("new"), F.col("comp").alias("jump"))
-        stepped = cut(lower.join(own, "new", "left").select("node", "old", F.least("new", F.coalesce("jump", "new")).alias("comp")))
+        stepped = cut(lower.join(own, "new", "left").select("node", "old", F.least("new", F.coalesce("jump", "new")).alias("comp")), light=True)
         drop(held)
         held, labels = stepped, stepped.select("node", "comp")
         if stepped.where("comp <> old").isEmpty():
@@ -138,7 +140,7 @@ MOST_BROADCAST = 2_000_000
 
 def _sets(need: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """node, shingles for the documents of need (node). Texts are read again for these alone."""
-    need = cut(need.select(F.col("node").alias("doc_id")).distinct())
+    need = cut(need.select(F.col("node").alias("doc_id")).distinct(), light=True)
     small = need.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
     chosen = docs.join(F.broadcast(need) if small else need, "doc_id", "left_semi")
     return shingle_sets(chosen, k).withColumnRenamed("doc_id", "node")
@@ -150,7 +152,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - common
-    found = cut(pairs.join(right, "b").join(left, "a").where(100 * common >= percent * union).select("a", "b").distinct())
+    found = cut(pairs.join(right, "b").join(left, "a").where(100 * common >= percent * union).select("a", "b").distinct(), light=True)
     drop(sets)
     return found
 
@@ -180,7 +182,7 @@ def _cross_links(groups: DataFrame, comps: DataFrame, docs: DataFrame, k: int, p
     with short differences."""
     c = (100 - percent) / (100 + percent)
     turns = F.ceil(F.col("g") / PART).cast("int")
-    sizes = cut(groups.groupBy("lead").agg(F.count(F.lit(1)).alias("g")))
+    sizes = cut(groups.groupBy("lead").agg(F.count(F.lit(1)).alias("g")), light=True)
     split = sizes.select("lead", "g", turns.alias("turns"))
     each = lambda df: df.join(split, "lead").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
     dealt = groups.join(split, "lead").withColumn("part", F.pmod(F.xxhash64("node"), F.col("turns")).cast("int"))
@@ -194,11 +196,11 @@ def _cross_links(groups: DataFrame, comps: DataFrame, docs: DataFrame, k: int, p
     major = each(common.join(split.select("lead", "g"), "lead").where("2 * c > g").groupBy("lead").agg(F.collect_list("e").alias("m"))).select("lead", "part", "m")
     moved = diffs.join(major, ["lead", "part"], "left").withColumn("m", F.coalesce("m", F.array().cast("array<bigint>")))
     moved = moved.select("lead", "part", "node", "n", _xor("d", "m").alias("d")).withColumn("f", c * F.col("n") - F.size("d"))
-    moved = cut(moved.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+    moved = cut(moved.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")), small=True)
     drop(diffs)
     top = moved.groupBy("lead").agg(F.max(F.struct("f", "node")).alias("top")).select("lead", F.col("top.f").alias("most"), F.col("top.node").alias("star"))
     rated = moved.join(each(top).select("lead", "part", "most", "star"), ["lead", "part"]).withColumn("out", F.col("f") + F.col("most") < -1e-6)
-    stars = cut(rated.where(~F.col("out") & (F.col("node") != F.col("star"))).select(F.col("star").alias("a"), F.col("node").alias("b")).distinct())
+    stars = cut(rated.where(~F.col("out") & (F.col("node") != F.col("star"))).select(F.col("star").alias("a"), F.col("node").alias("b")).distinct(), light=True)
     outer = rated.where("out").groupBy("lead").agg(F.max("f").alias("most_out"))
     open_ = rated.join(each(outer).select("lead", "part", "most_out"), ["lead", "part"])
     # An outlier's partner may be any member; another member's partner, as far as it matters, is an outlier.
@@ -220,7 +222,7 @@ def _cross_links(groups: DataFrame, comps: DataFrame, docs: DataFrame, k: int, p
     alike = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
     enough = 1 + F.least("ra", "rb") >= -(F.col("fa") + F.col("fb")) / 2 - 1e-6
     met = x.join(y, (F.col("lead") == F.col("lead2")) & (F.col("e") == F.col("e2")) & (F.col("ca") != F.col("cb")) & (~F.col("yout") | (F.col("a") < F.col("b"))) & alike & enough)
-    pairs = cut(met.select("a", "b").distinct())
+    pairs = cut(met.select("a", "b").distinct(), small=True)
     drop(tokens)
     return stars, pairs
 
@@ -233,28 +235,28 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, text: str =
     base = cut(sketched.drop("bands"))
     real = sketched.where("n_shingles > 0 and doc_id is not null")
     # Rows of one id with several texts count as linked; a class of equal sets is its smallest id.
-    classes = cut(real.groupBy("set_hash", "n_shingles").agg(F.min("doc_id").alias("rep")))
+    classes = cut(real.groupBy("set_hash", "n_shingles").agg(F.min("doc_id").alias("rep")), small=True)
     own = real.join(classes.select("rep", F.col("set_hash").alias("h")), (F.col("doc_id") == F.col("rep")) & (F.col("set_hash") == F.col("h")))
     exploded = own.select(F.col("rep").alias("node"), F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
     shared = exploded.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("band")
-    members = cut(exploded.join(shared, "band"))
+    members = cut(exploded.join(shared, "band"), small=True)
     texts = docs.where("doc_id is not null")
     repeated = real.groupBy("doc_id").agg(F.min("set_hash").alias("x"), F.max("set_hash").alias("y")).where("x <> y").select("doc_id")
-    edges = cut(real.join(repeated, "doc_id", "left_semi").join(classes, ["set_hash", "n_shingles"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b"))
+    edges = cut(real.join(repeated, "doc_id", "left_semi").join(classes, ["set_hash", "n_shingles"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b"), light=True)
     drop(sketched)
     comps = components(edges)
     lead = F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node"), F.col("n"))).alias("lead")
     alike = 100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")
     met = members.join(members.groupBy("band").agg(lead), "band").where("node <> lead.node")
     # Each member is compared with one leader, the first by hash among those of its buckets.
-    pairs = cut(met.where(alike).groupBy(F.col("node").alias("b")).agg(F.min("lead").alias("lead")).select(F.col("lead.node").alias("a"), "b"))
+    pairs = cut(met.where(alike).groupBy(F.col("node").alias("b")).agg(F.min("lead").alias("lead")).select(F.col("lead.node").alias("a"), "b"), light=True)
     if not pairs.isEmpty():
         more = _verified(pairs, texts, k, percent)
         edges, comps = _with(edges, more, comps)
     drop(pairs)
     now = members.join(comps, "node", "left").select("band", "node", "n", F.coalesce("comp", "node").alias("comp"))
     open_ = now.groupBy("band").agg(lead, F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    groups = cut(now.join(open_.select("band", F.col("lead.node").alias("lead")), "band").select("lead", "node").distinct())
+    groups = cut(now.join(open_.select("band", F.col("lead.node").alias("lead")), "band").select("lead", "node").distinct(), small=True)
     drop(members)
     if not groups.isEmpty():
         stars, rest = _cross_links(groups, comps, texts, k, percent)
@@ -271,6 +273,6 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5, text: str =
 
 def _with(edges: DataFrame, more: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The edges with more, and their components, in place of those before."""
-    every = cut(edges.union(more))
+    every = cut(edges.union(more), light=True)
     drop(edges, more)
     return every, components(every)

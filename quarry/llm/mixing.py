@@ -51,7 +51,8 @@ def solve(counts: DataFrame, targets: DataFrame, limit: float = 2.0, steps: int
     state = cut(
         targets.join(scale, "sid")
         .select("sid", "target", "scale", full.alias("full"), start.alias("lam"), F.lit(-1e6).alias("lo"), F.lit(1e6).alias("hi"), F.lit(False).alias("done"))
-        .withColumn("done", F.col("full") | (F.col("target") <= 0))
+        .withColumn("done", F.col("full") | (F.col("target") <= 0)),
+        light=True,
     )
     for _ in range(steps):
         if state.where("not done").isEmpty():
@@ -71,7 +72,7 @@ def solve(counts: DataFrame, targets: DataFrame, limit: float = 2.0, steps: int
         nxt = F.when((newton > F.col("lo2")) & (newton < F.col("hi2")), newton).otherwise((F.col("lo2") + F.col("hi2")) / 2)
         moved = state.join(sums, "sid", "left").withColumn("lo2", F.when(F.col("done"), F.col("lo")).otherwise(lo)).withColumn("hi2", F.when(F.col("done"), F.col("hi")).otherwise(hi))
         ended = F.col("done") | (F.abs(gap) <= close * F.col("target"))
-        state = cut(moved.select("sid", "target", "scale", "full", F.when(ended, F.col("lam")).otherwise(nxt).alias("lam"), F.col("lo2").alias("lo"), F.col("hi2").alias("hi"), ended.alias("done")))
+        state = cut(moved.select("sid", "target", "scale", "full", F.when(ended, F.col("lam")).otherwise(nxt).alias("lam"), F.col("lo2").alias("lo"), F.col("hi2").alias("hi"), ended.alias("done")), light=True)
     return state.select("sid", F.col("lam").alias("lambda"), "scale", "full")
 
 
@@ -90,13 +91,13 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5, 2,
         )
     )
     counts = rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
-    counts = cut(counts)
+    counts = cut(counts, light=True)
     sizes = counts.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
-    targets = cut(source_targets(sizes, share, weights, limit))
+    targets = cut(source_targets(sizes, share, weights, limit), light=True)
     named = targets.select(F.col("source").alias("s2"), "sid", "source_size", "target")
-    by_sid = cut(counts.join(named, counts["source"].eqNullSafe(named["s2"])).select("sid", "size", "n"))
+    by_sid = cut(counts.join(named, counts["source"].eqNullSafe(named["s2"])).select("sid", "size", "n"), light=True)
     solved = solve(by_sid, targets, limit)
-    plan = cut(targets.join(solved, "sid"))  # one row a source
+    plan = cut(targets.join(solved, "sid"), light=True)  # one row a source
     # One row a source: few enough to broadcast unless counted otherwise, so that a large source isn't dealt to one task.
     near = F.broadcast if targets.count() <= MOST_BROADCAST else (lambda df: df)
     plan = near(plan.withColumnRenamed("source", "s2"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import held, small_batches
+from quarry.llm.common import held, small_batches, tidy
 
 #: Strong kinds first; spans are ordered by start, then by place in this list.
 KINDS = ("assign", "access", "hex", "weak_secret", "weak_id", "endpoint")
@@ -179,6 +179,7 @@ def finder(scope: int = 200) -> Callable[[Column], Column]:
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         held("secrets")
+        tidy()
         for whole in batches:
             yield pa.array([one(x.as_py()) for x in whole], kind)
 
