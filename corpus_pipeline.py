@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import bpe, language, minhash, mixing, secrets
@@ -22,15 +22,15 @@ LEAST_LIKENESS = 0.2
 LEAST_CHARS = 30
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """Whole rows as one column beside the text, so that no column of theirs can clash with an operator's."""
-    return docs.select(F.struct(*docs.columns).alias("doc"), "text")
+def _packed(docs: DataFrame, found: Column) -> DataFrame:
+    """Whole rows as one column beside what an operator finds in their texts, so that no column of theirs can clash with its own."""
+    return docs.select(F.struct(*docs.columns).alias("doc"), found.alias("found"))
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject documents without a letter and those like no learned language; fill in the languages that are missing."""
     model = language.learn(docs)
-    found = language.predict(_packed(docs), model, keep=("doc",))
+    found = _packed(docs, language.classifier(model)(F.col("text").cast("string"))).select("doc", "found.lang_pred", "found.score")
     alike = F.lit(False)
     for name, bias in zip(*(model.languages, model.bias.tolist()) if model else ((), ()), strict=True):
         none = (bias + 1) / 2
@@ -49,8 +49,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace each secret by a mark of its kind."""
-    found = secrets.scan(_packed(docs), keep=("doc",))
-    changed = F.size("spans") > 0
+    found = _packed(docs, secrets.finder()(F.col("text").cast("string"))).select("doc", "found.redacted")
+    changed = F.col("redacted").isNotNull()
     new = {"text": F.when(changed, F.col("redacted")).otherwise(F.col("doc.text")), "n_chars": F.when(changed, F.length("redacted")).otherwise(F.col("doc.n_chars")).cast("long")}
     return found.select(*(new[c].alias(c) if c in new else F.col("doc")[c].alias(c) for c in docs.columns))
 
@@ -63,7 +63,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, the ids, and digests of the ids and of the bytes they decode to."""
-    decoded = bpe.decode(bpe.encode(docs, keep=("doc_id", "source")))
+    decoded = bpe.round_trip(docs, keep=("doc_id", "source"))
     return decoded.select(
         "doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
