@@ -27,26 +27,28 @@ def line_metrics(content: Column) -> Column:
 
     A line with /** opens documentation (counted blank, as are its lines up to one with */); a line with /* opens a comment; a line
     that starts with // is a comment, and one with code before // is code."""
-    lines = F.split(F.coalesce(content, F.lit("")), "\n", -1)
-
-    def step(s: Column, raw: Column) -> Column:
-        line = strip(raw)
-        blank, opens, closes = line == "", line.contains("/**"), line.contains("*/")
+    # Each line is stripped once and comes to five bits, so that the fold itself is arithmetic.
+    lines = F.transform(F.split(F.coalesce(content, F.lit("")), "\n", -1), lambda x: F.btrim(x, F.lit(" \t\n\x0b\f\r")))
+    bit = lambda c, n: F.when(c, n).otherwise(0)
+    flags = F.transform(lines, lambda x: F.when(x == "", 1).otherwise(bit(x.contains("/**"), 2) + bit(x.contains("*/"), 4) + bit(x.contains("/*"), 8) + bit(x.startswith("//"), 16)))
+
+    def step(s: Column, x: Column) -> Column:
+        has = lambda n: x.bitwiseAND(n) > 0
+        blank, opens, closes = has(1), has(2), has(4)
         doc = ~blank & (s.doc | opens)
-        block = ~blank & ~doc & (s.block | line.contains("/*"))
-        comment = block | (~blank & ~doc & line.startswith("//"))
+        block = ~blank & ~doc & (s.block | has(8))
+        comment = block | (~blank & ~doc & has(16))
         code = ~blank & ~doc & ~comment
-        one = lambda c: F.when(c, 1).otherwise(0)
         return F.struct(
             F.when(blank, s.doc).otherwise(opens | (s.doc & ~closes)).alias("doc"),
             F.when(block, ~closes).otherwise(s.block).alias("block"),
-            (s.code + one(code)).alias("code"),
-            (s.comment + one(comment)).alias("comment"),
-            (s.blank + one(blank | doc)).alias("blank"),
+            (s.code + bit(code, 1)).alias("code"),
+            (s.comment + bit(comment, 1)).alias("comment"),
+            (s.blank + bit(blank | doc, 1)).alias("blank"),
         )
 
     zero = F.struct(F.lit(False).alias("doc"), F.lit(False).alias("block"), F.lit(0).alias("code"), F.lit(0).alias("comment"), F.lit(0).alias("blank"))
-    return F.aggregate(lines, zero, step, lambda s: F.struct(F.size(lines).alias("total"), s.code.alias("code"), s.comment.alias("comment"), s.blank.alias("blank")))
+    return F.aggregate(flags, zero, step, lambda s: F.struct((s.code + s.comment + s.blank).alias("total"), s.code.alias("code"), s.comment.alias("comment"), s.blank.alias("blank")))
 
 
 def common_prefix(a: Column, b: Column) -> Column:

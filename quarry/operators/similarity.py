@@ -27,12 +27,14 @@ def jaccard_pairs(sets: DataFrame, above: float) -> DataFrame:
 
     With elements in order of rarity, two sets that are alike share one of their first n - ceil(above * n) + 1 elements."""
     counts = sets.select(F.explode("s").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("c"))
-    ranked = sets.select("id", "s", F.explode("s").alias("x")).join(counts, "x").groupBy("id").agg(F.first("s").alias("s"), F.sort_array(F.collect_list(F.struct("c", "x"))).alias("o"))
-    keep = F.size("s") - F.ceil(F.size("s") * above).cast("int") + 1
-    index = ranked.select("id", "s", F.explode(F.slice("o", 1, keep)).alias("e")).select("id", "s", "e.x")
-    other = index.select(F.col("id").alias("id2"), F.col("s").alias("s2"), F.col("x").alias("x2"))
-    fits = F.least(F.size("s"), F.size("s2")) > above * F.greatest(F.size("s"), F.size("s2"))
-    met = index.join(other, (F.col("x") == F.col("x2")) & (F.col("id") < F.col("id2")) & fits).select(F.col("id").alias("a"), F.col("id2").alias("b"), "s", "s2").dropDuplicates(["a", "b"])
+    ranked = sets.select("id", F.explode("s").alias("x")).join(counts, "x").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("c", "x"))).alias("o"))
+    keep = F.size("o") - F.ceil(F.size("o") * above).cast("int") + 1
+    index = ranked.select("id", F.size("o").alias("n"), F.explode(F.slice("o", 1, keep)).alias("e")).select("id", "n", "e.x")
+    other = index.select(F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("x").alias("x2"))
+    fits = F.least("n", "n2") > above * F.greatest("n", "n2")
+    # Ids alone meet; the sets come to the pairs that are left.
+    pairs = index.join(other, (F.col("x") == F.col("x2")) & (F.col("id") < F.col("id2")) & fits).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+    met = pairs.join(sets.select(F.col("id").alias("a"), "s"), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("s2")), "b")
     common = F.size(F.array_intersect("s", "s2"))
     union = F.size("s") + F.size("s2") - common
     return met.where(common > above * union).select("a", "b", round_half_up(common / union, 3).alias("similarity"))

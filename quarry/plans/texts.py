@@ -87,8 +87,10 @@ def line_metrics_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, rank, word, n FROM r WHERE rank <= 10""",
 )
 def keyword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # One shuffle, of texts: the counts and the ranks are then in place.
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
     plain = F.regexp_replace(F.lower("text"), r"[^a-z0-9_\s]", "")
-    found = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(plain, r"\s+")).alias("i", "word")).where(F.length("word") > 3)
+    found = docs.select("doc_id", F.posexplode(F.split(plain, r"\s+")).alias("i", "word")).where(F.length("word") > 3)
     counts = found.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("first"))
     rank = F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("n"), "first"))
     return counts.withColumn("rank", rank).where("rank <= 10").select("doc_id", "rank", "word", "n")

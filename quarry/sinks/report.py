@@ -30,6 +30,12 @@ def write_json(result: DataFrame, path: str) -> None:
     result.coalesce(1).write.mode("overwrite").text(path)
 
 
+def write_sections(sections: dict[str, DataFrame], path: str) -> None:
+    """Each section as JSON lines in a folder of its own, by as many tasks as it has partitions: for tables of any size."""
+    for name, df in sections.items():
+        df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("overwrite").text(f"{path}/{name}")
+
+
 def directory_graph(paths: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes (path, kind, depth) and edges (parent, child) of the tree of directories above the files of paths(path)."""
     parts = F.split("path", "/")

@@ -43,3 +43,12 @@ def test_stream_reports_a_finding_once(spark, tree):
     q = stream.writeStream.format("memory").queryName("arrived").option("checkpointLocation", str(tree / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [(r.rule, r.line, r.column) for r in spark.table("arrived").collect()] == [("direct-eval", 1, 1)]
+
+
+def test_sections_are_written_by_partition(spark, tmp_path):
+    from quarry.sinks import report
+
+    rows = spark.range(10).repartition(3)
+    report.write_sections({"numbers": rows, "none": rows.limit(0)}, str(tmp_path / "out"))
+    assert sorted(json.loads(r.value)["id"] for r in spark.read.text(str(tmp_path / "out/numbers")).collect()) == list(range(10))
+    assert spark.read.schema("value string").text(str(tmp_path / "out/none")).count() == 0
