@@ -8,6 +8,7 @@ import gc
 import itertools
 import os
 import tempfile
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -49,8 +50,16 @@ _turns = itertools.count(1)
 
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that nothing refers to any more: it does so when the driver collects its garbage,
-    which a driver that does little may not do during a whole job of many rounds."""
+    which a driver that does little may not do during a whole job of many rounds. Python's references are given up by a thread that
+    looks for them each second, so this waits for it (a few seconds at most; other threads may go on making such references)."""
     gc.collect()
+    waiting = getattr(spark.sparkContext._gateway._gateway_client, "finalizer_deque", None)
+    end = time.monotonic() + 5
+    while waiting and time.monotonic() < end:
+        time.sleep(0.05)
+    # Spark's event threads keep the last event that they handled, and the end of a query holds its plan: a query of one row takes its place.
+    spark.range(1).collect()
+    time.sleep(0.1)
     spark._jvm.System.gc()
 
 
