@@ -18,13 +18,14 @@ table; columns other than id, text and source aren't read.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.llm.common import WORD, cut
 
-
 #: Sources that a broadcast may hold, a few dozen bytes each.
 MOST_BROADCAST = 100_000
 
@@ -73,6 +74,9 @@ def solve(counts: DataFrame, targets: DataFrame, limit: float = 2.0, steps: int
         moved = state.join(sums, "sid", "left").withColumn("lo2", F.when(F.col("done"), F.col("lo")).otherwise(lo)).withColumn("hi2", F.when(F.col("done"), F.col("hi")).otherwise(hi))
         ended = F.col("done") | (F.abs(gap) <= close * F.col("target"))
         state = cut(moved.select("sid", "target", "scale", "full", F.when(ended, F.col("lam")).otherwise(nxt).alias("lam"), F.col("lo2").alias("lo"), F.col("hi2").alias("hi"), ended.alias("done")), light=True)
+    open_ = state.where("not done").count()
+    if open_:
+        warnings.warn(f"the rates of {open_} sources are {steps} steps from the start and not within {close} of their target; copies make up the rest", stacklevel=2)
     return state.select("sid", F.col("lam").alias("lambda"), "scale", "full")
 
 
@@ -130,15 +134,15 @@ def materialize(docs: DataFrame, text: str = "text", source: str = "source", doc
     plan = plan.groupBy("doc_id", "print", F.col("source").alias("plan_source")).agg(F.sum("taken").alias("plan_taken"), F.max("size").alias("plan_size"), F.count(F.lit(1)).alias("plan_rows"))
     plan = cut(plan.select(F.col("doc_id").alias("plan_id"), F.col("print").alias("plan_print"), "plan_source", "plan_taken", "plan_size", "plan_rows").where("plan_taken > 0"))
     body = F.col(text).cast("string")
-    single = docs.withColumn("plan_text_print", F.xxhash64(body))
+    name = lambda c: "`" + c.replace("`", "``") + "`"
+    # The row as one column, so that no name of docs can clash with those of the plan.
+    single = docs.select(F.struct(*map(name, docs.columns)).alias("row"), F.col(doc_id).alias("id"), F.xxhash64(body).alias("print"), F.col(source).cast("string").alias("source"), body.alias("body"))
     if not plan.where("plan_rows > 1").isEmpty():
-        single = single.dropDuplicates([doc_id, "plan_text_print", source])
-    same = single[doc_id].eqNullSafe(plan["plan_id"]) & single["plan_text_print"].eqNullSafe(plan["plan_print"]) & single[source].eqNullSafe(plan["plan_source"])
-    joined = single.join(plan, same)
+        single = single.dropDuplicates(["id", "print", "source"])
+    joined = single.join(plan, F.col("id").eqNullSafe(F.col("plan_id")) & F.col("print").eqNullSafe(F.col("plan_print")) & F.col("source").eqNullSafe(F.col("plan_source")))
     whole, rest = F.floor(F.col("plan_taken") / F.col("plan_size")).cast("int"), F.pmod(F.col("plan_taken"), F.col("plan_size")).cast("int")
     parts = F.concat(F.array_repeat(F.lit(-1), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
     out = joined.withColumn("plan_part", F.explode(parts))
-    words = F.slice(F.regexp_extract_all(body, F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0)), 1, F.greatest(F.col("plan_part"), F.lit(1)))
-    cut_text = F.when(F.col("plan_part") < 0, body).otherwise(F.array_join(words, ""))
-    return out.withColumn(text, cut_text).select(*docs.columns)
-
+    words = F.slice(F.regexp_extract_all("body", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0)), 1, F.greatest(F.col("plan_part"), F.lit(1)))
+    cut_text = F.when(F.col("plan_part") < 0, F.col("body")).otherwise(F.array_join(words, ""))
+    return out.select(F.col("row").withField(name(text), cut_text).alias("row")).select("row.*")
