@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Table, WordHashes, cut, drop, mix64, release, rolling, tidy, words
+from quarry.llm.common import Table, WordHashes, cut, drop, mix64, release, rolling, tidy
 
 ANCHOR = 6
 
@@ -58,6 +58,11 @@ def _flat(sizes: list[int]) -> np.ndarray:
     return np.repeat(np.arange(len(sizes)), sizes)
 
 
+def _split(text: pa.StringScalar) -> list[bytes]:
+    held = text.as_buffer()
+    return held.to_pybytes().split() if held is not None else []
+
+
 def anchor_rows(docs: DataFrame, k: int, seed: int) -> DataFrame:
     """key, anchor, doc_id, known: key is the anchor, or random where the batch itself shows that the anchor is repeated."""
 
@@ -67,22 +72,26 @@ def anchor_rows(docs: DataFrame, k: int, seed: int) -> DataFrame:
             tidy()
             for first in range(0, whole.num_rows, 2000):
                 b = whole.slice(first, 2000)
-                found = [np.unique(_anchors(cache.of(x.as_py().encode().split()), k)) for x in b.column(1)]
+                # In order of ids, so that one stable sort by anchor leaves each anchor's ids in order.
+                by_id = np.argsort(b.column(0).to_numpy(), kind="stable")
+                texts = b.column(1)
+                found = [np.unique(_anchors(cache.of(_split(texts[i])), k)) for i in by_id.tolist()]
                 row = _flat(list(map(len, found)))
                 if not len(row):
                     continue
-                anchor = np.concatenate(found)
-                ids = b.column(0).to_numpy()[row]
-                order = np.lexsort((ids, anchor))
-                anchor, ids, row = anchor[order], ids[order], row[order]
-                start = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+                anchor, ids = np.concatenate(found), b.column(0).to_numpy()[by_id][row]
+                order = np.argsort(anchor, kind="stable")
+                held, owner = anchor[order], ids[order]
+                same = held[1:] == held[:-1]
+                start = np.flatnonzero(np.concatenate([[True], ~same]))
                 # Which of the anchor's distinct ids a row has, from 0; rows of one id stay together, as they may be all that it has.
-                step = np.concatenate([[False], (ids[1:] != ids[:-1]) & (anchor[1:] == anchor[:-1])]).cumsum()
-                known = step - np.repeat(step[start], np.diff(np.concatenate([start, [len(anchor)]]))) >= 2
-                key = np.where(known, _spread(anchor, ids), anchor)
-                # Back in order of documents, in which ids repeat from row to row and compress.
-                back = np.argsort(row, kind="stable")
-                yield pa.RecordBatch.from_arrays([pa.array(key[back].view(np.int64)), pa.array(anchor[back].view(np.int64)), pa.array(ids[back]), pa.array(known[back])], ["key", "anchor", "doc_id", "known"])
+                step = np.concatenate([[False], (owner[1:] != owner[:-1]) & same]).cumsum()
+                known = np.empty(len(held), bool)
+                known[order] = step - np.repeat(step[start], np.diff(np.concatenate([start, [len(held)]]))) >= 2
+                # Rows stay in order of documents, in which ids repeat from row to row and compress. What is known meets nothing: it is
+                # dealt out by document.
+                key = np.where(known, _spread(ids.view(np.uint64), row), anchor)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(anchor.view(np.int64)), pa.array(ids), pa.array(known)], ["key", "anchor", "doc_id", "known"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "key long, anchor long, doc_id long, known boolean")
 
@@ -98,10 +107,12 @@ def edge_rows(marked: DataFrame, k: int, seed: int) -> DataFrame:
             tidy()
             for first in range(0, whole.num_rows, 2000):
                 b = whole.slice(first, 2000)
+                by_id = np.argsort(b.column(0).to_numpy(), kind="stable")
+                texts, marks = b.column(2), b.column(3)
                 keys, checks, ats, sizes = [], [], [], []
-                for text, marks in zip(b.column(2), b.column(3), strict=True):
-                    h = cache.of(text.as_py().encode().split())
-                    at = np.flatnonzero(np.isin(_anchors(h, k), marks.values.to_numpy().view(np.uint64)))
+                for i in by_id.tolist():
+                    h = cache.of(_split(texts[i]))
+                    at = np.flatnonzero(np.isin(_anchors(h, k), marks[i].values.to_numpy().view(np.uint64)))
                     keys.append(rolling(h, k)[at])
                     checks.append((rolling(h * again + np.uint64(1), k)[at] >> np.uint64(33)).astype(np.int32))
                     ats.append(at.astype(np.int32))
@@ -110,17 +121,19 @@ def edge_rows(marked: DataFrame, k: int, seed: int) -> DataFrame:
                 if not len(row):
                     continue
                 key, check, at = np.concatenate(keys), np.concatenate(checks), np.concatenate(ats)
-                ids = b.column(0).to_numpy()[row]
-                order = np.lexsort((at, ids, check, key))
-                key, check, at, ids, row = key[order], check[order], at[order], ids[order], row[order]
-                new = np.concatenate([[True], (key[1:] != key[:-1]) | (check[1:] != check[:-1])])
-                lead = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+                ids, prints = b.column(0).to_numpy()[by_id][row], b.column(1).to_numpy()[by_id]
+                # One stable sort: edges stay in order of (id, place). Two that clash in both hashes may only seem new.
+                both = key ^ mix64(check.astype(np.uint64))
+                order = np.argsort(both, kind="stable")
+                k1, c1 = key[order], check[order]
+                new = np.concatenate([[True], (k1[1:] != k1[:-1]) | (c1[1:] != c1[:-1])])
+                lead = np.empty(len(key), np.int64)
+                lead[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
                 known = ids > ids[lead]
-                held = np.where(known, _spread(key, ids * 1_000_003 + at), key)
-                prints = b.column(1).to_numpy()
+                # What is settled meets nothing: it is dealt out by document, a few thousand words at a time, which also compresses.
+                held = np.where(known, _spread(ids.view(np.uint64), at >> 12), key)
+                check = np.where(known, 0, check).astype(np.int32)
                 source, source_print, source_at = ids[lead], prints[row[lead]], at[lead]
-                back = np.lexsort((at, row))
-                held, check, at, ids, row, known, source, source_print, source_at = (x[back] for x in (held, check, at, ids, row, known, source, source_print, source_at))
                 null = ~known
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -347,7 +360,10 @@ def remove_repeats(docs: DataFrame, k: int = 13, seed: int = 0, text: str = "tex
     """doc_id, n_words, n_removed, kept_sha256: a row for each input row."""
     body = F.col(text).cast("string")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(body, F.lit("")).alias("text")).withColumn("print", F.xxhash64("text"))
-    facts = cut(rows.select("doc_id", "print", F.xxhash64(F.lit("again"), "text").alias("print2"), F.size(words(F.col("text"))).cast("long").alias("n_words"), F.sha2(F.array_join(words(F.col("text")), " "), 256).alias("sha")))
+    # Words joined by one space: only white space other than one space is a match, and few texts have much of it.
+    plain = rows.withColumn("plain", F.btrim(F.regexp_replace("text", r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " "), F.lit(" ")))
+    n_words = F.when(F.col("plain") == "", 0).otherwise(F.length("plain") - F.length(F.replace("plain", F.lit(" "), F.lit(""))) + 1)
+    facts = cut(plain.select("doc_id", "print", F.xxhash64(F.lit("again"), "text").alias("print2"), n_words.cast("long").alias("n_words"), F.sha2("plain", 256).alias("sha")))
     # Of equal texts only the smallest id goes on to the graph: all windows of the others are in it.
     lead = facts.where("doc_id is not null").groupBy("print", "print2").agg(F.min("doc_id").alias("lead"))
     state = cut(
