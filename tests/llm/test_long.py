@@ -94,14 +94,14 @@ def test_sharding(docs, long_texts):
 
 def test_null_and_repeated_ids(make):
     texts = ["one two three", "one two three", "four five", None, "six"]
-    docs = make(texts, ids=[7, 7, None, None, 7], sources=["a", "a", "b", None, "a"])
-    assert sorted((r.doc_id or 0, r.lang_pred) for r in language.identify(docs).collect()) == sorted((r or 0, "und" if t is None else p) for r, t, p in zip([7, 7, None, None, 7], texts, ["en"] * 5, strict=True))
+    docs = make(texts, ids=[9, 9, None, None, 9], sources=["a", "a", "b", None, "a"])
+    assert sorted((r.doc_id or 0, r.lang_pred) for r in language.identify(docs).collect()) == sorted((r or 0, "und" if t is None else p) for r, t, p in zip([9, 9, None, None, 9], texts, ["en"] * 5, strict=True))
     mixed = mixing.mix(docs).collect()
     assert sorted(r.size for r in mixed) == [0, 1, 2, 3, 3]
     placed = sharding.shard(docs, shards=2).collect()
     assert len({(r.shard, r.slot) for r in placed}) == 5
     read = tf.write_and_read(docs).collect()
-    assert sorted(r.doc_id or 0 for r in read) == [0, 0, 7, 7, 7] and len({r.start for r in read}) == 5
+    assert sorted(r.doc_id or 0 for r in read) == [0, 0, 9, 9, 9] and len({r.start for r in read}) == 5
 
 
 def test_names_that_clash_with_the_plan(make):
