@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarry.llm import ann, bpe, language, lexicon, minhash, mixing, quality, runs, secrets, sharding, substrings, token_files
+from quarry.llm import ann, bpe, language, lexicon, minhash, mixing, negatives, quality, runs, secrets, sharding, substrings, token_files
 from quarry.llm.oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,12 +61,16 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digests(runs.runs(runs.planted(_table(spark, sf_dir, "documents"))))
 
 
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(negatives.relabelled(_table(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0)
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.digests(lexicon.round_trip(_table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_language, op2_mixing, op3_substrings, op4_quality, op5_token_files, op6_secrets, op7_nearest, op8_near_duplicates, op9_bpe, op10_sharding, op11_runs, op13_bpe)}
+    return {f.__name__: f for f in (op1_language, op2_mixing, op3_substrings, op4_quality, op5_token_files, op6_secrets, op7_nearest, op8_near_duplicates, op9_bpe, op10_sharding, op11_runs, op12_negatives, op13_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
