@@ -1,8 +1,9 @@
 """A corpus from raw documents: five stages, each over all that its predecessor kept.
 
-Cases: null and empty texts leave at the language stage (they have no letter); rows without an id stay through near-duplicates; rows
+Cases: null and empty texts leave at the language stage (they have no letter); where no row is labelled there is no model, and all
+texts with a letter stay, their language unknown; rows without an id stay through near-duplicates; rows
 that repeat an id stay or go together; an empty table passes through empty. Columns that documents doesn't have are carried along
-until the last stage.
+until the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,28 +16,35 @@ from pyspark.sql import functions as F
 from quarry.llm import bpe, language, minhash, mixing, secrets
 from quarry.llm.common import shared_path
 
-#: How far a document's best language must score on the way from what it scores for a text that is like no language (the model's bias
-#: alone, about 1 / languages) to 1. Set on the labelled rows of sf0.1 that are not held out.
+#: How far the best language of a long document must score on the way from what it scores for a text that is like no language (the model's
+#: bias alone, about 1 / languages) to 1. Few characters say little, so n of them are asked for 1 - (FREE_CHARS / n) ** 2 of that: nothing at
+#: FREE_CHARS, less than nothing below. Set on the labelled rows of sf0.1 that are not held out.
 LEAST_LIKENESS = 0.2
-#: Texts of fewer characters score low in any language, so that those with a letter stay.
-LEAST_CHARS = 30
+FREE_CHARS = 18
+
+
+def _name(column: str) -> str:
+    """A column's name as SQL quotes it."""
+    return "`" + column.replace("`", "``") + "`"
 
 
 def _packed(docs: DataFrame, found: Column) -> DataFrame:
     """Whole rows as one column beside what an operator finds in their texts, so that no column of theirs can clash with its own."""
-    return docs.select(F.struct(*docs.columns).alias("doc"), found.alias("found"))
+    return docs.select(F.struct(*map(_name, docs.columns)).alias("doc"), found.alias("found"))
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject documents without a letter and those like no learned language; fill in the languages that are missing."""
     model = language.learn(docs)
+    if model is None:
+        return docs.where(F.col("text").cast("string").rlike(r"\p{L}"))
     found = _packed(docs, language.classifier(model)(F.col("text").cast("string"))).select("doc", "found.lang_pred", "found.score")
+    asked = LEAST_LIKENESS * (1 - (FREE_CHARS / F.greatest(F.length(F.col("doc.text").cast("string")), F.lit(1))) ** 2)
     alike = F.lit(False)
-    for name, bias in zip(*(model.languages, model.bias.tolist()) if model else ((), ()), strict=True):
+    for name, bias in zip(model.languages, model.bias.tolist(), strict=True):
         none = (bias + 1) / 2
-        alike = F.when(F.col("lang_pred") == name, F.col("score") >= min(1.0, none + LEAST_LIKENESS * (1 - none))).otherwise(alike)
-    short = F.length(F.col("doc.text").cast("string")) < LEAST_CHARS
-    kept = found.where((F.col("lang_pred") != "und") & (alike | short))
+        alike = F.when(F.col("lang_pred") == name, F.col("score") >= F.least(F.lit(1.0), none + asked * (1 - none))).otherwise(alike)
+    kept = found.where((F.col("lang_pred") != "und") & alike)
     lang = F.coalesce("doc.lang", "lang_pred").alias("lang")
     return kept.select(*(lang if c == "lang" else F.col("doc")[c].alias(c) for c in docs.columns))
 
@@ -44,7 +52,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the smallest id of each component at similarity 0.8."""
     gone = minhash.near_duplicates(docs, percent=80).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*map(_name, docs.columns))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +66,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat and leave out documents until each source has its share of words."""
     mixed = mixing.materialize(docs)
-    return mixed.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return mixed.withColumn("n_chars", F.length("text").cast("long")).select(*map(_name, docs.columns))
 
 
 def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
