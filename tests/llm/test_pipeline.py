@@ -71,3 +71,35 @@ def test_texts_of_no_learned_language_go(spark, make):
     first = len(texts)
     assert not [i for i in range(first, first + len(strange)) if i in kept]
     assert [kept.get(first + len(strange) + i) for i in range(3)] == ["en", "de", "de"]
+
+
+def test_without_labels_texts_with_letters_stay(spark, make):
+    texts = [prose(random.Random(i), 40) for i in range(5)] + ["12 34", "", None, "ab"]
+    kept = pipeline.identify_language(spark, make(texts, langs=[None] * len(texts)), "").collect()
+    assert sorted(r.doc_id for r in kept) == [0, 1, 2, 3, 4, 8] and {r.lang for r in kept} == {None}
+
+
+def test_one_character_more_changes_little(spark, make):
+    asked = [pipeline.LEAST_LIKENESS * (1 - (pipeline.FREE_CHARS / n) ** 2) for n in range(18, 300)]
+    assert asked[0] == 0 and all(0 < b - a < 0.025 for a, b in zip(asked, asked[1:], strict=False))
+    rng = random.Random(3)
+    texts, langs = corpus(rng)
+    noise = ["".join(rng.choice("абвгдежзийклмн ") for _ in range(n)) for n in range(30, 120)]
+    clean = [prose(rng, 30)[:n].rsplit(" ", 1)[0] for n in range(10, 100)]
+    docs = make(texts + noise + clean, langs=langs + [None] * (len(noise) + len(clean)))
+    kept = {r.doc_id for r in pipeline.identify_language(spark, docs, "").collect()}
+    first = len(texts)
+    assert not kept & set(range(first, first + len(noise)))
+    assert set(range(first + len(noise), first + len(noise) + len(clean))) <= kept
+
+
+def test_columns_of_any_name_and_rows_of_any_id(spark, tmp_path):
+    rng = random.Random(6)
+    texts, langs = corpus(rng)
+    rows = [(None if i % 7 == 0 else i % 50, t, x, rng.choice("ab"), None, i, "q", "x") for i, (t, x) in enumerate(zip(texts, langs, strict=True))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, `a.b` int, `doc` string, `found``s` string")
+    for _, stage in pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "").cache()
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "a.b", "doc", "found`s"] and docs.count() > 0
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert pipeline.run(spark, str(tmp_path)).count() > 0
