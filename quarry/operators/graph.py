@@ -1,10 +1,12 @@
 """Dependency graphs as edge tables (src, dst): degrees, entry points, reachability, cycles, components.
 
-Iterative operators cut their lineage to the shared checkpoint folder each round and stop when nothing changes."""
+Iterative operators cut their lineage to the shared checkpoint folder each round, stop when nothing changes, and delete what a later round
+has taken the place of. What a walk has met is kept as parts, one a round, so that a round writes what is new alone."""
 
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +24,35 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of checkpointed frames that nothing still to run reads."""
+    for df in frames:
+        plan = df._jdf.queryExecution().logical()
+        file = plan.rdd().getCheckpointFile() if plan.getClass().getSimpleName() == "LogicalRDD" else None
+        if file is not None and file.isDefined():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Met:
+    """Rows that a walk has met: checkpointed parts, put together when there are many."""
+
+    MOST = 12
+
+    def __init__(self, first: DataFrame):
+        self.parts = [first]
+
+    def add(self, part: DataFrame) -> None:
+        self.parts.append(part)
+        if len(self.parts) > self.MOST:
+            old, self.parts = self.parts[:-1], [checkpointed(reduce(DataFrame.union, self.parts[:-1])), part]
+            discard(*old)
+
+    @property
+    def rows(self) -> DataFrame:
+        return reduce(DataFrame.union, self.parts)
+
+
 def dependency_graph(pairs: DataFrame) -> DataFrame:
     """Distinct edges without self loops and nulls."""
     return pairs.select("src", "dst").where("src <> dst").distinct()
@@ -46,30 +77,42 @@ def isolated(all_nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return all_nodes.join(edges.select(F.col("src").alias("node")), "node", "left_anti").join(edges.select(F.col("dst").alias("node")), "node", "left_anti")
 
 
-def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """node, depth: breadth-first from the start nodes, a join of the frontier with the edges each round."""
-    seen = frontier = checkpointed(start.select("node", F.lit(0).alias("depth")).distinct())
-    depth = 0
-    while True:
+def walk(edges: DataFrame, start: DataFrame, deepest: int | None = None) -> DataFrame:
+    """The columns of start and depth: breadth-first from each of its rows, which have a node and any columns that name the walk. A
+    round joins the frontier with the edges; what the walk of that name has met before is not met again."""
+    names = start.columns
+    frontier = checkpointed(start.distinct().withColumn("depth", F.lit(0)))
+    met, depth = Met(frontier), 0
+    step = edges.select(F.col("src").alias("node"), F.col("dst").alias("next"))
+    while deepest is None or depth < deepest:
         depth += 1
-        step = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        frontier = checkpointed(step.join(seen, "node", "left_anti").select("node", F.lit(depth).alias("depth")))
+        ahead = frontier.join(step, "node").select(*(F.col("next").alias("node") if c == "node" else c for c in names)).distinct()
+        frontier = checkpointed(ahead.join(met.rows, names, "left_anti").select(*names).withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
-            return seen
-        seen = checkpointed(seen.union(frontier))
+            discard(frontier)
+            break
+        met.add(frontier)
+    return met.rows
+
+
+def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """node, depth: breadth-first from the start nodes."""
+    return walk(edges, start.select("node"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, group (its smallest member) of the undirected graph: smallest neighbour's label and a jump along labels, each round."""
     both = checkpointed(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
-    labels = checkpointed(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("group")))
+    labels = last = checkpointed(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("group")))
     while True:
         near = both.join(labels, both["dst"] == labels["node"]).groupBy("src").agg(F.min("group").alias("near"))
         lower = labels.join(near, labels["node"] == near["src"]).select("node", F.col("group").alias("old"), F.least("group", "near").alias("new"))
         jump = labels.select(F.col("node").alias("new"), F.col("group").alias("next"))
         moved = checkpointed(lower.join(jump, "new", "left").select("node", "old", F.least("new", F.coalesce("next", "new")).alias("group")))
-        labels = moved.select("node", "group")
+        discard(last)
+        last, labels = moved, moved.select("node", "group")
         if moved.where("group <> old").isEmpty():
+            discard(both)
             return labels
 
 
@@ -87,7 +130,7 @@ def cyclic_core(edges: DataFrame) -> DataFrame:
     return left
 
 
-def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
+def spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """node, color: labels carried along the edges, the smallest winning, until nothing changes."""
     while True:
         come = edges.join(labels, edges["src"] == labels["node"]).groupBy("dst").agg(F.min("color").alias("come"))
@@ -106,7 +149,7 @@ def cycle_groups(edges: DataFrame) -> DataFrame:
     left, found = cyclic_core(edges), None
     while not left.isEmpty():
         start = nodes(left).select("node", F.col("node").alias("color"))
-        colors = checkpointed(_spread(left, checkpointed(start)))
+        colors = checkpointed(spread(left, checkpointed(start)))
         a, b = colors.withColumnRenamed("color", "ca"), colors.withColumnRenamed("color", "cb")
         inside = left.join(a, left["src"] == a["node"]).drop("node").join(b, left["dst"] == b["node"]).where("ca = cb").select("src", "dst")
         back = checkpointed(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
@@ -123,6 +166,30 @@ def cycle_groups(edges: DataFrame) -> DataFrame:
     return found.join(sizes, "group").select("node", "group")
 
 
+def ring_lengths(edges: DataFrame) -> DataFrame:
+    """node, group, ring: for each node of a strongly connected group (named by its smallest member) the length of the shortest ring
+    through it, however long. Distances grow from all nodes at once, inside of their groups; a node leaves when its ring has closed."""
+    groups = checkpointed(cycle_groups(edges))
+    a, b = groups.select(F.col("node").alias("src"), F.col("group").alias("ga")), groups.select(F.col("node").alias("dst"), F.col("group").alias("gb"))
+    core = checkpointed(edges.join(a, "src").join(b, "dst").where("ga = gb").select("src", "dst"))
+    step = core.select(F.col("src").alias("node"), F.col("dst").alias("next"))
+    frontier = checkpointed(core.select(F.col("src").alias("origin"), F.col("dst").alias("node")))
+    met, closed, length = Met(frontier), None, 1
+    while not frontier.isEmpty():
+        length += 1
+        ahead = checkpointed(frontier.join(step, "node").select("origin", F.col("next").alias("node")).distinct())
+        done = checkpointed(ahead.where("origin = node").select(F.col("origin").alias("node"), F.lit(length).alias("ring")))
+        if closed is None:
+            closed = Met(done)
+        else:
+            closed.add(done)
+        frontier = checkpointed(ahead.join(done.select(F.col("node").alias("origin")), "origin", "left_anti").select("origin", "node").join(met.rows, ["origin", "node"], "left_anti"))
+        discard(ahead)
+        met.add(frontier)
+    discard(*met.parts)
+    return groups.join(closed.rows, "node") if closed is not None else groups.withColumn("ring", F.lit(0))
+
+
 def unreachable(edges: DataFrame) -> DataFrame:
     """Nodes that no entry point leads to: cycles without a way in, and what hangs off them alone."""
     return nodes(edges).join(reachable(edges, entry_points(edges)).select("node"), "node", "left_anti")

@@ -195,24 +195,33 @@ def external_packages(imports: DataFrame, files: DataFrame) -> DataFrame:
     return found.groupBy("package").agg(F.countDistinct("path").alias("n_files"), F.sort_array(F.collect_set("local")).alias("names"))
 
 
-def cycles(edges: DataFrame, longest: int = 10) -> DataFrame:
-    """cycle (nodes from the smallest on, in order), size, critical (more than three): simple rings of at most ``longest`` nodes.
+def cycles(edges: DataFrame, longest: int | None = None) -> DataFrame:
+    """cycle (nodes from the smallest on, in order), size, critical (more than three): all simple rings, or those of at most ``longest``
+    nodes where a reader wants the short ones. There may be exponentially many in a dense group; ``graph.ring_lengths`` tells which
+    nodes lie in rings, and how short ones, without listing any.
 
     Paths grow from the ring's smallest node through larger ones alone, inside of strongly connected groups, so each ring is found once."""
     groups = G.checkpointed(G.cycle_groups(edges))
     a, b = groups.select(F.col("node").alias("src"), F.col("group").alias("ga")), groups.select(F.col("node").alias("dst"), F.col("group").alias("gb"))
     core = G.checkpointed(edges.join(a, "src").join(b, "dst").where("ga = gb").select("src", "dst"))
-    paths = core.where("src < dst").select(F.array("src", "dst").alias("path"))
-    found = None
+    paths = G.checkpointed(core.where("src < dst").select(F.array("src", "dst").alias("path")))
     step = core.select(F.col("src").alias("at"), F.col("dst").alias("next"))
-    for _ in range(longest - 1):
+    found, size = None, 1
+    while longest is None or size < longest:
+        size += 1
         grown = paths.withColumn("at", F.element_at("path", -1)).join(step, "at")
-        closed = grown.where(F.col("next") == F.get("path", F.lit(0))).select("path")
-        found = closed if found is None else found.union(closed)
-        paths = G.checkpointed(grown.where((F.col("next") > F.get("path", F.lit(0))) & ~F.array_contains("path", F.col("next"))).select(F.concat("path", F.array("next")).alias("path")))
+        closed = G.checkpointed(grown.where(F.col("next") == F.get("path", F.lit(0))).select("path"))
+        if found is None:
+            found = G.Met(closed)
+        else:
+            found.add(closed)
+        longer = G.checkpointed(grown.where((F.col("next") > F.get("path", F.lit(0))) & ~F.array_contains("path", F.col("next"))).select(F.concat("path", F.array("next")).alias("path")))
+        G.discard(paths)
+        paths = longer
         if paths.isEmpty():
             break
-    return found.select(F.col("path").alias("cycle"), F.size("path").alias("size"), (F.size("path") > 3).alias("critical"))
+    rows = paths.limit(0) if found is None else found.rows
+    return rows.select(F.col("path").alias("cycle"), F.size("path").alias("size"), (F.size("path") > 3).alias("critical"))
 
 
 def cycle_statistics(found: DataFrame) -> DataFrame:
@@ -223,16 +232,22 @@ def cycle_statistics(found: DataFrame) -> DataFrame:
 
 
 def zombie_clusters(edges: DataFrame) -> DataFrame:
-    """node, cluster, size, risk: nodes that no entry point leads to, in clusters of what is connected (named by the smallest node)."""
+    """node, cluster, size, risk: what no entry point leads to, in clusters named by the node that each is walked from.
+
+    Nodes come in ascending order: the first that no entry point leads to and no earlier cluster holds starts a cluster of all that it
+    leads to. Its members may be in other clusters too, and may be reached from an entry point. A node starts one exactly if no smaller one of
+    its kind leads to it, which carrying the smallest name along the edges tells for all at once."""
     gone = G.checkpointed(G.unreachable(edges))
-    inside = edges.join(gone.withColumnRenamed("node", "src"), "src", "left_semi").join(gone.withColumnRenamed("node", "dst"), "dst", "left_semi")
-    groups = gone.join(G.components(inside), "node", "left").select("node", F.coalesce("group", "node").alias("cluster"))
-    sized = groups.withColumn("size", F.count(F.lit(1)).over(W.partitionBy("cluster")).cast("int"))
-    return sized.withColumn("risk", F.when(F.col("size") > 5, "high").when(F.col("size") > 2, "medium").otherwise("low"))
+    inside = edges.join(gone.withColumnRenamed("node", "src"), "src", "left_semi").join(gone.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst")
+    colors = G.spread(G.checkpointed(inside), gone.select("node", F.col("node").alias("color")))
+    starts = colors.where("node = color").select(F.col("node").alias("cluster"), "node")
+    met = G.walk(edges, starts).select("node", "cluster")
+    sizes = met.groupBy("cluster").agg(F.count(F.lit(1)).cast("int").alias("size"))
+    return met.join(sizes, "cluster").select("node", "cluster", "size", F.when(F.col("size") > 5, "high").when(F.col("size") > 2, "medium").otherwise("low").alias("risk"))
 
 
 def zombie_statistics(clusters: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: clusters, nodes in them, the largest, the mean size, entry points."""
+    """One row: clusters, their sizes added up, the largest, the mean size, entry points."""
     c = clusters.agg(
         F.countDistinct("cluster").alias("clusters"), F.count(F.lit(1)).alias("nodes"), F.coalesce(F.max("size"), F.lit(0)).alias("largest"),
         F.coalesce(F.try_divide(F.count(F.lit(1)), F.countDistinct("cluster")), F.lit(0.0)).alias("mean_size"),

@@ -112,10 +112,11 @@ def cycle_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.cycle_statistics(M.cycles(_steps(spark, sf_dir)))
 
 
+#: Nodes in ascending order: one starts a cluster if no smaller one that no entry point leads to leads to it; a cluster is all that its start leads to.
 _ZOMBIES = f"""{_STEPS}, walk AS (SELECT node FROM entry UNION SELECT e.dst FROM walk w JOIN edges e ON e.src = w.node), gone AS (SELECT node FROM nodes WHERE node NOT IN (SELECT node FROM walk)),
-    inner_ AS (SELECT src, dst FROM edges WHERE src IN (SELECT node FROM gone) AND dst IN (SELECT node FROM gone)), both_ AS (SELECT src, dst FROM inner_ UNION SELECT dst, src FROM inner_),
-    spread AS (SELECT node, node AS other FROM gone UNION SELECT s.node, b.dst FROM spread s JOIN both_ b ON b.src = s.other), named AS (SELECT node, min(other) AS cluster FROM spread GROUP BY node),
-    z AS (SELECT node, cluster, (count(*) OVER (PARTITION BY cluster))::INT AS size FROM named)"""
+    ahead AS (SELECT node AS start, node FROM gone UNION SELECT a.start, e.dst FROM ahead a JOIN edges e ON e.src = a.node),
+    starts AS (SELECT node FROM ahead GROUP BY node HAVING min(start) = node AND node IN (SELECT node FROM gone)),
+    z AS (SELECT node, start AS cluster, (count(*) OVER (PARTITION BY start))::INT AS size FROM ahead WHERE start IN (SELECT node FROM starts))"""
 
 
 @query("zombie_clusters", f"WITH RECURSIVE {_ZOMBIES} SELECT node, cluster, size, CASE WHEN size > 5 THEN 'high' WHEN size > 2 THEN 'medium' ELSE 'low' END AS risk FROM z")
@@ -123,6 +124,17 @@ def zombie_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.zombie_clusters(G.checkpointed(_steps(spark, sf_dir)))
 
 
+@query(
+    "ring_lengths",
+    f"""WITH RECURSIVE {_STEPS}, walk AS (SELECT src AS origin, dst AS node, 1 AS n FROM edges UNION SELECT w.origin, e.dst, w.n + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE w.n < 5),
+    far AS (SELECT origin, node FROM walk UNION SELECT node, node FROM nodes)
+    SELECT w.origin AS node, min(w.n)::INT AS ring, min(w.n) > 3 AS critical, (SELECT min(f.node) FROM far f JOIN far g ON g.origin = f.node AND g.node = f.origin WHERE f.origin = w.origin) AS "group" FROM walk w WHERE w.origin = w.node GROUP BY w.origin""",
+)
+def ring_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each node in a ring its shortest ring; SQL may stop at five steps, as a user has five kinds of events."""
+    return G.ring_lengths(G.checkpointed(_steps(spark, sf_dir))).withColumn("critical", F.col("ring") > 3)
+
+
 @query("zombie_statistics", f"WITH RECURSIVE {_ZOMBIES} SELECT count(DISTINCT cluster) AS clusters, count(*) AS nodes, coalesce(max(size), 0)::INT AS largest, coalesce(count(*) / nullif(count(DISTINCT cluster), 0), 0)::DOUBLE AS mean_size, (SELECT count(*) FROM entry) AS entries FROM z")
 def zombie_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = G.checkpointed(_steps(spark, sf_dir))

@@ -55,14 +55,56 @@ def test_cycles_are_simple_rings(spark):
         assert {tuple(r.cycle) for r in M.cycles(frame(spark, edges), 6).collect()} == rings(edges, 6)
 
 
-def test_zombies_are_what_no_entry_leads_to(spark):
+def clusters(edges):
+    """In ascending order: what isn't visited yet starts a cluster of all that it leads to."""
+    nodes = {x for e in edges for x in e}
+    left = sorted(nodes - reach(edges, {a for a, _ in edges} - {b for _, b in edges}))
+    out = set()
+    while left:
+        met = reach(edges, [left[0]])
+        out |= {(x, left[0], len(met)) for x in met}
+        left = [x for x in left if x not in met]
+    return out
+
+
+def test_zombie_clusters_are_walks_from_what_is_left(spark):
+    for edges in [*graphs(), {(1, 2), (2, 1), (3, 4), (4, 3), (2, 5), (4, 5)}, {(0, 9), (1, 2), (2, 1), (2, 9)}]:
+        assert {(r.node, r.cluster, r.size) for r in M.zombie_clusters(frame(spark, edges)).collect()} == clusters(edges)
+    two = M.zombie_clusters(frame(spark, {(1, 2), (2, 1), (3, 4), (4, 3), (2, 5), (4, 5)})).collect()
+    assert sorted((r.cluster, r.node) for r in two) == [(1, 1), (1, 2), (1, 5), (3, 3), (3, 4), (3, 5)] and {r.risk for r in two} == {"medium"}
+
+
+def test_a_ring_of_any_length_is_found(spark):
+    ring = {(i, (i + 1) % 12) for i in range(12)}
+    (r,) = M.cycles(frame(spark, ring)).collect()
+    assert list(r.cycle) == list(range(12)) and r.size == 12 and r.critical
+    s = M.cycle_statistics(M.cycles(frame(spark, ring))).first()
+    assert (s.cycles, s.longest, s.critical, s.nodes) == (1, 12, 1, 12)
+    assert {(x.node, x.group, x.ring) for x in G.ring_lengths(frame(spark, ring)).collect()} == {(i, 0, 12) for i in range(12)}
+    assert M.cycles(frame(spark, {(1, 2)})).collect() == [] and G.ring_lengths(frame(spark, {(1, 2)})).collect() == []
+
+
+def test_shortest_rings(spark):
     for edges in graphs():
         nodes = {x for e in edges for x in e}
-        entries = {a for a, _ in edges} - {b for _, b in edges}
-        gone = nodes - reach(edges, entries)
-        both = {e for e in edges if set(e) <= gone} | {(b, a) for a, b in edges if {a, b} <= gone}
-        want = {(x, min(reach(both, [x]))) for x in gone}
-        assert {(r.node, r.cluster) for r in M.zombie_clusters(frame(spark, edges)).collect()} == want
+        want = set()
+        for x in nodes:
+            n, front, seen = 0, {x}, set()
+            while front:
+                n, front = n + 1, {b for a, b in edges if a in front} - seen
+                seen |= front
+                if x in front:
+                    want.add((x, n))
+                    break
+        assert {(r.node, r.ring) for r in G.ring_lengths(frame(spark, edges)).collect()} == want
+
+
+def test_walks_keep_their_names_and_depths(spark):
+    edges = {(i, i + 1) for i in range(20)} | {(0, 10)}
+    start = spark.createDataFrame([("a", 0), ("b", 12), ("a", 0)], "who string, node long")
+    got = {(r.who, r.node, r.depth) for r in G.walk(frame(spark, edges), start).collect()}
+    assert got == {("a", i, i if i < 10 else i - 9) for i in range(21)} | {("b", i, i - 12) for i in range(12, 21)}
+    assert {(r.who, r.node) for r in G.walk(frame(spark, edges), start, 2).collect()} == {("a", 0), ("a", 1), ("a", 2), ("a", 10), ("a", 11), ("b", 12), ("b", 13), ("b", 14)}
 
 
 def test_components_of_one_name_stay_apart(spark):
