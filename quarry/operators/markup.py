@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry.operators import graph as G
 from quarry.operators.code import LEVEL_AA, PENALTIES, ROLES, compliance
 from quarry.sources.markup import attribute, let
 
@@ -138,6 +139,7 @@ def subtrees(trees: DataFrame, keep: tuple[str, ...] = ("page_id",)) -> DataFram
 def repeated_subtrees(found: DataFrame, least: int = 3, by: str = "page_id") -> DataFrame:
     """digest, size, copies, pages, first_page, first_node of maximal repeated subtrees: shapes of ``least`` elements and more that occur more
     than once, and not only inside of a larger shape that occurs as often. Copies meet by digest, never by pairs."""
+    found = G.checkpointed(found)  # used twice: no tree is built again
     big = found.where(F.col("size") >= least)
     # Copies of a page are counted before they meet, so that a shape that a page repeats is one row.
     per = big.groupBy("digest", by).agg(F.count(F.lit(1)).alias("n"), F.min("node_id").alias("node_id"), F.max("size").alias("size"))
@@ -163,7 +165,8 @@ def alike_bags(found: DataFrame, percent: int = 80, by: str = "page_id") -> tupl
     An item that stands n times is n things, item and turn, so that the index of bags is one of sets. Things are ranked from rare to frequent,
     each class is known by the first of them (as many as an alike one can't do without), and classes meet by those; sizes that are too
     different don't."""
-    classes = found.where(F.size("bag") > 0).groupBy("bag").agg(F.min(by).alias("bag_id"))
+    found = G.checkpointed(found)  # used thrice: no tree is built again
+    classes = G.checkpointed(found.where(F.size("bag") > 0).groupBy("bag").agg(F.min(by).alias("bag_id")))
     member = found.join(classes, "bag").select(by, "bag_id")
     size = F.aggregate("bag", F.lit(0), lambda s, x: s + x["n"])
     sized = classes.withColumn("size", size)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.operators import graph as G
 from quarry.operators import markup as K
 from quarry.operators.code import LEVEL_AA, PENALTIES, ROLES
 from quarry.plans.common import table, values
@@ -91,7 +92,7 @@ _HELD = {"links": "tag = 'a'", "headings": "tag rlike '^h[1-6]$'", "paragraphs":
 )
 def landmark_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What lies inside of each landmark, by a join of intervals."""
-    rows = M.elements(M.trees(_pages(spark, sf_dir)), only=lambda x: x["tag"].isin(*LANDMARKS) | x["tag"].rlike("^(a|p|h[1-6])$"))
+    rows = G.checkpointed(M.elements(M.trees(_pages(spark, sf_dir)), only=lambda x: x["tag"].isin(*LANDMARKS) | x["tag"].rlike("^(a|p|h[1-6])$")))
     marks, others = rows.where(F.col("tag").isin(*LANDMARKS)), rows.where(F.col("tag").rlike("^(a|p|h[1-6])$"))
     pairs = K.contained(marks, others).join(others.select("page_id", F.col("node_id").alias("inner_id"), F.col("tag").alias("inner")), ["page_id", "inner_id"])
     counts = pairs.groupBy("page_id", "node_id").agg(*(F.count_if(F.expr(c.replace("tag", "inner"))).alias(n) for n, c in _HELD.items()))
@@ -124,7 +125,7 @@ _FOUND = rf"""{_TREE},
 
 
 def _findings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    nodes = M.elements(M.trees(_pages(spark, sf_dir)), only=lambda x: x["tag"] != "#text", texts=K.TEXTED)
+    nodes = G.checkpointed(M.elements(M.trees(_pages(spark, sf_dir)), only=lambda x: x["tag"] != "#text", texts=K.TEXTED))
     return nodes, K.findings(nodes)
 
 

@@ -13,14 +13,16 @@ from quarry.operators import webpages as WP
 from quarry.plans.common import table, values
 from quarry.registry import query
 from quarry.sources import pages as H
+from quarry.sources.markup import attribute_pattern
 
 LEVELS = range(1, 7)
 _COUNTS = ", ".join(f"len(regexp_extract_all(html, '<h{i}[\\s>/]')) AS h{i}" for i in LEVELS)
 _HEADINGS = f"SELECT page_id, {_COUNTS} FROM pages"
 _PATH = r"CASE WHEN regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1) END"
 _TEXT = r"trim(regexp_replace(regexp_replace(regexp_replace(html, '<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'gs'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'), ' ')"
-_LINKS = """SELECT page_id, url, unnest(regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 1)) AS href,
-    unnest(regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 2)) AS label FROM pages"""
+_FOUND = f"""SELECT page_id, url, unnest(regexp_extract_all(regexp_replace(html, '{H.HIDDEN}', '', 'g'), '{H.LINK.replace("'", "''")}')) AS m FROM pages"""
+_VALUE = f"regexp_extract(m, '{attribute_pattern('href').replace(chr(39), chr(39) * 2)}', 1)"
+_LINKS = f"""SELECT page_id, url, regexp_replace({_VALUE}, '^["'']|["'']$', '', 'g') AS href, trim(regexp_replace(regexp_replace(m, '{H.TAG.replace("'", "''")}', '', 'g'), '\\s+', ' ', 'g'), ' ') AS label FROM ({_FOUND}) WHERE {_VALUE} <> ''"""
 _NORMAL = r"CASE WHEN x = '' THEN '/' ELSE x END"
 _LINK_NORMAL = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(href, '[?#].*$', ''), '\.(html?|jsx?|tsx?)$', ''), '/index$', ''), '(.)/+$', '\1')"
 

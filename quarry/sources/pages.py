@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.sources.markup import attribute
+
 LANDMARKS = ("main", "nav", "header", "footer", "aside", "article", "section")
-LINK = r'<a\s[^>]*href="([^"]*)"[^>]*>([^<]*)</a>'
+#: A start or end tag, with quoted values that may hold what ends one; what is no markup of the page; a link with all that is inside of it.
+TAG = r"""</?[a-zA-Z][^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*>"""
+HIDDEN = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
+LINK = r"""(?is)<a(?:\s[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)?>.*?</a\s*>"""
 
 
 def count_tag(html: Column, tag: str) -> Column:
@@ -36,6 +41,9 @@ def visible_text(html: Column) -> Column:
 
 
 def links(pages: DataFrame) -> DataFrame:
-    """page_id, seq, href, label: a row for each link of a page."""
-    every = F.arrays_zip(F.regexp_extract_all("html", F.lit(LINK), F.lit(1)).alias("href"), F.regexp_extract_all("html", F.lit(LINK), F.lit(2)).alias("label"))
-    return pages.select("page_id", "url", F.posexplode(every).alias("seq", "x")).select("page_id", "url", "seq", "x.href", "x.label")
+    """page_id, url, seq, href, label: a row for each link of a page that has an address; the label is all the text inside of it. Links in
+    comments and scripts are none. One scan without a tree: links don't nest, so each ends at the next end tag."""
+    found = F.regexp_extract_all(F.regexp_replace("html", HIDDEN, ""), F.lit(LINK), F.lit(0))
+    label = lambda x: F.btrim(F.regexp_replace(F.regexp_replace(x, TAG, ""), r"\s+", " "))
+    every = F.transform(found, lambda x: F.struct(attribute(x, "href").alias("href"), label(x).alias("label")))
+    return pages.select("page_id", "url", F.posexplode(every).alias("seq", "x")).select("page_id", "url", "seq", "x.href", "x.label").where("href is not null")
