@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quarry.functions.text import round_half_up
+from quarry.operators.selection import at_shares
 
 #: Weights of the sub-scores (fixed values); they are scaled to a sum of 1 where used.
 WEIGHTS = {
@@ -40,13 +40,9 @@ def range_of(score: Column) -> Column:
 
 
 def quartiles(df: DataFrame, value: str) -> DataFrame:
-    """One row: n, lo, hi, q1, q3, the quartiles being the elements at floor(n/4) and floor(3n/4) of the ascending order.
-
-    Values are ranked by counts of distinct values, so that one task only sorts the distinct ones of a rounded score."""
-    counts = df.groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    upto = counts.select("v", F.sum("c").over(W.orderBy("v").rowsBetween(W.unboundedPreceding, 0)).alias("upto"), F.sum("c").over(W.partitionBy()).alias("n"))
-    at = lambda k: F.min(F.when(F.col("upto") > F.floor(F.col("n") * k), F.col("v")))
-    return upto.agg(F.max("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), at(0.25).alias("q1"), at(0.75).alias("q3"))
+    """One row: n, lo, hi, q1, q3, the quartiles being the elements at floor(n/4) and floor(3n/4) of the ascending order, selected without a sort."""
+    n, found = at_shares(df, value, (0.0, 0.25, 0.75, 1.0))
+    return df.sparkSession.createDataFrame([(n, found[0], found[3], found[1], found[2])], "n long, lo double, hi double, q1 double, q3 double")
 
 
 def normalised(df: DataFrame, value: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import round_half_up
 from quarry.operators import scoring as S
+from quarry.operators.selection import at_shares
 from quarry.plans.common import table
 from quarry.registry import query
 
@@ -95,3 +96,13 @@ def maintainability_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def score_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = _raw(spark, sf_dir)
     return raw.agg(F.count(F.lit(1)).alias("n"), round_half_up(F.avg("raw"), 2).alias("average"), F.min("raw").alias("least"), F.max("raw").alias("most"), F.count_if(F.col("raw") >= 60).alias("problems"))
+
+
+@query(
+    "price_quartiles",
+    """WITH l AS (SELECT list(l_extendedprice::DOUBLE ORDER BY l_extendedprice) AS l FROM lineitem) SELECT len(l) AS n, l[1] AS lo, l[floor(len(l) * 0.25)::BIGINT + 1] AS q1, l[floor(len(l) * 0.5)::BIGINT + 1] AS median, l[floor(len(l) * 0.75)::BIGINT + 1] AS q3, l[len(l)] AS hi FROM l""",
+)
+def price_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order statistics of a column with nearly as many values as rows."""
+    n, found = at_shares(table(spark, sf_dir, "lineitem"), "l_extendedprice", (0.0, 0.25, 0.5, 0.75, 1.0))
+    return spark.createDataFrame([(n, *found)], "n long, lo double, q1 double, median double, q3 double, hi double")
