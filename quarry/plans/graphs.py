@@ -7,11 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry.functions import paths as P
 from quarry.functions.text import round_half_up
 from quarry.operators import graph as G
 from quarry.operators import modules as M
 from quarry.plans.common import table
+from quarry.plans.pages import _LINK_NORMAL, _LINKS, _NORMAL, _PATH
 from quarry.registry import query
+from quarry.sources import pages as H
 
 #: The edges as SQL: consecutive lines of an order.
 _EDGES = """edges AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst
@@ -161,3 +164,42 @@ def component_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("nodes"), F.sum("fan_out").alias("edges"), F.max("fan_in").alias("most_in"), F.max("fan_out").alias("most_out"),
         F.count_if(F.col("fan_in") > 5).alias("hubs"), round_half_up(F.try_divide(F.sum("fan_out"), F.count(F.lit(1))), 2).alias("average_out"),
     )
+
+
+#: Pages of a host: the host leads to each page, a page to what it links to on its host. Hosts are hubs, pages branch, what several link to merges.
+_SITE = f"""host AS (SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS host, {_PATH} AS path FROM pages), link AS (SELECT page_id, {_NORMAL} AS target FROM (SELECT page_id, {_LINK_NORMAL} AS x FROM ({_LINKS}) WHERE href LIKE '/%')),
+    edges AS (SELECT DISTINCT src, dst FROM (SELECT host AS src, host || path AS dst FROM host UNION ALL SELECT host || path, host || target FROM host JOIN link USING (page_id)) WHERE src <> dst)"""
+
+
+def _site(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    host = pages.select("page_id", F.regexp_extract("url", "://([^/?#]*)", 1).alias("host"), P.url_path(F.col("url")).alias("path"))
+    down = host.select(F.col("host").alias("src"), F.concat("host", "path").alias("dst"))
+    links = H.links(pages).where(F.col("href").startswith("/")).select("page_id", P.normal_link(F.col("href")).alias("target"))
+    across = host.join(links, "page_id").select(F.concat("host", "path").alias("src"), F.concat("host", "target").alias("dst"))
+    return G.checkpointed(G.dependency_graph(down.union(across)))
+
+
+_SITE_WALK = f"{_SITE}, entry AS (SELECT DISTINCT src AS node FROM edges WHERE src NOT IN (SELECT dst FROM edges)), walk AS (SELECT node, 0 AS depth FROM entry UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE w.depth < 8)"
+
+
+@query("site_edges", f"WITH {_SITE} SELECT src, dst FROM edges")
+def site_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _site(spark, sf_dir)
+
+
+@query("site_depths", f"WITH RECURSIVE {_SITE_WALK} SELECT node, min(depth)::INT AS depth FROM walk GROUP BY 1")
+def site_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many clicks each page is away from its host."""
+    edges = _site(spark, sf_dir)
+    return G.reachable(edges, G.entry_points(edges))
+
+
+@query("site_components", f"""WITH RECURSIVE {_SITE}, both_ AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), walk AS (SELECT src AS node, src AS other FROM both_ UNION SELECT w.node, b.dst FROM walk w JOIN both_ b ON b.src = w.other) SELECT node, min(other) AS "group" FROM walk GROUP BY 1""")
+def site_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.components(_site(spark, sf_dir))
+
+
+@query("site_within_two", f"WITH {_SITE}, two AS (SELECT src, dst, 1 AS depth FROM edges UNION ALL SELECT a.src, b.dst, 2 FROM edges a JOIN edges b ON b.src = a.dst) SELECT src, dst, min(depth)::INT AS depth FROM two WHERE src <> dst GROUP BY 1, 2")
+def site_within_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.within(_site(spark, sf_dir), 2)

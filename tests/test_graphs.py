@@ -112,3 +112,40 @@ def test_components_of_one_name_stay_apart(spark):
 
     edges = {(r.src_path, r.dst_path, r.external) for r in P.component_edges(spark, "").collect() if r.dst in ("Card", "Button")}
     assert edges == {("src/app/page.tsx", "src/ui/Card.tsx", False), ("src/app/shop/[id]/page.tsx", "src/shop/Card.tsx", False), ("src/ui/Item.tsx", "src/ui/Card.tsx", False), ("src/app/page.tsx", None, True)}
+
+
+def settled(groups):
+    """Groups (name, members, score) in order: which are kept, one after the other."""
+    order = sorted(groups, key=lambda g: (-len(g[1]), -g[2], g[0]))
+    taken, kept = set(), []
+    for name, members, _ in order:
+        if len(members) >= 3 and 2 * len(members - taken) >= len(members):
+            kept.append((name, members))
+            taken |= members
+    for name, members, score in order:
+        if len(members) == 2 and (not members & taken or (score > 0.8 and any(members <= m for _, m in kept))):
+            kept.append((name, members))
+            taken |= members
+    return {n for n, _ in kept}
+
+
+def test_groups_settled_in_rounds_are_those_settled_one_by_one(spark):
+    from quarry.operators import duplicates as D
+
+    rng = random.Random(8)
+    for n, m in ((12, 8), (60, 30), (60, 12)):
+        groups = [(f"g{i}", set(rng.sample(range(m), rng.choice([1, 2, 2, 3, 4, 5]))), rng.choice([0.7, 0.8, 0.85, 0.9])) for i in range(n)]
+        df = spark.createDataFrame([(g, sorted(x), s) for g, x, s in groups], "group string, members array<int>, score double")
+        assert {r.group for r in D.consolidated(df).collect()} == settled(groups)
+    assert D.consolidated(df.limit(0)).collect() == []
+
+
+def test_orders_that_cover_parts(spark):
+    from quarry.plans import dup as P
+
+    sf = "/root/testdata/sf0.001"
+    lines = {}
+    for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_discount").collect():
+        lines.setdefault(r.l_orderkey, []).append(r)
+    groups = [(str(o), {r.l_partkey for r in rs}, round(1 - sum(r.l_discount for r in rs) / len(rs), 4)) for o, rs in lines.items()]
+    assert {str(r.order_key) for r in P.order_cover(spark, sf).collect()} == settled([g for g in groups if len(g[1]) > 1])
