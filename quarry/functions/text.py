@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -78,10 +80,53 @@ def hash32(text: Column) -> Column:
     return F.aggregate(F.filter(chars, lambda c: c != ""), F.lit(0).cast("long"), lambda h, c: wrap(h * 31 + F.ascii(c).cast("long")))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind ``value`` once: a lambda variable is evaluated once a row, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def prefix_sums(sizes: Column) -> Column:
+    """For each number of an array the sum up to it. A block of 64 is summed at a time, so that a long array isn't copied for each of its numbers."""
+    none = F.array().cast("array<int>")
+
+    def block(a: Column, at: Column) -> Column:
+        step = lambda b, x: F.struct((b["sum"] + x).alias("sum"), F.concat(b["out"], F.array(b["sum"] + x)).alias("out"))
+        inner = F.aggregate(F.slice(sizes, at + 1, 64), F.struct(a["sum"].alias("sum"), none.alias("out")), step)
+        return let(inner, lambda b: F.struct(b["sum"].alias("sum"), F.concat(a["outs"], F.array(b["out"])).alias("outs")))
+
+    blocks = F.when(F.size(sizes) > 0, F.sequence(F.lit(0), F.size(sizes) - 1, F.lit(64))).otherwise(none)
+    return F.aggregate(blocks, F.struct(F.lit(0).alias("sum"), F.array().cast("array<array<int>>").alias("outs")), block, lambda a: F.flatten(a["outs"]))
+
+
+def match_positions(content: Column, pattern: str) -> Column:
+    """array of struct(code, index): all matches of a pattern that matches no empty text, with their places from 0. A match starts after all that
+    stands between matches and all matches before it."""
+    matches = F.regexp_extract_all(content, F.lit(pattern), F.lit(0))
+
+    def placed(found: Column) -> Column:
+        sizes = F.zip_with(F.slice(F.split(content, pattern, -1), 1, F.size(found)), found, lambda gap, m: F.length(gap) + F.length(m))
+        return let(prefix_sums(sizes), lambda ends: F.transform(found, lambda m, i: F.struct(m.alias("code"), (F.get(ends, i) - F.length(m)).alias("index"))))
+
+    none = F.array().cast("array<struct<code:string,index:int>>")
+    return let(matches, lambda found: F.when(F.size(found) > 0, placed(found)).otherwise(none))
+
+
+def line_starts(content: Column) -> Column:
+    """The places, from 0, where lines start."""
+    sizes = F.transform(F.split(content, "\n", -1), lambda x: F.length(x) + 1)
+    return let(prefix_sums(sizes), lambda ends: F.slice(F.concat(F.array(F.lit(0)), ends), 1, F.size(ends)))
+
+
 def line_and_column(content: Column, index: Column) -> Column:
     """struct(line, column), both from 1, of a 0-based character index."""
-    before = F.substring(content, F.lit(1), index.cast("int"))
-    return F.struct(
-        (F.length(before) - F.length(F.replace(before, F.lit("\n"))) + 1).alias("line"),
-        (F.length(before) - F.length(F.regexp_replace(before, r"[^\n]*\z", "")) + 1).alias("column"),
-    )
+    return let(line_starts(content), lambda starts: place_in(starts, index))
+
+
+def place_in(starts: Column, index: Column) -> Column:
+    """struct(line, column), both from 1, of a 0-based character index: a binary search among the starts of lines, bit by bit."""
+    last = F.size(starts)
+    search = F.aggregate(
+        F.array(*(F.lit(1 << b) for b in range(30, -1, -1))), F.lit(0),
+        lambda at, step: F.when((at + step < last) & (F.get(starts, F.least(at + step, last - 1)) <= index), at + step).otherwise(at),
+    )
+    return let(search, lambda at: F.struct((at + 1).alias("line"), (index - F.get(starts, at) + 1).alias("column")))

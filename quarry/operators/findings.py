@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.functions.text import line_and_column, round_half_up
+from quarry.functions.text import let, line_starts, match_positions, place_in, round_half_up
 
 SEVERITIES = ("critical", "high", "medium", "low")
 CONFIDENCES = ("high", "medium", "low")
@@ -96,28 +96,37 @@ def _position(severity: Column, names: tuple[str, ...]) -> Column:
 
 def match_rules(files: DataFrame, rules: tuple[Rule, ...] = RULES, most: int | None = None, keep: tuple[str, ...] = ("path",)) -> DataFrame:
     """A finding for each match of each rule in files(path, content): rules are literals inside of one projection, so the files are
-    read once and nothing is joined. The n-th match is found after the text up to the (n-1)-th. ``most`` keeps the first so many of a
-    rule and file, where a report wants no more; by default every match is a finding."""
+    read once and nothing is joined; places come from what stands between matches, lines and columns from a search among the starts of
+    lines. ``most`` keeps the first so many of a rule and file, where a report wants no more; by default every match is a finding."""
 
     def hits(r: Rule) -> Column:
-        every = F.when(r.applies(F.col("path")), F.regexp_extract_all("content", F.lit(r.pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
+        none = F.array().cast("array<struct<code:string,index:int>>")
+        every = F.when(r.applies(F.col("path")), match_positions(F.col("content"), r.pattern)).otherwise(none)
         found = every if most is None else F.slice(every, 1, most)
-        # Walk the matches from left to right: each is searched for behind the one before.
-        walk = F.aggregate(
-            found,
-            F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<code:string,at:int>>").alias("out")),
-            lambda s, m: _step(s, m),
-            lambda s: s.out,
-        )
-        return F.transform(walk, lambda m: F.struct(F.lit(r.id).alias("rule"), F.lit(r.kind).alias("type"), F.lit(r.severity).alias("severity"), F.lit(r.confidence).alias("confidence"), m["code"].alias("code"), (m["at"] - 1).alias("index")))
-
-    def _step(s: Column, m: Column) -> Column:
-        at = F.call_function("locate", m, F.col("content"), s.at)
-        return F.struct((at + F.length(m)).alias("at"), F.concat(s.out, F.array(F.struct(m.alias("code"), at.alias("at")))).alias("out"))
-
-    rows = files.select(*keep, "content", F.explode(F.flatten(F.array(*map(hits, rules)))).alias("f"))
-    where = line_and_column(F.col("content"), F.col("f.index"))
-    return rows.select(*keep, "f.rule", "f.type", "f.severity", "f.confidence", "f.code", where["line"].alias("line"), where["column"].alias("column"))
+        return F.transform(found, lambda m: F.struct(F.lit(r.id).alias("rule"), F.lit(r.kind).alias("type"), F.lit(r.severity).alias("severity"), F.lit(r.confidence).alias("confidence"), m["code"].alias("code"), m["index"].alias("index")))
+
+    every = F.flatten(F.array(*map(hits, rules)))
+    placed = let(line_starts(F.col("content")), lambda starts: F.transform(every, lambda f: F.struct(f.alias("f"), place_in(starts, f["index"]).alias("at"))))
+    rows = files.select(*keep, F.explode(placed).alias("x"))
+    return rows.select(*keep, "x.f.rule", "x.f.type", "x.f.severity", "x.f.confidence", "x.f.code", "x.at.line", "x.at.column")
+
+
+def located(texts: DataFrame, pattern: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """keep, seq, line, column, code: all matches of a pattern in each text, in order from 0."""
+    found = match_positions(F.col(text), pattern)
+    placed = let(found, lambda every: F.when(F.size(every) > 0, let(line_starts(F.col(text)), lambda starts: F.transform(every, lambda m: F.struct(m["code"].alias("code"), place_in(starts, m["index"]).alias("at"))))))
+    return texts.where(F.col(text).rlike(pattern)).select(*keep, F.posexplode(placed).alias("seq", "x")).select(*keep, "seq", "x.at.line", "x.at.column", "x.code")
+
+
+def numbered(rows: DataFrame, by: str, bucket: Column, *order: str) -> DataFrame:
+    """All columns and ``place``, from 1, within ``by`` in an order whose first column grows with the bucket: rows are numbered inside of
+    a bucket, and buckets are counted, so that a frequent value of ``by`` isn't sorted by one task."""
+    rows = rows.withColumn("_bucket", bucket)
+    counts = rows.groupBy(by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = W.partitionBy(by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    before = counts.select(by, "_bucket", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(W.partitionBy(by, "_bucket").orderBy(*order))
+    return rows.withColumn("_turn", inside).join(before, [by, "_bucket"]).withColumn("place", F.col("_before") + F.col("_turn")).drop("_bucket", "_before", "_turn")
 
 
 def drop_commented(findings: DataFrame, files: DataFrame) -> DataFrame:

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quarry.functions.text import let
 from quarry.operators import graph as G
 from quarry.operators.code import LEVEL_AA, PENALTIES, ROLES, compliance
-from quarry.sources.markup import attribute, let
+from quarry.sources.markup import attribute
 
 #: Tags whose inner text the rules look at.
 TEXTED = ("a", "button", "h1", "h2", "h3", "h4", "h5", "h6", "label", "legend", "option")

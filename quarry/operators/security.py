@@ -271,12 +271,6 @@ def header_findings(files: DataFrame) -> DataFrame:
     return missing.union(have.where("weak").select("path", "header", F.lit("medium"), F.lit("weak")))
 
 
-def grouped(findings: DataFrame, *by: str) -> DataFrame:
-    """by, n, findings: the findings of a file (or type) in order of place, as structs."""
-    order = F.struct("path", "line", "column", "rule", "severity", "confidence")
-    return findings.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(order)).alias("findings"))
-
-
 def by_priority(findings: DataFrame) -> DataFrame:
     """Sorted by severity, confidence, path, line, and then column and rule."""
     at = lambda c, names: F.array_position(F.array(*map(F.lit, names)), F.col(c))

@@ -167,15 +167,11 @@ def header_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.header_findings(spark.createDataFrame(HEADERS, "path string, content string"))
 
 
-@query(
-    "findings_by_type",
-    "SELECT event_type AS type, count(*) AS n, string_agg(event_id::VARCHAR, ',' ORDER BY user_id, event_id) AS ids FROM events GROUP BY 1",
-)
+@query("findings_by_type", "SELECT event_type AS type, event_id AS id, row_number() OVER (PARTITION BY event_type ORDER BY user_id, event_id) AS place FROM events")
 def findings_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as findings of a user, grouped by type in order of user and id."""
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("path"), F.col("event_id").alias("line"), F.lit(1).alias("column"), F.lit("r").alias("rule"), F.lit("low").alias("severity"), F.lit("low").alias("confidence"), F.col("event_type").alias("type"))
-    g = S.grouped(e, "type")
-    return g.select("type", "n", F.array_join(F.transform("findings", lambda x: x.line.cast("string")), ",").alias("ids"))
+    """Events as findings of a user, numbered within their type in order of user and id."""
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("type"), "user_id", F.col("event_id").alias("id"))
+    return R.numbered(e, "type", F.floor(F.col("user_id") / 16), "user_id", "id").select("type", "id", "place")
 
 
 _PRIORITY = "CASE event_type WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END, CASE WHEN value >= 150 THEN 1 WHEN value >= 75 THEN 2 ELSE 3 END, user_id, event_id"

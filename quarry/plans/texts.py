@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.operators import findings as R
 from quarry.plans.common import table, values
 from quarry.registry import query
 
@@ -87,13 +87,34 @@ def line_metrics_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, rank, word, n FROM r WHERE rank <= 10""",
 )
 def keyword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # One shuffle, of texts: the counts and the ranks are then in place.
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
+    """Words are counted inside of their text's row: sorted with their places, runs of equal ones are counted by where they begin. No text moves."""
     plain = F.regexp_replace(F.lower("text"), r"[^a-z0-9_\s]", "")
-    found = docs.select("doc_id", F.posexplode(F.split(plain, r"\s+")).alias("i", "word")).where(F.length("word") > 3)
-    counts = found.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("first"))
-    rank = F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("n"), "first"))
-    return counts.withColumn("rank", rank).where("rank <= 10").select("doc_id", "rank", "word", "n")
+    placed = F.filter(F.transform(F.split(plain, r"\s+"), lambda w, i: F.struct(w.alias("word"), i.alias("i"))), lambda x: F.length(x["word"]) > 3)
+
+    def ranked(words: Column) -> Column:
+        n = F.size(words)
+        begins = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(words, i)["word"] != F.get(words, F.greatest(i - 1, F.lit(0)))["word"]))
+        runs = T.let(begins, lambda b: F.transform(b, lambda at, k: F.struct((at - F.coalesce(F.get(b, k + 1), n)).alias("less"), F.get(words, at)["i"].alias("i"), F.get(words, at)["word"].alias("word"))))
+        return F.when(n > 0, F.slice(F.sort_array(runs), 1, 10))
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.let(F.sort_array(placed), ranked)).alias("rank", "x"))
+    return docs.select("doc_id", (F.col("rank") + 1).alias("rank"), "x.word", (-F.col("x.less")).cast("long").alias("n"))
+
+
+#: Addresses of mail, as a report looks for them (a fixed value).
+MAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z]+"
+
+
+@query(
+    "mail_positions",
+    f"""WITH d AS (SELECT doc_id, text, regexp_extract_all(text, '{MAIL}') AS m, string_split_regex(text, '{MAIL}') AS gaps FROM documents WHERE regexp_matches(text, '{MAIL}')),
+    k AS (SELECT doc_id, text, unnest(m) AS code, generate_subscripts(m, 1) AS k, m, gaps FROM d),
+    placed AS (SELECT doc_id, code, k, text[:(list_sum(list_transform(gaps[:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[:k - 1], lambda x: length(x))), 0))::BIGINT] AS ahead FROM k)
+    SELECT doc_id, (k - 1)::INT AS seq, (length(ahead) - length(replace(ahead, chr(10), '')) + 1)::INT AS line, (length(regexp_extract(ahead, '[^\n]*$')) + 1)::INT AS "column", code FROM placed""",
+)
+def mail_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line and column of every address in every document."""
+    return R.located(table(spark, sf_dir, "documents"), MAIL)
 
 
 @query(

@@ -19,6 +19,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.text import let
+
 #: Fixed values of HTML: elements without content, elements whose content is no markup.
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
 RAW = ("script", "style", "textarea", "title")
@@ -44,11 +46,6 @@ _VALUE = r""""[^"]*"|'[^']*'|[^\s"'>]+"""
 BLOCK = 64
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Bind ``value`` once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def attribute_pattern(name: str) -> str:
     """Matches a start tag with the attribute; its one group is the value with its quotes."""
     return rf"""(?is)^<[a-z][^\s/>]*(?:\s+[^\s=>"'/]+(?:\s*=\s*(?:{_VALUE}))?|\s*/)*?\s+{name}\s*=\s*({_VALUE})"""
