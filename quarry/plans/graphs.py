@@ -51,12 +51,13 @@ def entry_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.entry_points(_chains(spark, sf_dir))
 
 
-@query("isolated_nodes", f"WITH {_EDGES} SELECT s_suppkey AS node FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.1::DOUBLE)")
+@query("isolated_nodes", "SELECT doc_id AS node FROM documents WHERE text IS NULL OR text NOT IN (SELECT text FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1)")
 def isolated_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers without an edge to a part that a full line at the highest discount makes."""
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity >= 50 and l_discount >= 0.1").select((-F.col("l_suppkey")).alias("src"), F.col("l_partkey").alias("dst"))
-    found = G.isolated(table(spark, sf_dir, "supplier").select((-F.col("s_suppkey")).alias("node")), G.dependency_graph(lines))
-    return found.select((-F.col("node")).alias("node"))
+    """Documents without a link to a copy; copies are linked with the first of them, by a digest of their text."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node"), F.sha2("text", 256).alias("print"))
+    first = docs.groupBy("print").agg(F.min("node").alias("dst"))
+    copies = docs.join(first, "print").select(F.col("node").alias("src"), "dst")
+    return G.isolated(docs.select("node"), G.dependency_graph(copies))
 
 
 @query("reachable", f"WITH {_CHAINS} SELECT node, (turn - 1)::INT AS depth FROM chain WHERE n > 1")

@@ -10,7 +10,9 @@ from quarry.functions import paths as P
 from quarry.functions.text import round_half_up
 from quarry.operators import findings as R
 from quarry.plans.common import table, values
+from quarry.plans.pages import _LINK_NORMAL, _LINKS, _NORMAL, _PATH
 from quarry.registry import query
+from quarry.sources import pages as H
 
 #: Source files: path, content (fixture).
 FILES = [
@@ -130,17 +132,27 @@ def package_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return missing.union(declared.join(used, "name", "left_anti").where(~F.col("name").isin("typescript", "eslint", "prettier")).withColumn("problem", F.lit("unused")))
 
 
-@query("missing_packages", "SELECT DISTINCT l_partkey AS part FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 25)")
+_TARGETS = f"SELECT DISTINCT regexp_extract(url, '://([^/?#]*)', 1) AS host, {_NORMAL} AS path FROM (SELECT url, {_LINK_NORMAL} AS x FROM ({_LINKS}) WHERE href LIKE '/%')"
+
+
+def _linked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """host and path of what links lead to, and of the pages that are there."""
+    pages, host = table(spark, sf_dir, "pages"), F.regexp_extract("url", "://([^/?#]*)", 1).alias("host")
+    links = H.links(pages).where(F.col("href").startswith("/")).select(host, P.normal_link(F.col("href")).alias("path")).distinct()
+    return links, pages.select(host, P.url_path(F.col("url")).alias("path")).distinct()
+
+
+@query("missing_packages", f"WITH t AS ({_TARGETS}), p AS (SELECT regexp_extract(url, '://([^/?#]*)', 1) AS host, {_PATH} AS path FROM pages) SELECT host, path FROM t WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.host = t.host AND p.path = t.path)")
 def missing_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Used parts that are not declared (those of size 25 at most are)."""
-    declared = table(spark, sf_dir, "part").where("p_size <= 25").select(F.col("p_partkey").alias("part"))
-    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("part")).distinct().join(declared, "part", "left_anti")
+    """What is used but not declared: links to pages of their host that aren't there."""
+    used, declared = _linked(spark, sf_dir)
+    return used.join(declared, ["host", "path"], "left_anti")
 
 
-@query("unused_packages", "SELECT p_partkey AS part, p_name AS name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49)")
+@query("unused_packages", "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def unused_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    used = table(spark, sf_dir, "lineitem").where("l_quantity >= 49").select(F.col("l_partkey").alias("part"))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.col("p_name").alias("name")).join(used, "part", "left_anti")
+    """What is declared but not used: documents that no label is about."""
+    return table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
 #: Environment files: path, content (fixture).
