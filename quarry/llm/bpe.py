@@ -1,12 +1,11 @@
 """Byte-level BPE as a lazily determinised finite-state transducer, and a streaming decoder.
 
-Encoding.  The merges define a transducer whose states are tokens (the one emitted last) and whose arcs read the bytes of a token
-and lead to it.  An arc from a to b exists only if the merges leave the pair as it is, that is, if the bytes of a and b together
-encode to just [a, b].  Of all paths that spell a piece exactly one keeps this rule at every arc, and it is the canonical encoding.
-The arcs are not listed beforehand (there are billions): the first time that an arc is asked for, the merges are run on the two
-tokens and the answer is kept in a bounded table, so that the machine becomes deterministic where texts go.  Reading prefers the
-longest token; the next arcs tell whether it stands, so the machine looks ahead by the bytes of one or two tokens, and a position
-that proves to be a dead end is never tried again.
+Encoding.  A path of the nondeterministic machine reads a piece's bytes down the vocabulary's trie; where they complete a token that may
+follow the path's last one, a path that took it starts at the root again. A token b may follow a only if the merges leave the pair as it
+is, that is, if the bytes of a and b together encode to just [a, b]. Of all paths that spell a piece exactly one keeps this rule
+throughout, and it is the canonical encoding. A deterministic state is the set of paths that are alive, less the tokens that all of them hold first:
+those are emitted, after a lookahead that the longest token bounds. States and transitions are made when first met, one a piece, and kept in a bounded
+table, as are the answers of which token may follow which.
 
 Decoding.  Ids become bytes; a small UTF-8 state machine holds back an incomplete character until the ids that end it arrive.
 

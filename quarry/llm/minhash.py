@@ -15,7 +15,8 @@ differences (see _cross_links). So no link of a bucket is lost, and groups of th
 confirmed on the full sets.
 
 Cases: a text without words (null, empty, blank) has no shingles and stands alone; texts shorter than a shingle are one shingle, of
-the whole sequence; rows without an id stand alone and are kept; repeated ids are one document, linked by any of its texts; an empty
+the whole sequence; rows without an id stand alone and are kept; repeated ids are one document, linked by any of its texts; ids that
+aren't numbers are null by the cast to long (an error under ANSI rules); an empty
 table gives an empty table; columns other than the id and the text aren't read.
 """
 

@@ -5,7 +5,7 @@ documents; a document with a smaller id, the smallest that is known where rows m
 
 1. Most edges occur once. Every window has an anchor: the smallest hash among its runs of six words. A repeated window has a repeated
    anchor, so anchors (about a fifth as many as words) are counted first, and only windows with a repeated anchor become edges.
-2. Edges meet by 96 bits of hash; each occurrence gets its source's coordinates. Occurrences in step with their source are one run.
+2. Edges meet by 95 bits of hash (64 and 31); each occurrence gets its source's coordinates. Occurrences in step with their source are one run.
 3. The graph: the sources' texts are read for the ranges that runs name, which gives the nodes between repeated edges. A node with two
    edges in, or two out, is a branch. A path is contracted where no node branches: along a source's own positions to pieces, and from
    the end of a piece to the piece that goes on elsewhere by joins with doubled steps.

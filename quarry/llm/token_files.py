@@ -8,8 +8,8 @@ A table of segments is the stored form: Spark writes and commits it to any file
 self-describing file image: header, directory of documents (id, start, length), then the levels. Segments hold whole documents in
 ascending order of doc_id, and ``part``, ``segment`` and ``part_start`` order them.
 
-Cases: a null text is empty and still gets its end id; null doc_ids come first; repeated ids keep a row each, ordered by text; an
-empty table writes no segment and reads as no rows; other columns aren't read. A document of any length fits: a segment ends only
+Cases: a null text is empty and still gets its end id; null doc_ids come first; repeated ids keep a row each, ordered by text; ids that aren't
+numbers are null by the cast to long (an error under ANSI rules); an empty table writes no segment and reads as no rows; other columns aren't read. A document of any length fits: a segment ends only
 between documents.
 """
 
