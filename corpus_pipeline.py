@@ -17,10 +17,15 @@ from quarry.llm import bpe, language, minhash, mixing, secrets
 from quarry.llm.common import shared_path
 
 #: How far the best language of a long document must score on the way from what it scores for a text that is like no language (the model's
-#: bias alone, about 1 / languages) to 1. Few characters say little, so n of them are asked for 1 - (FREE_CHARS / n) ** 2 of that: nothing at
+#: bias alone, about 1 / languages) to 1. Few characters say little, so n of them are asked for 1 - (FREE_CHARS / n) ** 4 of that: nothing at
 #: FREE_CHARS, less than nothing below. Set on the labelled rows of sf0.1 that are not held out.
 LEAST_LIKENESS = 0.2
-FREE_CHARS = 18
+FREE_CHARS = 25
+
+
+def asked_likeness(n: Column | float) -> Column | float:
+    """What a text of n characters is asked for."""
+    return LEAST_LIKENESS * (1 - (FREE_CHARS / n) ** 4)
 
 
 def _name(column: str) -> str:
@@ -39,7 +44,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     if model is None:
         return docs.where(F.col("text").cast("string").rlike(r"\p{L}"))
     found = _packed(docs, language.classifier(model)(F.col("text").cast("string"))).select("doc", "found.lang_pred", "found.score")
-    asked = LEAST_LIKENESS * (1 - (FREE_CHARS / F.greatest(F.length(F.col("doc.text").cast("string")), F.lit(1))) ** 2)
+    asked = asked_likeness(F.greatest(F.length(F.col("doc.text").cast("string")), F.lit(1)))
     alike = F.lit(False)
     for name, bias in zip(model.languages, model.bias.tolist(), strict=True):
         none = (bias + 1) / 2
