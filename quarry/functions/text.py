@@ -85,6 +85,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def passing(state: Column, value: Column, body: Callable[[Column], Column]) -> Column:
+    """The next state of a fold from a value bound once. ``let`` copies what its body gives; a fold hands it on, which matters where a
+    state holds what was put out so far."""
+    return F.aggregate(F.array(value), state, lambda _, x: body(x))
+
+
 def prefix_sums(sizes: Column) -> Column:
     """For each number of an array the sum up to it. A block of 64 is summed at a time, so that a long array isn't copied for each of its numbers."""
     none = F.array().cast("array<int>")
@@ -92,7 +98,7 @@ def prefix_sums(sizes: Column) -> Column:
     def block(a: Column, at: Column) -> Column:
         step = lambda b, x: F.struct((b["sum"] + x).alias("sum"), F.concat(b["out"], F.array(b["sum"] + x)).alias("out"))
         inner = F.aggregate(F.slice(sizes, at + 1, 64), F.struct(a["sum"].alias("sum"), none.alias("out")), step)
-        return let(inner, lambda b: F.struct(b["sum"].alias("sum"), F.concat(a["outs"], F.array(b["out"])).alias("outs")))
+        return passing(a, inner, lambda b: F.struct(b["sum"].alias("sum"), F.concat(a["outs"], F.array(b["out"])).alias("outs")))
 
     blocks = F.when(F.size(sizes) > 0, F.sequence(F.lit(0), F.size(sizes) - 1, F.lit(64))).otherwise(none)
     return F.aggregate(blocks, F.struct(F.lit(0).alias("sum"), F.array().cast("array<array<int>>").alias("outs")), block, lambda a: F.flatten(a["outs"]))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quarry.functions.text import let
+from quarry.functions.text import let, passing
 from quarry.operators import graph as G
 from quarry.operators.code import LEVEL_AA, PENALTIES, ROLES, compliance
 from quarry.sources.markup import attribute
@@ -121,13 +121,13 @@ def subtrees(trees: DataFrame, keep: tuple[str, ...] = ("page_id",)) -> DataFram
                 waiting = F.concat(F.slice(a["held"], 1, F.size(a["held"]) - F.size(children)), F.array(F.struct(x["depth"].alias("depth"), d["size"].alias("size"), d["digest"].alias("digest"))))
                 return F.struct(waiting.alias("held"), F.concat(a["out"], F.array(F.struct(x["node_id"].alias("node_id"), x["parent_id"].alias("parent_id"), d["size"].alias("size"), d["digest"].alias("digest")))).alias("out"))
 
-            return let(F.struct(size.alias("size"), digest.alias("digest")), done)
+            return passing(a, F.struct(size.alias("size"), digest.alias("digest")), done)
 
-        return let(F.filter(a["held"], lambda h: h["depth"] == x["depth"] + 1), with_children)
+        return passing(a, F.filter(a["held"], lambda h: h["depth"] == x["depth"] + 1), with_children)
 
     def block(a: Column, at: Column) -> Column:
         inner = F.struct(a["held"].alias("held"), F.array().cast(f"array<{_DIGEST}>").alias("out"))
-        return let(F.aggregate(F.slice(F.col("items"), at + 1, 64), inner, step), lambda d: F.struct(d["held"].alias("held"), F.concat(a["outs"], F.array(d["out"])).alias("outs")))
+        return passing(a, F.aggregate(F.slice(F.col("items"), at + 1, 64), inner, step), lambda d: F.struct(d["held"].alias("held"), F.concat(a["outs"], F.array(d["out"])).alias("outs")))
 
     rows = trees.select(*keep, F.reverse(items).alias("items"))
     n = F.size("items")

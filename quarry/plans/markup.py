@@ -76,7 +76,7 @@ def page_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("page_links", f"WITH RECURSIVE {_TREE} SELECT t.page_id, t.node_id, {_attribute('href')} AS href, text AS label FROM tree t JOIN worded USING (page_id, node_id) WHERE tag = 'a'")
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links with all the text inside of them, also in inner elements."""
-    rows = M.elements(M.trees(_pages(spark, sf_dir)), only=lambda x: x["tag"] == "a", texts=("a",))
+    rows = M.elements(M.trees(_pages(spark, sf_dir), texts=False), only=lambda x: x["tag"] == "a", texts=("a",))
     return rows.select("page_id", "node_id", M.attribute(F.col("token"), "href").alias("href"), F.col("text").alias("label"))
 
 
@@ -92,7 +92,7 @@ _HELD = {"links": "tag = 'a'", "headings": "tag rlike '^h[1-6]$'", "paragraphs":
 )
 def landmark_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What lies inside of each landmark, by a join of intervals."""
-    rows = G.checkpointed(M.elements(M.trees(_pages(spark, sf_dir)), only=lambda x: x["tag"].isin(*LANDMARKS) | x["tag"].rlike("^(a|p|h[1-6])$")))
+    rows = G.checkpointed(M.elements(M.trees(_pages(spark, sf_dir), texts=False), only=lambda x: x["tag"].isin(*LANDMARKS) | x["tag"].rlike("^(a|p|h[1-6])$")))
     marks, others = rows.where(F.col("tag").isin(*LANDMARKS)), rows.where(F.col("tag").rlike("^(a|p|h[1-6])$"))
     pairs = K.contained(marks, others).join(others.select("page_id", F.col("node_id").alias("inner_id"), F.col("tag").alias("inner")), ["page_id", "inner_id"])
     counts = pairs.groupBy("page_id", "node_id").agg(*(F.count_if(F.expr(c.replace("tag", "inner"))).alias(n) for n, c in _HELD.items()))
@@ -125,7 +125,7 @@ _FOUND = rf"""{_TREE},
 
 
 def _findings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    nodes = G.checkpointed(M.elements(M.trees(_pages(spark, sf_dir)), only=lambda x: x["tag"] != "#text", texts=K.TEXTED))
+    nodes = G.checkpointed(M.elements(M.trees(_pages(spark, sf_dir), texts=False), texts=K.TEXTED))
     return nodes, K.findings(nodes)
 
 
@@ -178,7 +178,7 @@ _SHAPES = f"""{_TREE}, el AS (SELECT * FROM tree WHERE tag <> '#text'), levels A
 @query("repeated_subtrees", f"WITH RECURSIVE {_SHAPES} SELECT size::INT AS size, copies, pages, first.p AS first_page, first.n AS first_node FROM g WHERE shape NOT IN (SELECT shape FROM covered)")
 def repeated_subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The largest shapes of elements that come more than once on or across pages."""
-    return K.repeated_subtrees(K.subtrees(M.trees(_pages(spark, sf_dir)))).drop("digest")
+    return K.repeated_subtrees(K.subtrees(M.trees(_pages(spark, sf_dir), texts=False))).drop("digest")
 
 
 _BAGS = f"""{_TREE}, item AS (SELECT page_id, tag || '@' || depth AS item, count(*) AS n FROM tree WHERE tag <> '#text' GROUP BY 1, 2),
@@ -193,11 +193,11 @@ _BAGS = f"""{_TREE}, item AS (SELECT page_id, tag || '@' || depth AS item, count
 )
 def page_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of pages with the same tags at the same depths whose weighted Jaccard index is 0.8 and more."""
-    pairs, _ = K.alike_bags(K.bags(M.trees(_pages(spark, sf_dir))))
+    pairs, _ = K.alike_bags(K.bags(M.trees(_pages(spark, sf_dir), texts=False)))
     return pairs.select("a", "b", F.col("common").cast("long").alias("common"), F.col("total").cast("long").alias("total"))
 
 
 @query("page_template_members", f"WITH RECURSIVE {_BAGS} SELECT b.page_id, c.id AS bag_id FROM bag b JOIN class c ON c.bag = b.bag")
 def page_template_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which page is of which class."""
-    return K.alike_bags(K.bags(M.trees(_pages(spark, sf_dir))))[1]
+    return K.alike_bags(K.bags(M.trees(_pages(spark, sf_dir), texts=False)))[1]

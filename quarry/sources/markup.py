@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import let
+from quarry.functions.text import let, passing
 
 #: Fixed values of HTML: elements without content, elements whose content is no markup.
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
@@ -53,15 +53,14 @@ def attribute_pattern(name: str) -> str:
 
 def attribute(token: Column, name: str) -> Column:
     """The value of an attribute of a start tag; null where it has none."""
-    found = F.regexp_extract(token, attribute_pattern(name), 1)
+    found = F.when(token.contains("="), F.regexp_extract(token, attribute_pattern(name), 1))
     return F.when(found != "", F.regexp_replace(found, r"""^["']|["']$""", ""))
 
 
 def kind(token: Column, tag: Column) -> Column:
-    """text, note (a comment or declaration), end, raw, void or start."""
+    """Of a tag: end, raw, void or start."""
     return (
-        F.when(tag == "", F.when(token.startswith("<!"), "note").otherwise("text"))
-        .when(token.startswith("</"), "end")
+        F.when(token.startswith("</"), "end")
         .when(tag.isin(*RAW) & token.rlike(r"(?is)</[a-z]+\s*>$"), "raw")
         .when(tag.isin(*VOID) | token.endswith("/>"), "void")
         .otherwise("start")
@@ -72,15 +71,19 @@ def _strings(values: tuple[str, ...] = ()) -> Column:
     return F.array(*map(F.lit, values)).cast("array<string>")
 
 
-def _rule(tag: Column, kind: Column) -> Column:
-    """What a token closes, and what shields it."""
-    closes = F.when(kind == "end", F.array(tag))
-    shields = F.when(kind == "end", _strings())
-    opens = kind.isin("start", "void", "raw")
-    for tags, ends, beyond in IMPLIED:
-        closes = closes.when(opens & tag.isin(*tags), _strings(ends))
-        shields = shields.when(opens & tag.isin(*tags), _strings(beyond))
-    return F.struct(tag.alias("tag"), kind.alias("kind"), closes.otherwise(_strings()).alias("closes"), shields.otherwise(_strings()).alias("shields"))
+def _rule(i: Column, tag: Column, kind: Column) -> Column:
+    """A tag's place, name, kind and rule: -1 closes what its name opened, others are numbers in IMPLIED from 1, 0 closes nothing."""
+    rule = F.when(kind == "end", -1)
+    for number, (tags, _, _) in enumerate(IMPLIED, 1):
+        rule = rule.when(tag.isin(*tags), number)
+    return F.struct(i.alias("i"), tag.alias("tag"), kind.alias("kind"), rule.otherwise(0).alias("rule"))
+
+
+def _by_rule(k: Column, own: Column, which: int) -> Column:
+    out = F.when(k["rule"] == -1, own)
+    for number, rule in enumerate(IMPLIED, 1):
+        out = out.when(k["rule"] == number, _strings(rule[which]))
+    return out
 
 
 def _last(tags: Column, wanted: Column) -> Column:
@@ -89,57 +92,86 @@ def _last(tags: Column, wanted: Column) -> Column:
 
 
 def _step(a: Column, k: Column) -> Column:
-    """One token: a(tags, ids, turn, at, out) holds the open elements; out gets the token's parent, depth, number among those that opened, and what it closed."""
+    """One tag: a(tags, ids, turn, out) holds the open elements; out gets the tag's parent, depth, number among those that opened, and what it closed."""
     n = F.size(a["tags"])
     pushes = k["kind"] == "start"
 
-    def after(first: Column) -> Column:
-        tags, ids = F.slice(a["tags"], 1, first - 1), F.slice(a["ids"], 1, first - 1)
-        event = F.struct(
-            F.coalesce(F.get(ids, F.size(ids) - 1), F.lit(-1)).alias("parent"), F.size(ids).alias("depth"), a["turn"].alias("turn"), F.slice(a["ids"], first, n + 1 - first).alias("closed"),
-        )
-        return F.struct(
-            F.when(pushes, F.concat(tags, F.array(k["tag"]))).otherwise(tags).alias("tags"), F.when(pushes, F.concat(ids, F.array(a["at"]))).otherwise(ids).alias("ids"),
-            F.when(pushes, a["turn"] + 1).otherwise(a["turn"]).alias("turn"), (a["at"] + 1).alias("at"), F.concat(a["out"], F.array(event)).alias("out"),
-        )
+    def event(parent: Column, depth: Column, closed: Column) -> Column:
+        return F.concat(a["out"], F.array(F.struct(parent.alias("parent"), depth.alias("depth"), a["turn"].alias("turn"), closed.alias("closed"))))
+
+    def after(tags: Column, ids: Column, depth: Column, closed: Column) -> Column:
+        parent = F.coalesce(F.get(a["ids"], depth - 1), F.lit(-1))
+        return F.when(
+            pushes,
+            F.struct(F.concat(tags, F.array(k["tag"])).alias("tags"), F.concat(ids, F.array(k["i"])).alias("ids"), (a["turn"] + 1).alias("turn"), event(parent, depth, closed).alias("out")),
+        ).otherwise(F.struct(tags.alias("tags"), ids.alias("ids"), a["turn"].alias("turn"), event(parent, depth, closed).alias("out")))
 
-    first = let(_last(a["tags"], k["closes"]), lambda c: F.when(c > _last(a["tags"], k["shields"]), c).otherwise(n + 1))
-    return let(F.when(F.size(k["closes"]) == 0, n + 1).otherwise(first), after)
+    def closing(c: Column) -> Column:
+        return after(F.slice(a["tags"], 1, c - 1), F.slice(a["ids"], 1, c - 1), c - 1, F.slice(a["ids"], c, n + 1 - c))
+
+    nothing = after(a["tags"], a["ids"], n, F.array().cast("array<int>"))
+    closes, shields = _by_rule(k, F.array(k["tag"]), 1), _by_rule(k, _strings(), 2)
+    first = let(_last(a["tags"], closes), lambda c: F.when((c > 0) & ((k["rule"] == -1) | (c > _last(a["tags"], shields))), c).otherwise(0))
+    return F.when(k["rule"] == 0, nothing).otherwise(passing(a, first, lambda c: F.when(c == 0, nothing).otherwise(closing(c))))
 
 
 _EVENT = "struct<parent:int,depth:int,turn:int,closed:array<int>>"
 _NODE = "struct<node_id:int,parent_id:int,exit:int,depth:int,tag:string>"
 
 
-def trees(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), html: str = "html") -> DataFrame:
-    """The columns ``keep``, tokens array<string> and nodes array<struct<node_id,parent_id,exit,depth,tag>> in order: a row a page."""
+def trees(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), html: str = "html", texts: bool = True) -> DataFrame:
+    """The columns ``keep``, tokens array<string> and nodes array<struct<node_id,parent_id,exit,depth,tag>> in order: a row a page.
+    Without ``texts`` the nodes are elements alone."""
     cells = pages.select(*keep, F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(TOKEN), F.lit(0)).alias("tokens"))
-    named = lambda t: let(F.lower(F.regexp_extract(t, TAG, 1)), lambda tag: let(kind(t, tag), lambda k: _rule(tag, k)))
-    cells = cells.withColumn("kinds", F.transform("tokens", named))
-    none = F.struct(_strings().alias("tags"), F.array().cast("array<int>").alias("ids"), F.lit(0).alias("turn"), F.lit(0).alias("at"), F.array().cast(f"array<{_EVENT}>").alias("out"))
-    start = F.struct(*(none[c].alias(c) for c in ("tags", "ids", "turn", "at")), F.array().cast(f"array<array<{_EVENT}>>").alias("outs"))
+    n = F.size("tokens")
+
+    # What is no tag moves no stack: it stays outside of the fold.
+    def named(t: Column, i: Column) -> Column:
+        item = lambda tag: F.when(tag != "", let(kind(t, tag), lambda k: _rule(i, tag, k)))
+        return F.when(t.startswith("<"), let(F.lower(F.regexp_extract(t, TAG, 1)), item))
+
+    cells = cells.withColumn("items", F.array_compact(F.transform("tokens", named)))
+    none = F.struct(_strings().alias("tags"), F.array().cast("array<int>").alias("ids"), F.lit(0).alias("turn"), F.array().cast(f"array<{_EVENT}>").alias("out"))
+    held = ("tags", "ids", "turn")
+    start = F.struct(*(none[c].alias(c) for c in held), F.array().cast(f"array<array<{_EVENT}>>").alias("outs"))
 
     def whole(a: Column, at: Column) -> Column:
-        inner = F.struct(*(a[c].alias(c) for c in ("tags", "ids", "turn", "at")), none["out"].alias("out"))
-        done = F.aggregate(F.slice("kinds", at + 1, BLOCK), inner, _step)
-        return let(done, lambda d: F.struct(*(d[c].alias(c) for c in ("tags", "ids", "turn", "at")), F.concat(a["outs"], F.array(d["out"])).alias("outs")))
+        inner = F.struct(*(a[c].alias(c) for c in held), none["out"].alias("out"))
+        done = F.aggregate(F.slice("items", at + 1, BLOCK), inner, _step)
+        return passing(a, done, lambda d: F.struct(*(d[c].alias(c) for c in held), F.concat(a["outs"], F.array(d["out"])).alias("outs")))
 
-    n = F.size("tokens")
-    blocks = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
+    m = F.size("items")
+    blocks = F.when(m > 0, F.sequence(F.lit(0), m - 1, F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
     cells = cells.withColumn("folded", F.aggregate(blocks, start, whole))
-    cells = cells.select(*keep, "tokens", "kinds", F.flatten("folded.outs").alias("events"), F.col("folded.ids").alias("open"))
-    ended = F.transform("events", lambda e, i: F.transform(e["closed"], lambda c: F.struct(c.alias("id"), (i - 1).alias("exit"))))
-    exits = F.sort_array(F.concat(F.flatten(ended), F.transform("open", lambda c: F.struct(c.alias("id"), (n - 1).alias("exit")))))
+    cells = cells.select(*keep, "tokens", "items", F.flatten("folded.outs").alias("events"), F.col("folded.ids").alias("open"))
+    # An element and its exit as one number, so that sorting puts them in order of elements, as those were opened.
+    ended_at = lambda c, exit_: F.shiftleft(c.cast("long"), 31) + exit_
+    ended = F.zip_with("events", "items", lambda e, k: F.transform(e["closed"], lambda c: ended_at(c, k["i"] - 1)))
+    exits = F.sort_array(F.concat(F.flatten(ended), F.transform("open", lambda c: ended_at(c, n - 1))))
     cells = cells.withColumn("exits", exits)
 
-    def node(e: Column, i: Column) -> Column:
-        k = F.get("kinds", i)
-        is_node = k["kind"].isin("start", "void", "raw") | ((k["kind"] == "text") & F.get("tokens", i).rlike(r"[^\s]"))
-        exit_ = F.when(k["kind"] == "start", F.get("exits", e["turn"])["exit"]).otherwise(i)
-        tag = F.when(k["kind"] == "text", "#text").otherwise(k["tag"])
-        return F.when(is_node, F.struct(i.alias("node_id"), e["parent"].alias("parent_id"), exit_.alias("exit"), e["depth"].alias("depth"), tag.alias("tag")))
+    def element(e: Column, k: Column) -> Column:
+        exit_ = F.when(k["kind"] == "start", F.get("exits", e["turn"]).bitwiseAND(F.lit(2**31 - 1)).cast("int")).otherwise(k["i"])
+        return F.when(k["kind"] != "end", F.struct(k["i"].alias("node_id"), e["parent"].alias("parent_id"), exit_.alias("exit"), e["depth"].alias("depth"), k["tag"].alias("tag")))
+
+    elements_ = F.array_compact(F.zip_with("events", "items", element))
+    if not texts:
+        return cells.select(*keep, "tokens", elements_.cast(f"array<{_NODE}>").alias("nodes"))
+
+    def between(first: Column, last: Column, parent: Column, depth: Column) -> Column:
+        """The texts among the tokens from first to last."""
+        at = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+        shown = F.filter(at, lambda i: (~F.get("tokens", i).startswith("<!")) & F.get("tokens", i).rlike(r"[^\s]"))
+        return F.transform(shown, lambda i: F.struct(i.alias("node_id"), parent.alias("parent_id"), i.alias("exit"), depth.alias("depth"), F.lit("#text").alias("tag")))
+
+    def behind(e: Column, j: Column) -> Column:
+        k, following = F.get("items", j), F.coalesce(F.get("items", j + 1)["i"], n)
+        pushes = (k["kind"] == "start").cast("int")
+        return between(k["i"] + 1, following - 1, F.when(pushes == 1, k["i"]).otherwise(e["parent"]), e["depth"] + pushes)
 
-    return cells.select(*keep, "tokens", F.array_compact(F.transform("events", node)).cast(f"array<{_NODE}>").alias("nodes"))
+    ahead = between(F.lit(0), F.coalesce(F.get("items", F.lit(0))["i"], n) - 1, F.lit(-1), F.lit(0))
+    every = F.concat(elements_.cast(f"array<{_NODE}>"), ahead.cast(f"array<{_NODE}>"), F.flatten(F.transform("events", behind)).cast(f"array<{_NODE}>"))
+    return cells.select(*keep, "tokens", F.sort_array(every).alias("nodes"))
 
 
 def inner_text(node: Column) -> Column:
