@@ -149,3 +149,18 @@ def test_orders_that_cover_parts(spark):
         lines.setdefault(r.l_orderkey, []).append(r)
     groups = [(str(o), {r.l_partkey for r in rs}, round(1 - sum(r.l_discount for r in rs) / len(rs), 4)) for o, rs in lines.items()]
     assert {str(r.order_key) for r in P.order_cover(spark, sf).collect()} == settled([g for g in groups if len(g[1]) > 1])
+
+
+def test_components_of_chains_in_order_take_few_rounds(spark, monkeypatch):
+    edges = {(i, i + 1) for i in range(300)} | {(1000, 1001), (1001, 1002), (2000, 2000)}
+    kept, seen = G.checkpointed, []
+    monkeypatch.setattr(G, "checkpointed", lambda df: seen.append(kept(df)) or seen[-1])
+    got = {(r.node, r.group) for r in G.components(frame(spark, edges)).collect()}
+    assert got == {(i, 0) for i in range(301)} | {(i, 1000) for i in (1000, 1001, 1002)} | {(2000, 2000)}
+    assert len(seen) < 60
+
+
+def test_a_walk_without_names_drops_edges_it_took(spark):
+    edges = {(i, i + 1) for i in range(14)} | {(3, 9), (9, 3), (14, 0), (20, 21), (21, 20), (30, 31)}
+    got = {(r.node, r.depth) for r in G.reachable(frame(spark, edges), spark.createDataFrame([(0,), (30,)], "node long")).collect()}
+    assert got == {(i, i if i < 9 else i - 5) for i in range(15)} | {(30, 0), (31, 1)}
